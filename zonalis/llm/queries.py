@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import exact_dedup, mixing, pii, quality, url_filters
+from zonalis.llm import byte_bpe, exact_dedup, mixing, pii, quality, toxicity, url_filters
 from zonalis.llm.oracles import ORACLES
 from zonalis.llm.shared import load
 
@@ -18,6 +18,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(load(spark, sf_dir, "documents")))
 
@@ -35,7 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_pii, op7_mixing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_byte_bpe, op5_toxicity, op6_pii, op7_mixing, op9_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,11 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As written(), hash-bucketed on key, so that joins on it do not shuffle these rows again."""
+def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The rows of df whose key is in ids, one for each key, written in hash buckets of the key: later joins on it leave them in place."""
     spark = df.sparkSession
     table = f"zonalis_{name}_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
+    rows = df.repartition(buckets, key).join(ids, key, "left_semi").dropDuplicates([key])
+    rows.write.bucketBy(buckets, key).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 

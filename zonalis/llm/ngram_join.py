@@ -36,6 +36,8 @@ MAX_BITS, BLOCK = 23, 1 << 16
 FRAGMENT_TOKENS, PARTS = 1 << 18, 4
 #: A posting is split by a hash of doc_id so that a part has some this many documents; a hub has as many partners in one group.
 POSTING, PARTNERS = 1 << 17, 256
+#: Rounds that compare components by single documents, at most, before all open pairs are compared.
+TURNS = 2
 #: Buffered leading tokens of a task.
 FLUSH = 1 << 21
 
@@ -130,23 +132,27 @@ def learn_order(counted: DataFrame, bits: int, grams: int) -> tuple[Order, int]:
 
 
 def postings(texts: DataFrame, order: Order, chance: int, span: int, least: int) -> DataFrame:
-    """(token, docs, sizes): the documents among whose leading tokens the token is, two or more, by size."""
+    """(token, docs, sizes, lefts): the documents among whose leading tokens the token is, two or more, by size.
+
+    lefts: how many tokens of the document the order has from this one on. At the first token that two documents share,
+    the smaller of theirs bounds the overlap.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(order)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        tokens, docs, sizes, held = [], [], [], 0
+        tokens, docs, sizes, lefts, held = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            t, d, n = np.concatenate(tokens), np.concatenate(docs), np.concatenate(sizes)
+            t, d, n, left = (np.concatenate(c) for c in (tokens, docs, sizes, lefts))
             salts = own.salts((t >> np.uint64(58)).astype(np.int64), chance)
             salt = np.where(salts > 1, (d * np.int64(2654435761) >> 7) % salts, 0)
             key = own.fragment(t) * (1 << 20) + salt
             by = np.lexsort((t, key))
-            t, d, n, key = t[by], d[by], n[by], key[by]
+            t, d, n, left, key = t[by], d[by], n[by], left[by], key[by]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            blobs = [packed(t[i:j], d[i:j], n[i:j]) for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True)]
+            blobs = [packed(t[i:j], d[i:j], n[i:j], left[i:j]) for i, j in zip(cuts, [*cuts[1:], len(key)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(key[cuts]), pa.array(blobs, pa.binary())], ["key", "blob"])
 
         for batch in batches:
@@ -154,10 +160,11 @@ def postings(texts: DataFrame, order: Order, chance: int, span: int, least: int)
             for k, found in gram_sets(batch.column("text"), span):
                 lead = own.tokens(found)[: len(found) - -(-least * len(found) // 100) + 1] if len(found) else found
                 tokens.append(lead), docs.append(np.full(len(lead), ids[k], np.int64)), sizes.append(np.full(len(lead), len(found), np.uint32))
+                lefts.append((len(found) - np.arange(len(lead))).astype(np.uint32))
                 held += len(lead)
             if held >= FLUSH:
                 yield out()
-                tokens, docs, sizes, held = [], [], [], 0
+                tokens, docs, sizes, lefts, held = [], [], [], [], 0
         if held:
             yield out()
 
@@ -166,16 +173,16 @@ def postings(texts: DataFrame, order: Order, chance: int, span: int, least: int)
         own = shared.value
 
         def out(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            t, d, n = (np.concatenate(c) for c in zip(*(unpacked(b, "<u8", "<i8", "<u4") for b in blobs), strict=True))
+            t, d, n, left = (np.concatenate(c) for c in zip(*(unpacked(b, "<u8", "<i8", "<u4", "<u4") for b in blobs), strict=True))
             by = np.lexsort((d, n, t))
-            t, d, n = t[by], d[by], n[by]
+            t, d, n, left = t[by], d[by], n[by], left[by]
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(t)]]))
             kept = (sizes > 1) | (own.salts((t[starts] >> np.uint64(58)).astype(np.int64), chance) > 1)
             inside = np.repeat(kept, sizes)
             offsets = np.concatenate([[0], np.cumsum(sizes[kept])]).astype(np.int32)
-            columns = [pa.array(t[starts[kept]].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(d[inside])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(n[inside].astype(np.int32)))]
-            whole = pa.RecordBatch.from_arrays(columns, ["token", "docs", "sizes"])
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(c[inside])) for c in (d, n.astype(np.int32), left.astype(np.int32))]
+            whole = pa.RecordBatch.from_arrays([pa.array(t[starts[kept]].view(np.int64)), *lists], ["token", "docs", "sizes", "lefts"])
             for at in range(0, whole.num_rows, 4096):
                 yield whole.slice(at, 4096)
 
@@ -191,7 +198,7 @@ def postings(texts: DataFrame, order: Order, chance: int, span: int, least: int)
             yield from out(blobs)
 
     lead = texts.mapInArrow(emit, "key long, blob binary")
-    return lead.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(gather, "token long, docs array<long>, sizes array<int>")
+    return lead.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(gather, "token long, docs array<long>, sizes array<int>, lefts array<int>")
 
 
 def hub_pairs(found: DataFrame, least: int, every: int) -> DataFrame:
@@ -203,19 +210,20 @@ def hub_pairs(found: DataFrame, least: int, every: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = []
-            for docs, sizes in zip(batch.column(0), batch.column(1), strict=True):
-                d, n = docs.values.to_numpy(), sizes.values.to_numpy().astype(np.int64)
+            for docs, sizes, lefts in zip(*batch.columns, strict=True):
+                d, n, left = docs.values.to_numpy(), sizes.values.to_numpy().astype(np.int64), lefts.values.to_numpy().astype(np.int64)
                 at = 0
                 while at < len(d):
                     end = int(np.searchsorted(n, 100 * n[at] // least, "right"))
-                    rest = d[at + 1 : end]
+                    fits = np.minimum(left[at], left[at + 1 : end]) * (100 + least) >= least * (n[at] + n[at + 1 : end])
+                    rest = d[at + 1 : end][fits]
                     pairs.append(np.stack([np.full(len(rest), d[at]), rest]))
                     at = max(end, at + 1)
             both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
             both = np.unique(both[:, both[0] != both[1]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    some = found.where(F.pmod(F.xxhash64("token"), F.lit(every)) == 0).select("docs", "sizes")
+    some = found.where(F.pmod(F.xxhash64("token"), F.lit(every)) == 0).select("docs", "sizes", "lefts")
     return some.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -280,30 +288,41 @@ def linked(texts: DataFrame, pairs: DataFrame, order: Order, span: int, least: i
 
 
 def open_entries(found: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(token, doc, n, root): entries of the postings that hold documents of several components."""
-    entries = found.select("token", F.explode(F.arrays_zip("docs", "sizes")).alias("e")).select("token", F.col("e.docs").alias("doc"), F.col("e.sizes").alias("n"))
+    """(token, doc, n, left, root): entries of the postings that hold documents of several components."""
+    entries = found.select("token", F.explode(F.arrays_zip("docs", "sizes", "lefts")).alias("e"))
+    entries = entries.select("token", F.col("e.docs").alias("doc"), F.col("e.sizes").alias("n"), F.col("e.lefts").alias("left"))
     if groups is not None:
         entries = entries.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left")
     else:
         entries = entries.withColumn("root", F.lit(None).cast("long"))
     entries = entries.withColumn("root", F.coalesce("root", "doc"))
     several = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    return written(entries.join(several, "token"), "open-postings").select("token", "doc", "n", "root")
+    return written(entries.join(several, "token"), "open-postings").select("token", "doc", "n", "left", "root")
 
 
 def open_pairs(entries: DataFrame, least: int) -> DataFrame:
-    """(a, b): all pairs of a posting in different components whose sizes allow a link."""
-    left, right = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "root")]) for s in "lr")
-    fits = (F.col("doc_l") < F.col("doc_r")) & (F.col("root_l") != F.col("root_r")) & (F.least("n_l", "n_r") * 100 >= F.greatest("n_l", "n_r") * least)
+    """(a, b): all pairs of a posting in different components whose sizes and places allow a link."""
+    left, right = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "left", "root")]) for s in "lr")
+    fits = (F.col("doc_l") < F.col("doc_r")) & (F.col("root_l") != F.col("root_r")) & (F.least("left_l", "left_r") * (100 + least) >= (F.col("n_l") + F.col("n_r")) * least)
     return left.join(right, (left.token == right.token) & fits).select(F.col("doc_l").alias("a"), F.col("doc_r").alias("b")).distinct()
 
 
-def component_hubs(entries: DataFrame) -> DataFrame:
-    """(a, b): in each posting, one document of each component with one of the first component."""
-    ones = entries.groupBy("token", "root").agg(F.min(F.struct("n", "doc")).alias("one"))
-    first = ones.groupBy("token").agg(F.min(F.struct("root", "one")).alias("first"))
-    pairs = ones.join(first, "token").where("root <> first.root")
-    return pairs.select(F.least("first.one.doc", "one.doc").alias("a"), F.greatest("first.one.doc", "one.doc").alias("b")).distinct()
+def component_hubs(entries: DataFrame, turn: int, least: int) -> DataFrame:
+    """(a, b): in each posting, one document of each component with one of the component that has most there; others each turn."""
+    draw = F.struct(F.xxhash64("doc", F.lit(turn)).alias("draw"), "doc", "n", "left")
+    ones = entries.groupBy("token", "root").agg(F.min(draw).alias("one"), F.count(F.lit(1)).alias("docs"))
+    most = ones.groupBy("token").agg(F.max_by("one", F.struct("docs", F.col("root"))).alias("most"), F.max(F.struct("docs", "root")).alias("of"))
+    fits = F.least("most.left", "one.left") * (100 + least) >= (F.col("most.n") + F.col("one.n")) * least
+    pairs = ones.join(most, "token").where((F.col("root") != F.col("of.root")) & fits)
+    return pairs.select(F.least("most.doc", "one.doc").alias("a"), F.greatest("most.doc", "one.doc").alias("b")).distinct()
+
+
+def open_work(entries: DataFrame) -> tuple[int, int]:
+    """Entries, and pairs of entries of one posting in different components."""
+    per_root = entries.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    per_token = per_root.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    row = per_token.agg(F.sum("c").alias("n"), F.sum((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")).head()
+    return row["n"] or 0, int(row["pairs"] or 0)
 
 
 def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
@@ -329,12 +348,16 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     edges = written(linked(texts, pairs, order, span, least), "links")
     groups = written(components(edges), "groups")
     entries = open_entries(found, groups)
-    # Where components meet in many postings, one more round over one document of each.
-    many = entries.groupBy("token").agg(F.count_distinct("root").alias("roots"))
-    if (many.agg(F.sum(F.col("roots") * F.col("roots"))).head()[0] or 0) > 8 * max(1, entries.count()):
-        more = written(component_hubs(entries).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        edges = written(edges.unionByName(linked(texts, more, order, span, least)), "links")
+    for turn in range(TURNS):
+        n, work = open_work(entries)
+        if work <= 2 * n:
+            break
+        more = written(component_hubs(entries, turn, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = written(linked(texts, more, order, span, least), "links")
         pairs = pairs.unionByName(more)
+        if links.isEmpty():
+            break
+        edges = written(edges.unionByName(links), "links")
         groups = written(components(edges), "groups")
         entries = open_entries(found, groups)
     rest = written(open_pairs(entries, least).join(pairs, ["a", "b"], "left_anti"), "pairs")

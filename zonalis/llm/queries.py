@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import byte_bpe, exact_dedup, mixing, ngram_join, pii, quality, toxicity, url_filters
+from zonalis.llm import byte_bpe, exact_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, url_filters
 from zonalis.llm.oracles import ORACLES
 from zonalis.llm.shared import load
 
@@ -22,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op4_byte_bpe, op5_toxicity, op6_pii, op7_mixing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_suffix_dedup, op4_byte_bpe, op5_toxicity, op6_pii, op7_mixing, op9_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

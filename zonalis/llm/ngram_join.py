@@ -6,7 +6,8 @@
    one 64-bit number, the token.
 3. The order is cut into fragments. A document's leading tokens, as many as any partner must share one of, go to
    their fragments; there the documents of each token that has several are its posting.
-4. Two documents of a posting are a candidate pair. Their sets are cut into fragments, the overlap is counted in each
+4. Two documents of a posting are a candidate pair. A sketch of each set, a bit for the parity of each hash slot, bounds
+   how many n-grams one of them has alone; a pair goes where that is too many. The others' sets are cut into fragments, the overlap is counted in each
    fragment apart, and the counts are summed per pair; the sum decides.
 
 Only what can change a group is counted. First each posting's documents are compared with one hub; documents that are
@@ -39,7 +40,7 @@ POSTING, PARTNERS = 1 << 17, 256
 #: Rounds that compare components by single documents, at most, before all open pairs are compared.
 TURNS = 2
 #: Buffered leading tokens of a task.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 
 
 @dataclass
@@ -81,25 +82,50 @@ def rep_texts(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
 
 def count_buckets(texts: DataFrame, span: int, bits: int) -> DataFrame:
-    """Rows (doc_id, n) for each text, and (block, counts) of each task's count table; counts stop at 255 a task."""
+    """Rows (doc_id, n, sketch) for each text, and (block, counts) of each task's count table; counts stop at 255 a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.int64 if bits < 16 else np.int32)
         for batch in batches:
-            sizes = np.zeros(batch.num_rows, np.int64)
+            sizes, sketches = np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
             some = [np.zeros(0, np.int64)]
             for k, found in gram_sets(batch.column("text"), span):
-                sizes[k] = len(found)
+                sizes[k], sketches[k] = len(found), sketch(found)
                 some.append((found >> np.uint64(64 - bits)).astype(np.int64))
             at, n = np.unique(np.concatenate(some), return_counts=True)
             table[at] += n.astype(table.dtype)
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *none], ["doc_id", "n", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sketches, pa.binary()), *none], names)
         for block in range(-(-len(table) // BLOCK)):
             part = np.minimum(table[block * BLOCK : (block + 1) * BLOCK], 255).astype(np.uint8)
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["doc_id", "n", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
 
-    return texts.mapInArrow(run, "doc_id long, n long, block int, counts binary")
+    names = ["doc_id", "n", "sketch", "block", "counts"]
+    return texts.mapInArrow(run, "doc_id long, n long, sketch binary, block int, counts binary")
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit for each of at least four slots an n-gram: whether an odd number of hashes has it. Slots are a power of two."""
+    slots = 1 << max(6, int(4 * max(1, len(hashes)) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than two linked sets can differ in n-grams."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True):
+                u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(u) > len(v):
+                    u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+                while len(v) > len(u):
+                    v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+                kept.append(int(np.bitwise_count(u ^ v).sum()) * (100 + least) <= (100 - least) * (na + nb))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one, other = (sketches.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def sum_blocks(blocks: DataFrame) -> DataFrame:
@@ -227,14 +253,15 @@ def hub_pairs(found: DataFrame, least: int, every: int) -> DataFrame:
     return some.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(texts: DataFrame, pairs: DataFrame, order: Order, span: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least least hundredths.
+def linked(texts: DataFrame, candidates: DataFrame, sketches: DataFrame, order: Order, span: int, least: int) -> DataFrame:
+    """The candidates (a, b) whose similarity is at least least hundredths.
 
     Each pair's documents meet in PARTS groups, one for each part of the order; a hub with many partners is in several
     groups for each. The groups count the overlap in their part, and the counts are summed per pair.
     """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(order)
+    pairs = written(plausible(candidates, sketches, least), "plausible")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
     partner = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")).alias("to"))
     hub = salts.select(F.col("a").alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("a").alias("hub"), s.alias("salt")))).alias("to"))
@@ -341,11 +368,12 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     grams = max(1, size // 6)
     bits = int(np.clip(np.ceil(np.log2(grams / 4 + 1)), 10, MAX_BITS))
     counted = written(count_buckets(texts, span, bits), "counts")
+    sketches = counted.where("block IS NULL").select("doc_id", "n", "sketch")
     order, chance = learn_order(counted, bits, grams)
     found = written(postings(texts, order, chance, span, least), "postings")
 
     pairs = written(hub_pairs(found, least, 4), "pairs")
-    edges = written(linked(texts, pairs, order, span, least), "links")
+    edges = written(linked(texts, pairs, sketches, order, span, least), "links")
     groups = written(components(edges), "groups")
     entries = open_entries(found, groups)
     for turn in range(TURNS):
@@ -353,7 +381,7 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
         if work <= 2 * n:
             break
         more = written(component_hubs(entries, turn, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = written(linked(texts, more, order, span, least), "links")
+        links = written(linked(texts, more, sketches, order, span, least), "links")
         pairs = pairs.unionByName(more)
         if links.isEmpty():
             break
@@ -362,10 +390,10 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
         entries = open_entries(found, groups)
     rest = written(open_pairs(entries, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        edges = edges.unionByName(linked(texts, rest, order, span, least))
+        edges = edges.unionByName(linked(texts, rest, sketches, order, span, least))
         groups = written(components(edges), "groups")
 
-    sizes = counted.where("block IS NULL").select(F.col("doc_id").alias("rep"), "n")
+    sizes = sketches.select(F.col("doc_id").alias("rep"), "n")
     known = reps.select("digest", "rep").join(sizes, "rep").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))
     out = rows.join(known, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
     nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -2,7 +2,7 @@
 
 1. Documents of one text are one class; its smallest doc_id stands for it.
 2. All n-grams are counted, in a table of hash buckets of fixed size. The global order puts n-grams of rare buckets first:
-   by level (the logarithm of the bucket's count, 0 below chance), then by hash. An n-gram and its place in the order are
+   by level (how far the bucket's count is above chance), then by hash. An n-gram and its place in the order are
    one 64-bit number, the token.
 3. The order is cut into fragments. A document's leading tokens, as many as any partner must share one of, go to
    their fragments; there the documents of each token that has several are its posting.
@@ -38,9 +38,9 @@ FRAGMENT_TOKENS, PARTS = 1 << 18, 4
 #: A posting is split by a hash of doc_id so that a part has some this many documents; a hub has as many partners in one group.
 POSTING, PARTNERS = 1 << 17, 256
 #: Rounds that compare components by single documents, at most, before all open pairs are compared.
-TURNS = 2
+TURNS = 1
 #: Buffered leading tokens of a task.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 @dataclass
@@ -49,6 +49,7 @@ class Order:
 
     bits: int
     levels: np.ndarray
+    most: np.ndarray
     fragment_bits: int
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
@@ -60,9 +61,9 @@ class Order:
         rare = (place >> np.uint64(58 - self.fragment_bits)).astype(np.int64)
         return np.where(level == 0, rare, (1 << self.fragment_bits) + 16 * (level - 1) + (place >> np.uint64(54)).astype(np.int64))
 
-    def salts(self, level: np.ndarray, chance: int) -> np.ndarray:
-        """Parts that postings of a level are split into."""
-        return np.maximum(1, (chance << np.maximum(level, 0)) // POSTING)
+    def salts(self, tokens: np.ndarray) -> np.ndarray:
+        """Parts that postings of each token's level are split into."""
+        return np.maximum(1, self.most[(tokens >> np.uint64(58)).astype(np.int64)] // POSTING)
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -142,22 +143,23 @@ def sum_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.repartition(partitions(blocks.sparkSession), "block").mapInArrow(run, "block int, counts binary")
 
 
-def learn_order(counted: DataFrame, bits: int, grams: int) -> tuple[Order, int]:
-    """The order, and the count up to which a bucket's level is 0: what chance puts into a bucket."""
+def learn_order(counted: DataFrame, bits: int, grams: int) -> Order:
+    """Levels are steps of a count's distance from the mean, in standard deviations of chance: 0 below two, then four steps a doubling."""
     counts = np.zeros(1 << bits, np.int64)
     for row in sum_blocks(counted.where("block IS NOT NULL").select("block", "counts")).toLocalIterator():
         part = np.frombuffer(row["counts"], "<u4")
         counts[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     mean = counts.mean()
-    chance = int(mean + 5 * np.sqrt(mean) + 8)
-    levels = np.zeros(1 << bits, np.uint8)
-    high = counts > chance
-    levels[high] = np.minimum(63, 1 + np.log2(counts[high] / chance).astype(np.int64))
+    spread = max(1.0, float(np.sqrt(mean)))
+    far = np.maximum((counts - mean) / (2 * spread), 2.0**-0.25)
+    levels = np.clip(1 + np.floor(4 * np.log2(far)), 0, 63).astype(np.uint8)
+    most = np.zeros(64, np.int64)
+    np.maximum.at(most, levels, counts)
     fragment_bits = int(np.clip(np.ceil(np.log2(max(1, grams / 4 / FRAGMENT_TOKENS))), 4, 16))
-    return Order(bits, levels, fragment_bits), chance
+    return Order(bits, levels, most, fragment_bits)
 
 
-def postings(texts: DataFrame, order: Order, chance: int, span: int, least: int) -> DataFrame:
+def postings(texts: DataFrame, order: Order, span: int, least: int) -> DataFrame:
     """(token, docs, sizes, lefts): the documents among whose leading tokens the token is, two or more, by size.
 
     lefts: how many tokens of the document the order has from this one on. At the first token that two documents share,
@@ -172,7 +174,7 @@ def postings(texts: DataFrame, order: Order, chance: int, span: int, least: int)
 
         def out() -> pa.RecordBatch:
             t, d, n, left = (np.concatenate(c) for c in (tokens, docs, sizes, lefts))
-            salts = own.salts((t >> np.uint64(58)).astype(np.int64), chance)
+            salts = own.salts(t)
             salt = np.where(salts > 1, (d * np.int64(2654435761) >> 7) % salts, 0)
             key = own.fragment(t) * (1 << 20) + salt
             by = np.lexsort((t, key))
@@ -204,7 +206,7 @@ def postings(texts: DataFrame, order: Order, chance: int, span: int, least: int)
             t, d, n, left = t[by], d[by], n[by], left[by]
             starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(t)]]))
-            kept = (sizes > 1) | (own.salts((t[starts] >> np.uint64(58)).astype(np.int64), chance) > 1)
+            kept = (sizes > 1) | (own.salts(t[starts]) > 1)
             inside = np.repeat(kept, sizes)
             offsets = np.concatenate([[0], np.cumsum(sizes[kept])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(c[inside])) for c in (d, n.astype(np.int32), left.astype(np.int32))]
@@ -369,8 +371,8 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     bits = int(np.clip(np.ceil(np.log2(grams / 4 + 1)), 10, MAX_BITS))
     counted = written(count_buckets(texts, span, bits), "counts")
     sketches = counted.where("block IS NULL").select("doc_id", "n", "sketch")
-    order, chance = learn_order(counted, bits, grams)
-    found = written(postings(texts, order, chance, span, least), "postings")
+    order = learn_order(counted, bits, grams)
+    found = written(postings(texts, order, span, least), "postings")
 
     pairs = written(hub_pairs(found, least, 4), "pairs")
     edges = written(linked(texts, pairs, sketches, order, span, least), "links")
@@ -378,7 +380,7 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     entries = open_entries(found, groups)
     for turn in range(TURNS):
         n, work = open_work(entries)
-        if work <= 2 * n:
+        if work <= 16 * n:
             break
         more = written(component_hubs(entries, turn, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
         links = written(linked(texts, more, sketches, order, span, least), "links")

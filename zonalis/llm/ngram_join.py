@@ -77,7 +77,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 def rep_texts(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """doc_id and text of the rows that stand for a class, bucketed by doc_id: the later joins leave the texts in place."""
     spark = docs.sparkSession
-    buckets = max(partitions(spark) // 2, -(-size // (64 << 20)), 1)
+    # At least as many as a shuffle has, or the join would deal the texts out a second time.
+    buckets = max(partitions(spark), -(-size // (64 << 20)))
     ids = reps.select(F.col("rep").alias("doc_id"))
     return bucketed_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "texts", "doc_id", buckets)
 
@@ -155,7 +156,8 @@ def learn_order(counted: DataFrame, bits: int, grams: int) -> Order:
     levels = np.clip(1 + np.floor(4 * np.log2(far)), 0, 63).astype(np.uint8)
     most = np.zeros(64, np.int64)
     np.maximum.at(most, levels, counts)
-    fragment_bits = int(np.clip(np.ceil(np.log2(max(1, grams / 4 / FRAGMENT_TOKENS))), 4, 16))
+    # Leading tokens are a quarter of all, and stand in the first quarter or so of the fragments.
+    fragment_bits = int(np.clip(np.ceil(np.log2(max(1, grams / FRAGMENT_TOKENS))), 4, 16))
     return Order(bits, levels, most, fragment_bits)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import SEPARATOR
+from zonalis.llm.shared import SEPARATOR, written
 
 #: A source's size class has 256 cells, by the first byte of doc_id's md5: what one task sorts is a part of a class.
 
@@ -71,6 +71,7 @@ def mix(docs: DataFrame, seed: str = "mix-1", limit: float = 3.0) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = sized.withColumns({"class": size_class(F.col("size")), "cell": F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int"), "null_source": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
+    sized = written(sized, "sizes")  # small, and read several times: the texts are counted once
     key = ["null_source", "name", "class", "cell"]
     cells = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     goal = targets(cells.groupBy("null_source", "name").agg(F.sum("words").alias("source_size")).select(F.when(~F.col("null_source"), F.col("name")).alias("source"), "source_size"), limit)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import byte_bpe, exact_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, url_filters
+from zonalis.llm import byte_bpe, exact_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity, url_filters
 from zonalis.llm.oracles import ORACLES
 from zonalis.llm.shared import load
 
@@ -44,6 +44,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = token_counts.with_trees(load(spark, sf_dir, "documents"), path, pattern)
+    edited = trees.withColumn("edits", token_counts.revision(F.col("doc_id"), F.col("text")))
+    return token_counts.totals(token_counts.apply_edits(edited, path, pattern))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(load(spark, sf_dir, "pages"))
 
@@ -53,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_suffix_dedup, op4_byte_bpe, op5_toxicity, op6_pii, op7_mixing, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_suffix_dedup, op4_byte_bpe, op5_toxicity, op6_pii, op7_mixing, op8_token_counts, op9_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.byte_bpe import REMEMBERED, REMEMBERED_BYTES, Ranks, _ranks, encode_words
+from zonalis.llm.byte_bpe import CHUNK, REMEMBERED, REMEMBERED_BYTES, Ranks, _ranks, encode_words
 from zonalis.llm.shared import small_batches
 
 #: Pre-tokens of a bucket; one that has grown to GROWN is cut into buckets again.
@@ -220,6 +220,18 @@ class Tree:
         return "".join(texts), np.concatenate(lengths), np.concatenate(counts)
 
 
+def chunks(texts: list[str]) -> Iterator[list[str]]:
+    """Texts that are encoded together: up to CHUNK code points, or one that is longer."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.zeros(0)
@@ -248,11 +260,11 @@ def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             lengths, counts = [], []
-            for text in texts:
-                words = split.findall(text)
-                table = counter.of(set(words))
-                lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
-                counts.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
+            for some in chunks(texts):
+                words = [split.findall(t) for t in some]
+                table = counter.of(set(chain.from_iterable(words)))
+                lengths += [np.fromiter(map(len, w), np.int32, len(w)) for w in words]
+                counts += [np.fromiter(map(table.__getitem__, w), np.int32, len(w)) for w in words]
             columns = _tree_columns(batch.column("doc_id"), texts, lengths, counts, [node_sums(x) for x in lengths], [node_sums(x) for x in counts])
             yield pa.RecordBatch.from_arrays(columns, _names(TREE))
 

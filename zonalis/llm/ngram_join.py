@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
 from zonalis.llm.grams import gram_sets, packed, unpacked
-from zonalis.llm.shared import bucketed_copy, partitions, small_batches, written
+from zonalis.llm.shared import bucketed_copy, narrow, partitions, small_batches, written
 
 #: Words of an n-gram, and the similarity in hundredths.
 SPAN, LEAST = 5, 75
@@ -39,6 +39,8 @@ FRAGMENT_TOKENS, PARTS = 1 << 18, 4
 POSTING, PARTNERS = 1 << 17, 256
 #: Rounds that compare components by single documents, at most, before all open pairs are compared.
 TURNS = 1
+#: 64-bit words of the sketch that goes along with a posting's documents.
+BRIEF = 16
 #: Buffered leading tokens of a task.
 FLUSH = 1 << 19
 
@@ -84,34 +86,39 @@ def rep_texts(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
 
 def count_buckets(texts: DataFrame, span: int, bits: int) -> DataFrame:
-    """Rows (doc_id, n, sketch) for each text, and (block, counts) of each task's count table; counts stop at 255 a task."""
+    """Rows (doc_id, n, sketch, brief) for each text, and (block, counts) of each task's count table; counts stop at 255 a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.int64 if bits < 16 else np.int32)
         for batch in batches:
-            sizes, sketches = np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows
+            sizes, sketches, briefs = np.zeros(batch.num_rows, np.int64), [b""] * batch.num_rows, np.zeros((batch.num_rows, BRIEF), np.int64)
             some = [np.zeros(0, np.int64)]
             for k, found in gram_sets(batch.column("text"), span):
-                sizes[k], sketches[k] = len(found), sketch(found)
+                sizes[k], sketches[k], briefs[k] = len(found), sketch(found), np.frombuffer(parities(found, 64 * BRIEF), np.int64)
                 some.append((found >> np.uint64(64 - bits)).astype(np.int64))
             at, n = np.unique(np.concatenate(some), return_counts=True)
             table[at] += n.astype(table.dtype)
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sketches, pa.binary()), *none], names)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BRIEF), pa.array(briefs.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sketches, pa.binary()), words, *none], names)
         for block in range(-(-len(table) // BLOCK)):
             part = np.minimum(table[block * BLOCK : (block + 1) * BLOCK], 255).astype(np.uint8)
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
 
-    names = ["doc_id", "n", "sketch", "block", "counts"]
-    return texts.mapInArrow(run, "doc_id long, n long, sketch binary, block int, counts binary")
+    names = ["doc_id", "n", "sketch", "brief", "block", "counts"]
+    return texts.mapInArrow(run, "doc_id long, n long, sketch binary, brief array<long>, block int, counts binary")
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """A bit for each of at least four slots an n-gram: whether an odd number of hashes has it. Slots are a power of two."""
-    slots = 1 << max(6, int(4 * max(1, len(hashes)) - 1).bit_length())
+def parities(hashes: np.ndarray, slots: int) -> bytes:
+    """A bit for each slot: whether an odd number of hashes has it."""
     return np.packbits(np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of at least four slots an n-gram; slots are a power of two."""
+    return parities(hashes, 1 << max(6, int(4 * max(1, len(hashes)) - 1).bit_length()))
+
+
 def plausible(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """The pairs (a, b) whose sketches differ in no more bits than two linked sets can differ in n-grams."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +239,7 @@ def postings(texts: DataFrame, order: Order, span: int, least: int) -> DataFrame
 
 
 def hub_pairs(found: DataFrame, least: int, every: int) -> DataFrame:
-    """(a, b): each document of a posting with a hub, the smallest that is not too small for it.
+    """(a, b): each document of a posting with a hub, the smallest that is not too small for it; two hubs a document at most.
 
     every: only of one posting in so many. These pairs are a start that spares comparisons; near copies share many
     postings, and what this misses open_pairs() finds.
@@ -250,11 +257,18 @@ def hub_pairs(found: DataFrame, least: int, every: int) -> DataFrame:
                     pairs.append(np.stack([np.full(len(rest), d[at]), rest]))
                     at = max(end, at + 1)
             both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-            both = np.unique(both[:, both[0] != both[1]], axis=1)
+            both = both[:, both[0] != both[1]]
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     some = found.where(F.pmod(F.xxhash64("token"), F.lit(every)) == 0).select("docs", "sizes", "lefts")
-    return some.mapInArrow(run, "a long, b long").distinct()
+    return best_two(some.mapInArrow(run, "a long, b long"))
+
+
+def best_two(pairs: DataFrame) -> DataFrame:
+    """Of each b's pairs, repeated as often as postings have them: the most frequent one and the one of the smallest a."""
+    often = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    two = often.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("most"), F.min("a").alias("least"))
+    return two.select(F.explode(F.array_distinct(F.array(-F.col("most.a"), F.col("least")))).alias("a"), "b")
 
 
 def linked(texts: DataFrame, candidates: DataFrame, sketches: DataFrame, order: Order, span: int, least: int) -> DataFrame:
@@ -315,7 +329,7 @@ def linked(texts: DataFrame, candidates: DataFrame, sketches: DataFrame, order:
     met = cut.repartition(partitions(spark), "hub", "salt", "part").sortWithinPartitions("hub", "salt", "part", "partner")
     partial = met.mapInArrow(count, "a long, b long, na long, nb long, overlap long")
     sums = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), (F.max("na") + F.max("nb")).alias("total"))
-    return sums.where(F.col("overlap") * 100 >= (F.col("total") - F.col("overlap")) * least).select("a", "b")
+    return narrow(sums.where(F.col("overlap") * 100 >= (F.col("total") - F.col("overlap")) * least).select("a", "b"))
 
 
 def open_entries(found: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -331,21 +345,33 @@ def open_entries(found: DataFrame, groups: DataFrame | None) -> DataFrame:
     return written(entries.join(several, "token"), "open-postings").select("token", "doc", "n", "left", "root")
 
 
-def open_pairs(entries: DataFrame, least: int) -> DataFrame:
-    """(a, b): all pairs of a posting in different components whose sizes and places allow a link."""
-    left, right = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "left", "root")]) for s in "lr")
+def open_pairs(entries: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """(a, b): all pairs of a posting in different components whose sizes, places and brief sketches allow a link."""
+    entries = entries.join(sketches.select(F.col("doc_id").alias("doc"), "brief"), "doc")
+    left, right = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "left", "root", "brief")]) for s in "lr")
     fits = (F.col("doc_l") < F.col("doc_r")) & (F.col("root_l") != F.col("root_r")) & (F.least("left_l", "left_r") * (100 + least) >= (F.col("n_l") + F.col("n_r")) * least)
+    differ = sum(F.bit_count(F.col("brief_l")[k].bitwiseXOR(F.col("brief_r")[k])) for k in range(BRIEF))
+    fits = fits & (differ * (100 + least) <= (F.col("n_l") + F.col("n_r")) * (100 - least))
     return left.join(right, (left.token == right.token) & fits).select(F.col("doc_l").alias("a"), F.col("doc_r").alias("b")).distinct()
 
 
 def component_hubs(entries: DataFrame, turn: int, least: int) -> DataFrame:
-    """(a, b): in each posting, one document of each component with one of the component that has most there; others each turn."""
+    """(a, b): in each posting, one document of each component with one of the component that has most there; others each turn.
+
+    A document is compared with two others at most.
+    """
     draw = F.struct(F.xxhash64("doc", F.lit(turn)).alias("draw"), "doc", "n", "left")
     ones = entries.groupBy("token", "root").agg(F.min(draw).alias("one"), F.count(F.lit(1)).alias("docs"))
     most = ones.groupBy("token").agg(F.max_by("one", F.struct("docs", F.col("root"))).alias("most"), F.max(F.struct("docs", "root")).alias("of"))
     fits = F.least("most.left", "one.left") * (100 + least) >= (F.col("most.n") + F.col("one.n")) * least
     pairs = ones.join(most, "token").where((F.col("root") != F.col("of.root")) & fits)
-    return pairs.select(F.least("most.doc", "one.doc").alias("a"), F.greatest("most.doc", "one.doc").alias("b")).distinct()
+    two = best_two(pairs.select(F.col("most.doc").alias("a"), F.col("one.doc").alias("b")))
+    return two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def stars(groups: DataFrame) -> DataFrame:
+    """Edges (a, b) that hold the same components as groups."""
+    return groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def open_work(entries: DataFrame) -> tuple[int, int]:
@@ -372,13 +398,13 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     grams = max(1, size // 6)
     bits = int(np.clip(np.ceil(np.log2(grams / 4 + 1)), 10, MAX_BITS))
     counted = written(count_buckets(texts, span, bits), "counts")
-    sketches = counted.where("block IS NULL").select("doc_id", "n", "sketch")
+    sketches = counted.where("block IS NULL").select("doc_id", "n", "sketch", "brief")
     order = learn_order(counted, bits, grams)
     found = written(postings(texts, order, span, least), "postings")
 
-    pairs = written(hub_pairs(found, least, 4), "pairs")
-    edges = written(linked(texts, pairs, sketches, order, span, least), "links")
-    groups = written(components(edges), "groups")
+    pairs = written(narrow(hub_pairs(found, least, 4)), "pairs")
+    links = written(linked(texts, pairs, sketches, order, span, least), "links")
+    groups = written(narrow(components(links)), "groups")
     entries = open_entries(found, groups)
     for turn in range(TURNS):
         n, work = open_work(entries)
@@ -389,13 +415,12 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
         pairs = pairs.unionByName(more)
         if links.isEmpty():
             break
-        edges = written(edges.unionByName(links), "links")
-        groups = written(components(edges), "groups")
+        groups = written(narrow(components(links.unionByName(stars(groups)))), "groups")
         entries = open_entries(found, groups)
-    rest = written(open_pairs(entries, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = written(open_pairs(entries, sketches, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        edges = edges.unionByName(linked(texts, rest, sketches, order, span, least))
-        groups = written(components(edges), "groups")
+        links = written(linked(texts, rest, sketches, order, span, least), "links")
+        groups = written(narrow(components(links.unionByName(stars(groups)))), "groups")
 
     sizes = sketches.select(F.col("doc_id").alias("rep"), "n")
     known = reps.select("digest", "rep").join(sizes, "rep").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))

@@ -45,6 +45,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """For shuffled rows of a few ids: a quarter of the partitions, which are sized for rows with texts."""
+    return df.coalesce(max(1, partitions(df.sparkSession) // 4))
+
+
 def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """Whole texts go to Python in small Arrow batches, as single ones can be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -68,6 +68,7 @@ def test_near_groups(docs, nothing):
 def test_split_postings(docs, monkeypatch):
     want = sorted(map(tuple, ngram_join.near_groups(docs).collect()))
     monkeypatch.setattr(ngram_join, "POSTING", 2)
+    monkeypatch.setattr(ngram_join, "WORK", 0)
     monkeypatch.setattr(ngram_join, "PARTNERS", 2)
     assert sorted(map(tuple, ngram_join.near_groups(docs).collect())) == want
 

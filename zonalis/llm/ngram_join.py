@@ -39,6 +39,8 @@ FRAGMENT_TOKENS, PARTS = 1 << 18, 4
 POSTING, PARTNERS = 1 << 17, 256
 #: Rounds that compare components by single documents, at most, before all open pairs are compared.
 TURNS = 1
+#: Open pairs an entry of the postings may have, on average, without such a round.
+WORK = 4
 #: 64-bit words of the sketch that goes along with a posting's documents.
 BRIEF = 16
 #: Buffered leading tokens of a task.
@@ -408,7 +410,7 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     entries = open_entries(found, groups)
     for turn in range(TURNS):
         n, work = open_work(entries)
-        if work <= 16 * n:
+        if work <= WORK * n:
             break
         more = written(component_hubs(entries, turn, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
         links = written(linked(texts, more, sketches, order, span, least), "links")

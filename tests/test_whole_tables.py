@@ -4,6 +4,7 @@ import datetime
 
 from zonalis.operators import metrics
 from zonalis.plans import queries as spatial
+from zonalis.plans import views
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,3 +17,11 @@ def test_monthly_scenes_all(spark):
 def test_months_without_scenes(spark):
     days = spark.createDataFrame([(datetime.datetime(2024, 1, 31),), (datetime.datetime(2024, 4, 1),)], "at timestamp")
     assert {r.month: r.n for r in metrics.monthly_counts(days, "at").collect()} == {"2024-01": 1, "2024-02": 0, "2024-03": 0, "2024-04": 1}
+
+
+def test_all_zones_with_pillars(spark, tmp_path):
+    lines = [(k, 10.0 + k, 0.1, 0.0) for k in (1, 8, 17, 34, 99)]  # 99 is no supplier
+    spark.createDataFrame(lines, "l_suppkey long, l_quantity double, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, 1.0 * k) for k in (1, 8, 17, 34, 51)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))  # 51 has no heat
+    assert {r.zone_id: r.exposure for r in views.pillars(spark, str(tmp_path)).collect()} == {1: 11.0, 8: 18.0, 17: 27.0, 34: 44.0}
+    assert {r.zone_id for r in views.heldout(spark, str(tmp_path)).collect()} == {1, 8, 17, 34, 51}

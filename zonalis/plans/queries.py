@@ -33,6 +33,11 @@ def norm(c: str, over: str = "") -> str:
 SCORED = PILLARS + f""", scored AS (SELECT *, ({norm('exposure')} + {norm('sensitivity_raw')} + (1 - ({norm('greenery_fraction')}))) / 3 AS score FROM pillars)"""
 
 
+def _all(sql: str) -> str:
+    """A query's SQL over all zones."""
+    return sql.replace(" WHERE s_suppkey % 17 <> 0", "").replace(" WHERE s_suppkey % 8 = 0", "")
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -48,6 +53,11 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})
 
 
+def _some_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones that PILLARS keeps: 16 of 17. Queries named ..._all take all zones."""
+    return V.pillars(spark, sf_dir).where("zone_id % 17 <> 0")
+
+
 def _clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.observations(spark, sf_dir).where((F.col("scene_cloud") < 70) & X.qa_clear(F.col("qa"), F.col("sat")) & X.cloud_free(F.col("cloud_prob")))
 
@@ -167,10 +177,16 @@ def exclude_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT zone_id, round(score, 6) AS score FROM scored ORDER BY score DESC, zone_id LIMIT 20")
 def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scores.build_score(V.pillars(spark, sf_dir))
+    scored = scores.build_score(_some_pillars(spark, sf_dir))
     return rounded(scored.orderBy(F.desc("score"), "zone_id").limit(20).select("zone_id", "score"), "score")
 
 
+@query(_all(ORACLES["priority_score"]).replace(" ORDER BY score DESC, zone_id LIMIT 20", ""))
+def priority_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every zone."""
+    return rounded(scores.build_score(V.pillars(spark, sf_dir)).select("zone_id", "score"), "score")
+
+
 _PCA = f""", n AS (SELECT zone_id, {norm('exposure')} AS a, {norm('sensitivity_raw')} AS b, 1 - ({norm('greenery_fraction')}) AS c FROM pillars),
 m AS (SELECT covar_samp(a, a) AS aa, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, b) AS bb, covar_samp(b, c) AS bc, covar_samp(c, c) AS cc FROM n),
 it AS (SELECT 0 AS k, 1.0::DOUBLE AS x, 0.9::DOUBLE AS y, 0.8::DOUBLE AS z UNION ALL SELECT k + 1, (aa * x + ab * y + ac * z) / s, (ab * x + bb * y + bc * z) / s, (ac * x + bc * y + cc * z) / s
@@ -179,6 +195,11 @@ it AS (SELECT 0 AS k, 1.0::DOUBLE AS x, 0.9::DOUBLE AS y, 0.8::DOUBLE AS z UNION
 
 @query(f"WITH RECURSIVE {PILLARS} {_PCA} SELECT round(x / (x + y + z), 5) AS w1, round(y / (x + y + z), 5) AS w2, round(z / (x + y + z), 5) AS w3 FROM it WHERE k = 64")
 def pca_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scores.pca_weights(_some_pillars(spark, sf_dir)), "w1", "w2", "w3", digits=5)
+
+
+@query(_all(ORACLES["pca_weights"]))
+def pca_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.pca_weights(V.pillars(spark, sf_dir)), "w1", "w2", "w3", digits=5)
 
 
@@ -188,17 +209,28 @@ x AS (SELECT zone_id, draw, exposure + 1.5 * sqrt(-2 * ln(e1)) * cos(2 * pi() *
 s AS (SELECT zone_id, ({norm('exposure', 'PARTITION BY draw')} + {norm('sensitivity_raw', 'PARTITION BY draw')} + (1 - ({norm('greenery_fraction', 'PARTITION BY draw')}))) / 3 AS score FROM x)
 SELECT zone_id, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.95) - quantile_cont(score, 0.05), 6) AS band_width FROM s GROUP BY 1""")
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scores.bootstrap_bands(V.pillars(spark, sf_dir), 1.5, 0.05, 50), "p05", "p50", "p95", "band_width")
+    return rounded(scores.bootstrap_bands(_some_pillars(spark, sf_dir), 1.5, 0.05, 50), "p05", "p50", "p95", "band_width")
 
 
 @query(f"WITH {PILLARS}, h AS (SELECT s_suppkey AS zone_id, (20 + s_suppkey % 9)::DOUBLE AS y FROM supplier WHERE s_suppkey % 8 = 0) SELECT count(*) AS n, round(sqrt(avg(pow(exposure - y, 2))), 6) AS rmse FROM heat JOIN h USING (zone_id)")
 def heldout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heat = V.heat(spark, sf_dir).select("zone_id", F.round("lst_native30", 9).alias("exposure"))
+    return rounded(metrics.rmse(heat, V.heldout(spark, sf_dir).where("zone_id % 8 = 0"), "zone_id", "exposure", "lst_heldout_c"), "rmse")
+
+
+@query(_all(ORACLES["heldout_rmse"]))
+def heldout_rmse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     heat = V.heat(spark, sf_dir).select("zone_id", F.round("lst_native30", 9).alias("exposure"))
     return rounded(metrics.rmse(heat, V.heldout(spark, sf_dir), "zone_id", "exposure", "lst_heldout_c"), "rmse")
 
 
 @query(f"WITH {PILLARS}, r AS (SELECT rank() OVER (ORDER BY exposure) + (count(*) OVER (PARTITION BY exposure) - 1) / 2 AS ra, rank() OVER (ORDER BY greenery_fraction) + (count(*) OVER (PARTITION BY greenery_fraction) - 1) / 2 AS rb FROM pillars) SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM r")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.spearman(_some_pillars(spark, sf_dir), "exposure", "greenery_fraction"), "spearman")
+
+
+@query(_all(ORACLES["spearman"]))
+def spearman_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.spearman(V.pillars(spark, sf_dir), "exposure", "greenery_fraction"), "spearman")
 
 

@@ -54,13 +54,13 @@ def heat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pillars(spark: SparkSession, sf_dir: str, variant: str = "lst_native30") -> DataFrame:
     """Zones with heat, sensitivity and greenery; a zone that lacks one is left out."""
     key = F.col("s_suppkey")
-    social = load(spark, sf_dir, "supplier").where(key % 17 != 0).select(key.alias("zone_id"), F.col("s_acctbal").alias("sensitivity_raw"), ((key * 37) % 100 / 100.0).alias("greenery_fraction"))
+    social = load(spark, sf_dir, "supplier").select(key.alias("zone_id"), F.col("s_acctbal").alias("sensitivity_raw"), ((key * 37) % 100 / 100.0).alias("greenery_fraction"))
     return heat(spark, sf_dir).select("zone_id", F.round(variant, 9).alias("exposure")).join(social, "zone_id")
 
 
 def heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
-    return load(spark, sf_dir, "supplier").where(key % 8 == 0).select(key.alias("zone_id"), (20 + key % 9).cast("double").alias("lst_heldout_c"))
+    return load(spark, sf_dir, "supplier").select(key.alias("zone_id"), (20 + key % 9).cast("double").alias("lst_heldout_c"))
 
 
 def scored_points(spark: SparkSession, sf_dir: str) -> DataFrame:

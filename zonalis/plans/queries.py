@@ -212,6 +212,12 @@ def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.bootstrap_bands(_some_pillars(spark, sf_dir), 1.5, 0.05, 50), "p05", "p50", "p95", "band_width")
 
 
+@query(_all(ORACLES["bootstrap_bands"]).replace("range(50)", "range(1000)"))
+def bootstrap_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All zones with the production 1,000 draws."""
+    return rounded(scores.bootstrap_bands(V.pillars(spark, sf_dir), 1.5, 0.05), "p05", "p50", "p95", "band_width")
+
+
 @query(f"WITH {PILLARS}, h AS (SELECT s_suppkey AS zone_id, (20 + s_suppkey % 9)::DOUBLE AS y FROM supplier WHERE s_suppkey % 8 = 0) SELECT count(*) AS n, round(sqrt(avg(pow(exposure - y, 2))), 6) AS rmse FROM heat JOIN h USING (zone_id)")
 def heldout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     heat = V.heat(spark, sf_dir).select("zone_id", F.round("lst_native30", 9).alias("exposure"))

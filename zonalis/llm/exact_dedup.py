@@ -7,15 +7,20 @@ Documents whose digest occurs more than once are hits; their bytes are compared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import ascii_lower, scratch, written
+from zonalis.llm.shared import ascii_lower, keyed, scratch, written
 
 #: So many rows of one group are compared with one copy of the kept text by one task.
 ROWS_A_SALT = 512
 
 
+def normal(text: str = "text") -> Column:
+    """Equal for equal texts."""
+    return ascii_lower(F.coalesce(text, F.lit("")))
+
+
 class DigestIndex:
     """Sorted runs of SHA-256 digests below one folder. keep: "largest" or "smallest" identifier of equal texts."""
 
@@ -26,7 +31,7 @@ class DigestIndex:
 
     def flush(self, docs: DataFrame) -> None:
         """Adds a batch of (doc_id, text): a sorted run file from each task. Null text counts as empty."""
-        rows = docs.select("doc_id", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("digest"))
+        rows = docs.select("doc_id", F.sha2(normal(), 256).alias("digest"))
         writer = rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000")
         writer.parquet(f"{self.path}/level0/batch={self.runs}")
         self.runs += 1
@@ -49,12 +54,13 @@ class DigestIndex:
 
 def verified(docs: DataFrame, hits: DataFrame) -> int:
     """How many hits' bytes differ from the bytes of the row that stays. A large group is split over salts."""
-    texts = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm"))
-    texts = written(texts.join(hits.select("doc_id", "keep_id", "group_size").distinct(), "doc_id"), "hit-texts")
+    texts = keyed(docs.select("doc_id", normal().alias("norm")), F.col("norm"))
+    hits = hits.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("digest").alias("__digest"), "keep_id", "group_size").distinct()
+    texts = written(texts.join(hits, ["__id", "__digest"]), "hit-texts")
     salts = F.ceil(F.col("group_size") / ROWS_A_SALT).cast("int")
-    kept = texts.where("doc_id = keep_id").dropDuplicates(["keep_id"]).select("keep_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
-    others = texts.where("doc_id <> keep_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    return others.join(kept, ["keep_id", "salt"]).where("norm <> kept_norm").count()
+    kept = texts.where("doc_id <=> keep_id").dropDuplicates(["__digest"]).select("__digest", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
+    others = texts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    return others.join(kept, ["__digest", "salt"]).where("norm <> kept_norm").count()
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -76,6 +82,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the copies that exact_dedup drops, nor repeated rows of a kept document."""
-    stay = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi")
+    """docs with one row of each different text: the one that exact_dedup keeps.
+
+    Rows without doc_id stay if no row with one has their text, and different texts of one doc_id all stay.
+    """
+    stay = exact_dedup(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    return keyed(docs, normal()).dropDuplicates(["__id", "__digest"]).join(stay, ["__id", "__digest"], "left_semi").select(*docs.columns)

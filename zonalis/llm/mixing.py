@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import SEPARATOR, written
+from zonalis.llm.shared import SEPARATOR, keyed, written
 
 #: A source's size class has 256 cells, by the first byte of doc_id's md5: what one task sorts is a part of a class.
 
@@ -69,7 +69,12 @@ def mix(docs: DataFrame, seed: str = "mix-1", limit: float = 3.0) -> DataFrame:
     gives nothing. Equal rows get neighbouring numbers, so reruns give each of them the same copies in sum. Columns other
     than doc_id, text and source are ignored; an empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return _placed(docs, seed, limit).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _placed(docs: DataFrame, seed: str, limit: float, *more: str) -> DataFrame:
+    """mix() with the columns named more, which also order rows of one doc_id and size."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more)
     sized = sized.withColumns({"class": size_class(F.col("size")), "cell": F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int"), "null_source": F.col("source").isNull(), "name": F.coalesce("source", F.lit(""))})
     sized = written(sized, "sizes")  # small, and read several times: the texts are counted once
     key = ["null_source", "name", "class", "cell"]
@@ -83,17 +88,22 @@ def mix(docs: DataFrame, seed: str = "mix-1", limit: float = 3.0) -> DataFrame:
     within = W.partitionBy("null_source", "name", "class").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select(*key, F.coalesce(F.sum("n").over(within), F.lit(0)).alias("cell_start"))
     starts = starts.join(classes, ["null_source", "name", "class"]).join(goal, ["null_source", "name"])
-    number = F.row_number().over(W.partitionBy(*key).orderBy("doc_id", "size")) - 1
+    number = F.row_number().over(W.partitionBy(*key).orderBy("doc_id", "size", *more)) - 1
     placed = sized.withColumn("number", number).join(starts, key)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     i = F.col("class_start") + F.col("cell_start") + F.col("number")
     copies = (F.floor(F.col("u") + F.col("rate") * (F.col("i") + 1)) - F.floor(F.col("u") + F.col("rate") * F.col("i"))).cast("long")
-    placed = placed.withColumns({"rate": rate, "i": i}).withColumn("copies", copies)
-    return placed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.withColumns({"rate": rate, "i": i}).withColumn("copies", copies)
 
 
 def mixed(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
-    """The rows of docs, each as often as mix() says. Repeated rows of one doc_id are emitted from one of them."""
-    times = mix(docs, seed).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
-    rows = docs.dropDuplicates(["doc_id"]).join(times, "doc_id")
+    """The rows of docs, each as often as mix() says, with or without doc_id.
+
+    Repeated rows of one doc_id, text and source are emitted from one of them. Rows that share only a doc_id are each
+    emitted as often as their own number says.
+    """
+    key = ["__id", "__digest", "__source"]
+    named = keyed(docs).withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    times = _placed(named, seed, 3.0, *key).groupBy(*key).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    rows = named.dropDuplicates(key).join(times, key)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

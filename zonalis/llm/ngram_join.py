@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
 from zonalis.llm.grams import gram_sets, packed, unpacked
-from zonalis.llm.shared import bucketed_copy, narrow, partitions, small_batches, written
+from zonalis.llm.shared import bucketed_copy, keyed, narrow, partitions, small_batches, written
 
 #: Words of an n-gram, and the similarity in hundredths.
 SPAN, LEAST = 5, 75
@@ -432,6 +432,19 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id."""
-    stay = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """docs with one document of each group: the one with the smallest doc_id, or with the smallest digest of those that share it.
+
+    Rows without doc_id take part and stay only if their group has no other; without words they stay. Different texts of
+    one doc_id are different documents; repeated rows of one doc_id and text are one document, of which all rows stay.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id IS NULL OR rows > 1").isEmpty():
+        stay = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+        return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    # doc_id is no key: documents get numbers in its order, and are grouped by these.
+    key = ["__id", "__digest"]
+    named = keyed(docs)
+    numbers = named.select("doc_id", *key).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "__digest")
+    numbers = written(numbers.select(*key, F.monotonically_increasing_id().alias("__number")), "numbers")
+    numbered = written(named.join(numbers, key), "numbered")
+    stay = near_groups(numbered.select(F.col("__number").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("__number")).distinct()
+    return numbered.join(stay, "__number", "left_semi").select(*docs.columns)

@@ -32,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """docs with __id and __digest, which are never null: doc_id as a string, empty without one, and the SHA-256 of text.
+
+    The two find a row again where doc_id is null or stands for several texts. Null text counts as empty.
+    """
+    text = F.coalesce("text", F.lit("")) if text is None else text
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest": F.sha2(text, 256)})
+
+
 def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """The rows of df whose key is in ids, one for each key, written in hash buckets of the key: later joins on it leave them in place."""
     spark = df.sparkSession

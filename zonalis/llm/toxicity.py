@@ -196,6 +196,14 @@ def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> D
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the documents that are predicted toxic."""
-    rejected = predictions(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that are predicted toxic. Each row's text decides, with or without a doc_id of its own."""
+    index = fit(docs, labels)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(text)[0] < threshold for text in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

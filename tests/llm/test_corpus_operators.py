@@ -73,10 +73,10 @@ def test_split_postings(docs, monkeypatch):
     assert sorted(map(tuple, ngram_join.near_groups(docs).collect())) == want
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffix_dedup(docs, nothing, hot):
+def removed(own):
+    """What brute force leaves of each text."""
     seen, want = {}, {}
-    for d, t in sorted(by_id(docs).items()):
+    for d, t in sorted(own.items()):
         b = t.encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 49):
@@ -84,11 +84,30 @@ def test_suffix_dedup(docs, nothing, hot):
                 gone[p : p + 50] = b"\1" * 50
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         want[d] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("hot", [4096, 2, 0])
+def test_suffix_dedup(docs, nothing, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_FLUSH", 1 << 10 if hot else 1 << 20)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, hot).collect()}
-    assert got == want
+    assert got == removed(by_id(docs))
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_suffix_dedup_without_repeats(spark, hot):
+    """Documents share an anchor but no window, or no task sees two of a hot anchor's documents."""
+    rnd = random.Random(9)
+    line = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    shared = [line(k) for k in (20, 30, 40, 43)]
+    rows = [(k, line(60) + shared[k % 4] + line(60)) for k in range(40)]
+    for parts in (1, 40):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, hot).collect()}
+        assert got == removed(dict(rows)) and not any(x[1] for x in got.values())
+
+
 def test_sorted_windows():
     rnd = np.random.default_rng(5)
     text = np.concatenate([np.append(rnd.integers(1, 4, 90).astype(np.uint8), 0) for _ in range(20)])

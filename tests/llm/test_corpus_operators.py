@@ -68,9 +68,26 @@ def test_near_groups(docs, nothing):
 def test_split_postings(docs, monkeypatch):
     want = sorted(map(tuple, ngram_join.near_groups(docs).collect()))
     monkeypatch.setattr(ngram_join, "POSTING", 2)
-    monkeypatch.setattr(ngram_join, "WORK", 0)
     monkeypatch.setattr(ngram_join, "PARTNERS", 2)
-    assert sorted(map(tuple, ngram_join.near_groups(docs).collect())) == want
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 2)
+    for turns in (2, 0):
+        monkeypatch.setattr(ngram_join, "TURNS", turns)
+        assert sorted(map(tuple, ngram_join.near_groups(docs).collect())) == want
+
+
+def test_short_counts():
+    counts = np.array([0, 254, 255, 256, 70000, 3])
+    assert ngram_join.whole_counts(ngram_join.short_counts(counts), 6).tolist() == counts.tolist()
+
+
+def test_has_partner():
+    rnd = np.random.default_rng(2)
+    for _ in range(50):
+        rows = sorted((int(t), int(n), int(rnd.integers(1, n + 1))) for t, n in zip(rnd.integers(0, 4, 12), rnd.integers(1, 40, 12), strict=True))
+        t, n, left = map(np.array, zip(*rows, strict=True))
+        fits = lambda i, j: t[i] == t[j] and 4 * n[j] >= 3 * n[i] and left[i] * 175 >= 75 * (n[i] + n[j])
+        want = [any(fits(i, j) for j in range(12) if j != i) for i in range(12)]
+        assert ngram_join.has_partner(t, n, left, 75).tolist() == want
 
 
 def removed(own):

@@ -10,9 +10,10 @@
    how many n-grams one of them has alone; a pair goes where that is too many. The others' sets are cut into fragments, the overlap is counted in each
    fragment apart, and the counts are summed per pair; the sum decides.
 
-Only what can change a group is counted. First each posting's documents are compared with one hub; documents that are
-linked are one component. Then all pairs of a posting that are in different components are compared. So no link between
-components is lost, while a group of near copies costs as many comparisons as it has documents, not their square.
+Only what can change a group is counted. In a few turns each document is compared with the hub of its postings that
+seems nearest and is in another component; documents that are linked are one component. Then all pairs of a posting
+that are in different components are compared. So no link between components is lost, while a group of near copies costs
+some comparisons for each of its documents, not their square.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
@@ -37,10 +39,10 @@ MAX_BITS, BLOCK = 23, 1 << 16
 FRAGMENT_TOKENS, PARTS = 1 << 18, 4
 #: A posting is split by a hash of doc_id so that a part has some this many documents; a hub has as many partners in one group.
 POSTING, PARTNERS = 1 << 17, 256
-#: Rounds that compare components by single documents, at most, before all open pairs are compared.
-TURNS = 1
-#: Open pairs an entry of the postings may have, on average, without such a round.
-WORK = 4
+#: Turns that compare components by single documents, before all open pairs are compared; such a turn looks at one posting in SHARE.
+TURNS, SHARE = 2, 4
+#: Documents a component sends to a posting's comparison in a turn, and hubs of one kind there; documents of a posting that meet in one group.
+HUBS, BLOCK_DOCS = 8, 1024
 #: 64-bit words of the sketch that goes along with a posting's documents.
 BRIEF = 16
 #: Buffered leading tokens of a task.
@@ -88,7 +90,7 @@ def rep_texts(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
 
 def count_buckets(texts: DataFrame, span: int, bits: int) -> DataFrame:
-    """Rows (doc_id, n, sketch, brief) for each text, and (block, counts) of each task's count table; counts stop at 255 a task."""
+    """Rows (doc_id, n, sketch, brief) for each text, and (block, counts) of each task's count table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.int64 if bits < 16 else np.int32)
         for batch in batches:
@@ -103,14 +105,27 @@ def count_buckets(texts: DataFrame, span: int, bits: int) -> DataFrame:
             words = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BRIEF), pa.array(briefs.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sketches, pa.binary()), words, *none], names)
         for block in range(-(-len(table) // BLOCK)):
-            part = np.minimum(table[block * BLOCK : (block + 1) * BLOCK], 255).astype(np.uint8)
+            part = table[block * BLOCK : (block + 1) * BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([block], pa.int32()), pa.array([part.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([block], pa.int32()), pa.array([short_counts(part)], pa.binary())], names)
 
     names = ["doc_id", "n", "sketch", "brief", "block", "counts"]
     return texts.mapInArrow(run, "doc_id long, n long, sketch binary, brief array<long>, block int, counts binary")
 
 
+def short_counts(part: np.ndarray) -> bytes:
+    """A byte for each count; where it is 255 or more, the place and the rest follow."""
+    over = np.flatnonzero(part >= 255)
+    return np.minimum(part, 255).astype(np.uint8).tobytes() + packed(over.astype("<u2"), (part[over] - 255).astype("<u4"))
+
+
+def whole_counts(blob: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(blob, np.uint8, size).astype(np.int64)
+    over, rest = unpacked(blob[size:], "<u2", "<u4")
+    counts[over] += rest
+    return counts
+
+
 def parities(hashes: np.ndarray, slots: int) -> bytes:
     """A bit for each slot: whether an odd number of hashes has it."""
     return np.packbits(np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
@@ -139,16 +154,15 @@ def plausible(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def sum_blocks(blocks: DataFrame) -> DataFrame:
-    """(block, counts of a byte) to (block, counts of four bytes), in a stream: a task holds its blocks' sums only."""
+def sum_blocks(blocks: DataFrame, size: int) -> DataFrame:
+    """(block, short counts) to (block, counts of eight bytes), in a stream: a task holds its blocks' sums only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(counts, np.uint8)
-                sums[block] = sums.get(block, 0) + part.astype(np.uint32)
+                sums[block] = sums.get(block, 0) + whole_counts(counts, size)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<u4").tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
 
     return blocks.repartition(partitions(blocks.sparkSession), "block").mapInArrow(run, "block int, counts binary")
 
@@ -156,8 +170,8 @@ def sum_blocks(blocks: DataFrame) -> DataFrame:
 def learn_order(counted: DataFrame, bits: int, grams: int) -> Order:
     """Levels are steps of a count's distance from the mean, in standard deviations of chance: 0 below two, then four steps a doubling."""
     counts = np.zeros(1 << bits, np.int64)
-    for row in sum_blocks(counted.where("block IS NOT NULL").select("block", "counts")).toLocalIterator():
-        part = np.frombuffer(row["counts"], "<u4")
+    for row in sum_blocks(counted.where("block IS NOT NULL").select("block", "counts"), min(BLOCK, 1 << bits)).toLocalIterator():
+        part = np.frombuffer(row["counts"], "<i8")
         counts[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
     mean = counts.mean()
     spread = max(1.0, float(np.sqrt(mean)))
@@ -170,6 +184,15 @@ def learn_order(counted: DataFrame, bits: int, grams: int) -> Order:
     return Order(bits, levels, most, fragment_bits)
 
 
+def has_partner(tokens: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, least: int) -> np.ndarray:
+    """Of entries in order of token and size: whether another one of the token has a size with which a link is possible."""
+    posting = np.cumsum(np.concatenate([[False], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    key = (posting << 33) + sizes
+    low, high = -(-least * sizes // 100), lefts * (100 + least) // least - sizes
+    first, end = (np.searchsorted(key, (posting << 33) + bound, side) for bound, side in ((low, "left"), (np.maximum(high, 0), "right")))
+    return end - first > (sizes <= high)
+
+
 def postings(texts: DataFrame, order: Order, span: int, least: int) -> DataFrame:
     """(token, docs, sizes, lefts): the documents among whose leading tokens the token is, two or more, by size.
 
@@ -215,9 +238,12 @@ def postings(texts: DataFrame, order: Order, span: int, least: int) -> DataFrame
             t, d, n, left = (np.concatenate(c) for c in zip(*(unpacked(b, "<u8", "<i8", "<u4", "<u4") for b in blobs), strict=True))
             by = np.lexsort((d, n, t))
             t, d, n, left = t[by], d[by], n[by], left[by]
-            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(t)]]))
-            kept = (sizes > 1) | (own.salts(t[starts]) > 1)
+            split = own.salts(t) > 1
+            kept = split | has_partner(t, n.astype(np.int64), left.astype(np.int64), least)
+            t, d, n, left, split = t[kept], d[kept], n[kept], left[kept], split[kept]
+            starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+            sizes = np.diff(np.concatenate([starts, [len(t)]])).astype(np.int64)
+            kept = (sizes > 1) | split[starts]
             inside = np.repeat(kept, sizes)
             offsets = np.concatenate([[0], np.cumsum(sizes[kept])]).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(c[inside])) for c in (d, n.astype(np.int32), left.astype(np.int32))]
@@ -240,52 +266,20 @@ def postings(texts: DataFrame, order: Order, span: int, least: int) -> DataFrame
     return lead.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(gather, "token long, docs array<long>, sizes array<int>, lefts array<int>")
 
 
-def hub_pairs(found: DataFrame, least: int, every: int) -> DataFrame:
-    """(a, b): each document of a posting with a hub, the smallest that is not too small for it; two hubs a document at most.
-
-    every: only of one posting in so many. These pairs are a start that spares comparisons; near copies share many
-    postings, and what this misses open_pairs() finds.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = []
-            for docs, sizes, lefts in zip(*batch.columns, strict=True):
-                d, n, left = docs.values.to_numpy(), sizes.values.to_numpy().astype(np.int64), lefts.values.to_numpy().astype(np.int64)
-                at = 0
-                while at < len(d):
-                    end = int(np.searchsorted(n, 100 * n[at] // least, "right"))
-                    fits = np.minimum(left[at], left[at + 1 : end]) * (100 + least) >= least * (n[at] + n[at + 1 : end])
-                    rest = d[at + 1 : end][fits]
-                    pairs.append(np.stack([np.full(len(rest), d[at]), rest]))
-                    at = max(end, at + 1)
-            both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-            both = both[:, both[0] != both[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    some = found.where(F.pmod(F.xxhash64("token"), F.lit(every)) == 0).select("docs", "sizes", "lefts")
-    return best_two(some.mapInArrow(run, "a long, b long"))
-
-
-def best_two(pairs: DataFrame) -> DataFrame:
-    """Of each b's pairs, repeated as often as postings have them: the most frequent one and the one of the smallest a."""
-    often = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    two = often.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("most"), F.min("a").alias("least"))
-    return two.select(F.explode(F.array_distinct(F.array(-F.col("most.a"), F.col("least")))).alias("a"), "b")
-
-
 def linked(texts: DataFrame, candidates: DataFrame, sketches: DataFrame, order: Order, span: int, least: int) -> DataFrame:
     """The candidates (a, b) whose similarity is at least least hundredths.
 
     Each pair's documents meet in PARTS groups, one for each part of the order; a hub with many partners is in several
-    groups for each. The groups count the overlap in their part, and the counts are summed per pair.
+    groups for each, and a partner of many hubs is read once for each PARTNERS of them, about. The groups count the overlap in their part, and the counts are summed per pair.
     """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(order)
     pairs = written(plausible(candidates, sketches, least), "plausible")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
-    partner = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")).alias("to"))
-    hub = salts.select(F.col("a").alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("a").alias("hub"), s.alias("salt")))).alias("to"))
-    need = partner.unionByName(hub).groupBy("doc_id").agg(F.collect_list("to").alias("to"))
+    turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("turns"))
+    partner = pairs.join(salts, "a").join(turns, "b").select(F.col("b").alias("doc_id"), F.pmod(F.xxhash64("a"), F.col("turns")).alias("some"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")).alias("to"))
+    hub = salts.select(F.col("a").alias("doc_id"), F.lit(0).cast("long").alias("some"), F.explode(F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: F.struct(F.col("a").alias("hub"), s.alias("salt")))).alias("to"))
+    need = partner.unionByName(hub).groupBy("doc_id", "some").agg(F.collect_list("to").alias("to"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -334,41 +328,84 @@ def linked(texts: DataFrame, candidates: DataFrame, sketches: DataFrame, order:
     return narrow(sums.where(F.col("overlap") * 100 >= (F.col("total") - F.col("overlap")) * least).select("a", "b"))
 
 
-def open_entries(found: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(token, doc, n, left, root): entries of the postings that hold documents of several components."""
-    entries = found.select("token", F.explode(F.arrays_zip("docs", "sizes", "lefts")).alias("e"))
+def open_entries(found: DataFrame, groups: DataFrame | None, share: int = 1, turn: int = 0) -> DataFrame:
+    """(token, size, doc, n, left, root): entries of the postings that hold size documents, of several components; of one posting in share."""
+    some = found.where(F.pmod(F.xxhash64("token"), F.lit(share)) == turn % share) if share > 1 else found
+    entries = some.select("token", F.explode(F.arrays_zip("docs", "sizes", "lefts")).alias("e"))
     entries = entries.select("token", F.col("e.docs").alias("doc"), F.col("e.sizes").alias("n"), F.col("e.lefts").alias("left"))
-    if groups is not None:
-        entries = entries.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left")
+    if groups is None:
+        entries = entries.withColumn("root", F.col("doc"))
     else:
-        entries = entries.withColumn("root", F.lit(None).cast("long"))
-    entries = entries.withColumn("root", F.coalesce("root", "doc"))
-    several = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    return written(entries.join(several, "token"), "open-postings").select("token", "doc", "n", "left", "root")
+        entries = entries.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token", "size")
+    return written(entries.join(several, "token"), "open-postings").select("token", "size", "doc", "n", "left", "root")
 
 
-def open_pairs(entries: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """(a, b): all pairs of a posting in different components whose sizes, places and brief sketches allow a link."""
-    entries = entries.join(sketches.select(F.col("doc_id").alias("doc"), "brief"), "doc")
-    left, right = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "left", "root", "brief")]) for s in "lr")
-    fits = (F.col("doc_l") < F.col("doc_r")) & (F.col("root_l") != F.col("root_r")) & (F.least("left_l", "left_r") * (100 + least) >= (F.col("n_l") + F.col("n_r")) * least)
-    differ = sum(F.bit_count(F.col("brief_l")[k].bitwiseXOR(F.col("brief_r")[k])) for k in range(BRIEF))
-    fits = fits & (differ * (100 + least) <= (F.col("n_l") + F.col("n_r")) * (100 - least))
-    return left.join(right, (left.token == right.token) & fits).select(F.col("doc_l").alias("a"), F.col("doc_r").alias("b")).distinct()
+def nearest_hubs(entries: DataFrame, sketches: DataFrame, turn: int, least: int) -> DataFrame:
+    """(a, b): open pairs of documents that are likely to be linked, two for each b at most; others each turn.
+
+    In a posting every component sends HUBS documents at most. Some of these are hubs: of the component that has most there,
+    and of all. Each document takes the hub of another component whose brief sketch is nearest. Large postings are dealt
+    into blocks, each with hubs of its own. What this leaves out, open_pairs() finds.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("e")
+            sizes = np.diff(column.offsets.to_numpy())
+            fields = column.values
+            doc, root, draw = (fields.field(c).to_numpy() for c in ("doc", "root", "draw"))
+            n, left = (fields.field(c).to_numpy().astype(np.int64) for c in ("n", "left"))
+            brief = fields.field("brief").values.to_numpy().view(np.uint64).reshape(-1, BRIEF)
+            posting = np.repeat(np.arange(len(sizes)), sizes)
+            starts = np.cumsum(sizes) - sizes
+            by_root = np.lexsort((root, posting))
+            new = np.ones(len(doc), bool)
+            new[1:] = (root[by_root][1:] != root[by_root][:-1]) | (posting[by_root][1:] != posting[by_root][:-1])
+            heads = np.flatnonzero(new)
+            many = np.empty(len(doc), np.int64)
+            many[by_root] = np.repeat(np.diff(np.append(heads, len(doc))), np.diff(np.append(heads, len(doc))))
+            best, near = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), -1)
+            for order in (np.lexsort((draw, root, -many, posting)), np.lexsort((draw, posting))):
+                for k in range(min(HUBS, int(sizes.max(initial=0)))):
+                    who = np.flatnonzero(sizes[posting] > k)
+                    hub = order[starts[posting[who]] + k]
+                    total = n[who] + n[hub]
+                    fits = (root[who] != root[hub]) & (np.minimum(left[who], left[hub]) * (100 + least) >= least * total)
+                    who, hub, total = who[fits], hub[fits], total[fits]
+                    differ = np.bitwise_count(brief[who] ^ brief[hub]).sum(axis=1, dtype=np.int64)
+                    far = differ * 10000 // total
+                    better = (differ * (100 + least) <= total * (100 - least)) & (far < best[who])
+                    best[who[better]], near[who[better]] = far[better], hub[better]
+            found = near >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(doc[near[found]]), pa.array(doc[found]), pa.array(best[found])], ["a", "b", "far"])
+
+    some = entries.withColumn("draw", F.xxhash64("doc", F.lit(turn)))
+    some = some.withColumn("at", F.row_number().over(W.partitionBy("token", "root").orderBy("draw", "doc"))).where(F.col("at") <= HUBS).drop("at", "size")
+    blocks = some.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("blocks")).where("blocks > 1")
+    some = some.join(blocks, "token", "left").withColumn("block", F.pmod("draw", F.coalesce("blocks", F.lit(1))))
+    some = some.join(sketches.select(F.col("doc_id").alias("doc"), "brief"), "doc")
+    met = some.groupBy("token", "block").agg(F.collect_list(F.struct("doc", "n", "left", "root", "draw", "brief")).alias("e"))
+    near = met.select("e").mapInArrow(run, "a long, b long, far long")
+    two = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("nearest"), F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a")).alias("other"))
+    pairs = two.select(F.explode(F.array_distinct(F.array("nearest.a", "other.a"))).alias("a"), "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def component_hubs(entries: DataFrame, turn: int, least: int) -> DataFrame:
-    """(a, b): in each posting, one document of each component with one of the component that has most there; others each turn.
+def open_pairs(entries: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """(a, b): all pairs of a posting in different components whose sizes, places and brief sketches allow a link.
 
-    A document is compared with two others at most.
+    A large posting is dealt into blocks, and each pair of blocks meets in a group of its own.
     """
-    draw = F.struct(F.xxhash64("doc", F.lit(turn)).alias("draw"), "doc", "n", "left")
-    ones = entries.groupBy("token", "root").agg(F.min(draw).alias("one"), F.count(F.lit(1)).alias("docs"))
-    most = ones.groupBy("token").agg(F.max_by("one", F.struct("docs", F.col("root"))).alias("most"), F.max(F.struct("docs", "root")).alias("of"))
-    fits = F.least("most.left", "one.left") * (100 + least) >= (F.col("most.n") + F.col("one.n")) * least
-    pairs = ones.join(most, "token").where((F.col("root") != F.col("of.root")) & fits)
-    two = best_two(pairs.select(F.col("most.doc").alias("a"), F.col("one.doc").alias("b")))
-    return two.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = F.ceil(F.col("size") / BLOCK_DOCS).cast("int")
+    entries = entries.join(sketches.select(F.col("doc_id").alias("doc"), "brief"), "doc").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
+    left, right = (entries.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "left", "root", "brief", "block", "blocks")]) for s in "lr")
+    left = left.withColumn("other", F.explode(F.sequence("block_l", F.col("blocks_l") - 1)))
+    right = right.withColumn("other", F.explode(F.sequence(F.lit(0), "block_r")))
+    fits = ((F.col("block_l") < F.col("block_r")) | (F.col("doc_l") < F.col("doc_r"))) & (F.col("root_l") != F.col("root_r")) & (F.least("left_l", "left_r") * (100 + least) >= (F.col("n_l") + F.col("n_r")) * least)
+    differ = sum(F.bit_count(F.col("brief_l")[k].bitwiseXOR(F.col("brief_r")[k])) for k in range(BRIEF))
+    fits = fits & (differ * (100 + least) <= (F.col("n_l") + F.col("n_r")) * (100 - least))
+    same = (left.token == right.token) & (left.other == right.block_r) & (right.other == left.block_l)
+    return left.join(right, same & fits).select(F.least("doc_l", "doc_r").alias("a"), F.greatest("doc_l", "doc_r").alias("b")).distinct()
 
 
 def stars(groups: DataFrame) -> DataFrame:
@@ -376,14 +413,6 @@ def stars(groups: DataFrame) -> DataFrame:
     return groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
-def open_work(entries: DataFrame) -> tuple[int, int]:
-    """Entries, and pairs of entries of one posting in different components."""
-    per_root = entries.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    per_token = per_root.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    row = per_token.agg(F.sum("c").alias("n"), F.sum((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")).head()
-    return row["n"] or 0, int(row["pairs"] or 0)
-
-
 def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
@@ -404,25 +433,14 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     order = learn_order(counted, bits, grams)
     found = written(postings(texts, order, span, least), "postings")
 
-    pairs = written(narrow(hub_pairs(found, least, 4)), "pairs")
-    links = written(linked(texts, pairs, sketches, order, span, least), "links")
-    groups = written(narrow(components(links)), "groups")
-    entries = open_entries(found, groups)
-    for turn in range(TURNS):
-        n, work = open_work(entries)
-        if work <= WORK * n:
-            break
-        more = written(component_hubs(entries, turn, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    groups, pairs = None, None
+    for turn in range(TURNS + 1):
+        entries = open_entries(found, groups, SHARE if turn < TURNS else 1, turn)
+        more = nearest_hubs(entries, sketches, turn, least) if turn < TURNS else open_pairs(entries, sketches, least)
+        more = written(narrow(more if pairs is None else more.join(pairs, ["a", "b"], "left_anti")), "pairs")
         links = written(linked(texts, more, sketches, order, span, least), "links")
-        pairs = pairs.unionByName(more)
-        if links.isEmpty():
-            break
-        groups = written(narrow(components(links.unionByName(stars(groups)))), "groups")
-        entries = open_entries(found, groups)
-    rest = written(open_pairs(entries, sketches, least).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = written(linked(texts, rest, sketches, order, span, least), "links")
-        groups = written(narrow(components(links.unionByName(stars(groups)))), "groups")
+        groups = written(narrow(components(links if groups is None else links.unionByName(stars(groups)))), "groups")
+        pairs = more if pairs is None else pairs.unionByName(more)
 
     sizes = sketches.select(F.col("doc_id").alias("rep"), "n")
     known = reps.select("digest", "rep").join(sizes, "rep").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))

@@ -7,6 +7,35 @@ from zonalis.llm.quality import STOP_WORDS
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+# Shingles are compared as hashes of 128 bits; a component is reached by steps along the links.
+OP1 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+# Bytes are taken as pairs of hexadecimal digits.
+OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, c, x[2000 * c + 1:2000 * c + 2098] AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2000 + 1)) AS c FROM d)),
+p AS (SELECT doc_id, 1000 * c + j AS i, y[2 * j + 1:2 * j + 100] AS s FROM (SELECT *, unnest(range(0, least(1000, len(y) // 2 - 49))) AS j FROM c)),
+m AS (SELECT s, min(doc_id) AS first FROM p GROUP BY 1 HAVING count(*) > 1),
+g AS (SELECT doc_id, i FROM p JOIN m USING (s) WHERE doc_id > first),
+o AS (SELECT doc_id, i, i - max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM g),
+b AS (SELECT doc_id, i, sum(CASE WHEN step <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z, lag(max(i) + 50, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS last FROM b GROUP BY 1, 2),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail, string_agg(x[2 * last + 1:2 * a], '' ORDER BY run) AS head FROM r JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN x ELSE head || x[2 * tail + 1:] END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP2 = f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
@@ -88,4 +117,4 @@ FROM w LEFT JOIN s USING (r)
 """
 
 
-ORACLES = {"op7_mixing": OP7, "op2_exact_dedup": OP2, "op9_url_filters": OP9, "op10_quality_rules": OP10, "op6_pii": _pii_sql()}
+ORACLES = {"op1_ngram_join": OP1, "op3_suffix_dedup": OP3, "op7_mixing": OP7, "op2_exact_dedup": OP2, "op9_url_filters": OP9, "op10_quality_rules": OP10, "op6_pii": _pii_sql()}

@@ -94,25 +94,28 @@ def _pii_sql() -> str:
         ("card", r"[0-9]([\x20-]?[0-9])+"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
         ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"),
+        ("secret", r"[A-Za-z0-9_+/=-]{24,}"),
     ]
     found = " UNION ALL ".join(f"SELECT r, {k} AS ord, '{kind}' AS kind, regexp_extract_all(text, '{rx}') AS ms, text AS t FROM w" for k, (kind, rx) in enumerate(plain))
     pieces = "CASE kind " + " ".join(f"WHEN '{kind}' THEN string_split_regex(t, '{rx}')" for kind, rx in plain) + " END"
     code = "replace(m, ' ', '')"
     mod97 = f"list_reduce([0] || list_transform(string_split({code}[5:] || {code}[1:4], ''), lambda c: ascii(c)), lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END) = 1"
     octets = "list_reduce(list_transform(string_split(m, '.'), lambda s: (length(ltrim(s, '0')) <= 3 AND coalesce(try_cast(right(s, 3) AS INT), 0) <= 255)::INT), lambda a, b: a * b) = 1"
+    before = "translate(t[greatest(pos::BIGINT - 40, 0) + 1:pos::BIGINT], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     luhn = "list_sum(list_transform(range(0, length(d)::BIGINT), lambda j: CASE WHEN j % 2 = 0 THEN d[length(d) - j]::INT WHEN d[length(d) - j]::INT > 4 THEN 2 * d[length(d) - j]::INT - 9 ELSE 2 * d[length(d) - j]::INT END)) % 10 = 0"
     return f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 f AS ({found}),
-q AS (SELECT r, ord, kind, ms, {pieces} AS ps FROM f WHERE len(ms) > 0),
-e AS (SELECT r, ord, kind, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d,
+q AS (SELECT r, ord, kind, ms, t, {pieces} AS ps FROM f WHERE len(ms) > 0),
+e AS (SELECT r, ord, kind, t, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d,
         list_sum(list_transform(ps[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda s: length(s))), 0) AS pos
       FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM q)),
 v AS (SELECT r, ord, kind, pos, kind || ':' || pos::BIGINT || ':' || (pos + length(m))::BIGINT AS said FROM e WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN {octets}
-        WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND {luhn} WHEN 'iban' THEN length({code}) BETWEEN 15 AND 34 AND {mod97} ELSE length(d) BETWEEN 9 AND 15 END),
+        WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND {luhn} WHEN 'iban' THEN length({code}) BETWEEN 15 AND 34 AND {mod97}
+        WHEN 'secret' THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND regexp_matches({before}, 'token|secret|passw|api|key|auth|bearer|credential') ELSE length(d) BETWEEN 9 AND 15 END),
 s AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-        string_agg(said, ',' ORDER BY pos, ord) FILTER (kind <> 'iban') AS base, string_agg(said, ',' ORDER BY pos, ord) AS spans FROM v GROUP BY r)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        string_agg(said, ',' ORDER BY pos, ord) FILTER (ord < 4) AS base, string_agg(said, ',' ORDER BY pos, ord) AS spans, count(*) AS n_spans FROM v GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans
 FROM w LEFT JOIN s USING (r)
 """
 

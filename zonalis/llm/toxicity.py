@@ -190,9 +190,9 @@ def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """fit() and score() together: doc_id, held_out, score, predicted."""
+    """fit() and score() together: doc_id, held_out, score, predicted, evidence."""
     scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -27,8 +27,9 @@ BUCKET, GROWN = 64, 256
 #: next word, and an apostrophe tries two letters.
 CONTEXT = 2
 
-#: A document with its tree: leaves in order of the text, then the sums, root at 1 and the children of k at 2k and 2k + 1.
-TREE = "doc_id long, text string, lengths array<int>, counts array<int>, node_chars array<long>, node_tokens array<long>"
+#: A document with its tree: leaves in order of the text, how many each bucket has, then the sums, root at 1 and the
+#: children of k at 2k and 2k + 1.
+TREE = "doc_id long, text string, lengths array<int>, counts array<int>, buckets array<int>, node_chars array<long>, node_tokens array<long>"
 
 
 class Counts:
@@ -52,8 +53,13 @@ class Counts:
         return self.known
 
 
+def even(leaves: int) -> np.ndarray:
+    """The sizes of buckets of so many leaves: BUCKET, and what is left in the last."""
+    return np.diff(np.append(np.arange(0, leaves, BUCKET), leaves)).astype(np.int32)
+
+
 def node_sums(leaves: np.ndarray) -> np.ndarray:
-    """The nodes over buckets of leaves, as a heap with a power of two of buckets."""
+    """The nodes over even buckets of leaves, as a heap with a power of two of buckets."""
     n = -(-len(leaves) // BUCKET)
     width = 1
     while width < n:
@@ -70,13 +76,16 @@ def node_sums(leaves: np.ndarray) -> np.ndarray:
 class Tree:
     """One document's tree. The words of a bucket are cut from the text when an edit first needs them."""
 
-    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, chars: np.ndarray, tokens: np.ndarray):
-        self._start(text, lengths, counts, chars, tokens)
+    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, buckets: np.ndarray, chars: np.ndarray, tokens: np.ndarray):
+        self._start(text, lengths, counts, buckets, chars, tokens)
         self.encoded = 0
 
-    def _start(self, text, lengths, counts, chars, tokens) -> None:
+    def _start(self, text, lengths, counts, buckets, chars, tokens) -> None:
         self.text, self.lengths, self.counts, self.chars, self.tokens = text, lengths, counts, chars.copy(), tokens.copy()
         self.width = len(chars) // 2
+        sizes = np.zeros(self.width, np.int64)
+        sizes[: len(buckets)] = buckets
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.opened: dict[int, tuple[list[str], list[int | None]]] = {}
         self.at_start = self.chars.copy()
 
@@ -91,12 +100,13 @@ class Tree:
 
     def _bucket(self, b: int) -> tuple[list[str], list[int | None]]:
         if b not in self.opened:
-            lengths = self.lengths[b * BUCKET : (b + 1) * BUCKET].tolist()
+            here = slice(int(self.first[b]), int(self.first[b + 1]))
+            lengths = self.lengths[here].tolist()
             at, words = self._before(self.at_start, b), []
             for n in lengths:
                 words.append(self.text[at : at + n])
                 at += n
-            self.opened[b] = (words, self.counts[b * BUCKET : (b + 1) * BUCKET].tolist())
+            self.opened[b] = (words, self.counts[here].tolist())
         return self.opened[b]
 
     def _find(self, place: int) -> tuple[int, int]:
@@ -179,8 +189,8 @@ class Tree:
 
     def _again(self) -> None:
         """Cuts the leaves into buckets again. New ones keep a count of -1 until they are encoded."""
-        text, lengths, counts = self.leaves()
-        self._start(text, lengths, counts, node_sums(lengths), node_sums(np.maximum(counts, 0)))
+        text, lengths, counts, _ = self.leaves()
+        self._start(text, lengths, counts, even(len(lengths)), node_sums(lengths), node_sums(np.maximum(counts, 0)))
         for b in np.unique(np.flatnonzero(counts < 0) // BUCKET).tolist():
             words, some = self._bucket(b)
             self.opened[b] = (words, [None if c < 0 else c for c in some])
@@ -199,25 +209,26 @@ class Tree:
                 self.tokens[k] += change
                 k >>= 1
 
-    def leaves(self) -> tuple[str, np.ndarray, np.ndarray]:
-        """The text now, and its leaves: lengths and counts (-1: not encoded yet)."""
+    def leaves(self) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """The text now, its leaves (lengths and counts, -1: not encoded yet), and how many each bucket has."""
+        sizes = np.diff(self.first).astype(np.int32)
         if not self.opened:
-            return self.text, self.lengths, self.counts
+            return self.text, self.lengths, self.counts, sizes
         texts, lengths, counts, at, done = [], [], [], 0, 0
         for b in sorted(self.opened):
             start = self._before(self.at_start, b)
             texts.append(self.text[at:start])
-            lengths.append(self.lengths[done : b * BUCKET])
-            counts.append(self.counts[done : b * BUCKET])
+            lengths.append(self.lengths[done : self.first[b]])
+            counts.append(self.counts[done : self.first[b]])
             words, some = self.opened[b]
             texts += words
             lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
             counts.append(np.fromiter((-1 if c is None else c for c in some), np.int32, len(some)))
-            at, done = start + int(self.at_start[b + self.width]), (b + 1) * BUCKET
+            at, done, sizes[b] = start + int(self.at_start[b + self.width]), int(self.first[b + 1]), len(words)
         texts.append(self.text[at:])
         lengths.append(self.lengths[done:])
         counts.append(self.counts[done:])
-        return "".join(texts), np.concatenate(lengths), np.concatenate(counts)
+        return "".join(texts), np.concatenate(lengths), np.concatenate(counts), sizes
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -238,9 +249,9 @@ def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind.to_pandas_dtype()), kind))
 
 
-def _tree_columns(ids: pa.Array, texts: list[str], lengths: list[np.ndarray], counts: list[np.ndarray], chars: list[np.ndarray], tokens: list[np.ndarray]) -> list[pa.Array]:
+def _tree_columns(ids: pa.Array, texts: list[str], lengths: list[np.ndarray], counts: list[np.ndarray], buckets: list[np.ndarray], chars: list[np.ndarray], tokens: list[np.ndarray]) -> list[pa.Array]:
     small, large = pa.int32(), pa.int64()
-    return [ids.cast(large), pa.array(texts, pa.string()), _lists(lengths, small), _lists(counts, small), _lists(chars, large), _lists(tokens, large)]
+    return [ids.cast(large), pa.array(texts, pa.string()), _lists(lengths, small), _lists(counts, small), _lists(buckets, small), _lists(chars, large), _lists(tokens, large)]
 
 
 def _names(schema: str) -> list[str]:
@@ -265,7 +276,7 @@ def with_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 table = counter.of(set(chain.from_iterable(words)))
                 lengths += [np.fromiter(map(len, w), np.int32, len(w)) for w in words]
                 counts += [np.fromiter(map(table.__getitem__, w), np.int32, len(w)) for w in words]
-            columns = _tree_columns(batch.column("doc_id"), texts, lengths, counts, [node_sums(x) for x in lengths], [node_sums(x) for x in counts])
+            columns = _tree_columns(batch.column("doc_id"), texts, lengths, counts, [even(len(x)) for x in lengths], [node_sums(x) for x in lengths], [node_sums(x) for x in counts])
             yield pa.RecordBatch.from_arrays(columns, _names(TREE))
 
     return docs.select("doc_id", "text").mapInArrow(run, TREE)
@@ -300,12 +311,8 @@ def apply_edits(trees: DataFrame, path: str, pattern: str) -> DataFrame:
             for tree in trees_:
                 tree.fill(table)
             leaves = [t.leaves() for t in trees_]
-            new_texts, lengths, counts = map(list, zip(*leaves, strict=True)) if leaves else ([], [], [])
-            # Leaves are written in even buckets, so the sums of a tree whose buckets have grown or shrunk are laid out anew.
-            even = [t.opened == {} for t in trees_]
-            chars = [t.chars if e else node_sums(x) for t, e, x in zip(trees_, even, lengths, strict=True)]
-            tokens = [t.tokens if e else node_sums(x) for t, e, x in zip(trees_, even, counts, strict=True)]
-            columns = _tree_columns(batch.column("doc_id"), new_texts, lengths, counts, chars, tokens)
+            new_texts, lengths, counts, buckets = map(list, zip(*leaves, strict=True)) if leaves else ([], [], [], [])
+            columns = _tree_columns(batch.column("doc_id"), new_texts, lengths, counts, buckets, [t.chars for t in trees_], [t.tokens for t in trees_])
             columns += [pa.array(before, pa.int64()), pa.array([t.encoded for t in trees_], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, _names(schema))
 

@@ -190,6 +190,12 @@ def test_pii(spark):
     assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (4, 1, 1, 1) and "iban:" in got[1].spans
     assert got[2].spans == got[4].spans == "" and got[3].spans == "email:11:17"
     assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[3] == "é" * 10 + " [email]"
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'Token = "{key}"'), (1, f'Token = "{key}"'), (None, f"commit {key}"), (None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.spans, r.n_spans) for r in pii.summary(pii.find_pii(odd)).collect()) == [(0, "", 0), (0, "", 0), (1, "secret:9:49", 1), (1, "secret:9:49", 1)]
+    assert sorted(r.text for r in pii.redact(odd).collect()) == ["", 'Token = "[secret]"', 'Token = "[secret]"', f"commit {key}"]
+    assert pii.summary(pii.find_pii(odd.limit(0))).count() == 0
 
 
 def test_mixing(docs, nothing):
@@ -209,6 +215,31 @@ def test_urls(spark):
     assert got[0][1:4] == ("a.b.com", "/en/1", "com/en/") and got[3][1:4] == ("", "", None)
 
 
+def test_urls_odd_rows(spark):
+    rows = [(1, "http://com/en/", 5), (1, "http://com/en/", 5), (None, None, 6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule long")
+    got = sorted((r.page_id or 0, r.host, r.verdict) for r in url_filters.judge(pages).collect())
+    assert got == [(0, "", "allow"), (1, "com", "block"), (1, "com", "block")]
+    assert url_filters.judge(pages.limit(0)).count() == 0
+
+
+def test_trie_against_all_rules():
+    rnd = random.Random(6)
+    part = lambda: rnd.choice(["a", "ab", "abc", "b", ""])
+    rules = [(rnd.choice(["allow", "block"]), rnd.choice(["com", "x.com", "y.x.com"]) + "/" + "/".join(part() for _ in range(rnd.randint(0, 3)))) for _ in range(60)]
+    trie = url_filters.build_trie(rules)
+    for _ in range(300):
+        host, path = rnd.choice(["com", "x.com", "y.x.com", "z.y.x.com", "xx.com"]), "/" + "/".join(part() for _ in range(rnd.randint(0, 4)))
+        fit = [(h.count("."), len(p), v == "block", h + p) for v, r in rules for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = max(fit) if fit else None
+        assert url_filters.longest(trie, host, path) == ((want[3], "block" if want[2] else "allow") if want else (None, None))
+
+
+def test_many_rules_below_one_host():
+    trie = url_filters.build_trie([("block", f"com/page{k}") for k in range(20_000)])
+    assert url_filters.longest(trie, "www.com", "/page12345") == ("com/page12345", "block")
+
+
 def test_quality(docs, nothing):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for d, t in by_id(docs).items():

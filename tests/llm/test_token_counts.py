@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from zonalis.llm import token_counts
-from zonalis.llm.token_counts import Counts, Tree, node_sums
+from zonalis.llm.token_counts import Counts, Tree, even, node_sums
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 PIECES = ["a", "word", " ", "  ", "\n", "\t", "'", "'l", "'ll", "'re", "12", "é", "…", "!?", "don't", " x", " ", "中文", "z" * 90]
@@ -38,14 +38,19 @@ def test_random_edits(library):
         words = split.findall(text)
         table = counter.of(set(words))
         lengths, counts = np.array([len(w) for w in words], np.int32), np.array([table[w] for w in words], np.int32)
-        tree = Tree(text, lengths, counts, node_sums(lengths), node_sums(counts))
+        tree = Tree(text, lengths, counts, even(len(words)), node_sums(lengths), node_sums(counts))
         for step in range(12):
             edit = (rnd.randint(-2, len(text) + 3), rnd.choice([0, 1, 2, 5, 400]), piece(rnd.choice([1, 4, 400])))
             text = changed(text, *edit)
             tree.edit(split, *edit)
             if step % 4 == 3:
                 tree.fill(counter.of(set(tree.pending())))
-                own, own_lengths, own_counts = tree.leaves()
+                own, own_lengths, own_counts, buckets = tree.leaves()
+                tokens, chars = (np.bincount(np.repeat(np.arange(len(buckets)), buckets), x, len(buckets)) for x in (own_counts, own_lengths))
+                assert tree.tokens[tree.width :].tolist() == tokens.tolist() and tree.chars[tree.width :].tolist() == chars.tolist()
+                assert all(x[k] == x[2 * k] + x[2 * k + 1] for x in (tree.tokens, tree.chars) for k in range(1, tree.width))
+                if step % 8 == 7:  # the tree as it was written
+                    tree = Tree(own, own_lengths, own_counts, buckets, tree.chars, tree.tokens)
                 assert own == text
                 assert own_lengths.tolist() == [len(w) for w in split.findall(text)]
                 assert own_counts.sum() == tree.tokens[1] == len(library.encode_ordinary(text))
@@ -58,7 +63,7 @@ def test_few_are_encoded_again():
     words = split.findall(text)
     table = counter.of(set(words))
     lengths, counts = np.array([len(w) for w in words], np.int32), np.array([table[w] for w in words], np.int32)
-    tree = Tree(text, lengths, counts, node_sums(lengths), node_sums(counts))
+    tree = Tree(text, lengths, counts, even(len(words)), node_sums(lengths), node_sums(counts))
     tree.edit(split, 20000, 3, "new")
     assert 0 < tree.encoded < 8
 

@@ -18,7 +18,7 @@ some comparisons for each of its documents, not their square.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,8 +80,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return rows, reps, reps.agg(F.sum("bytes")).head()[0] or 0
 
 
-def rep_texts(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """doc_id and text of the rows that stand for a class, bucketed by doc_id: the later joins leave the texts in place."""
+def rep_texts(docs: DataFrame, reps: DataFrame, size: int) -> tuple[DataFrame, Callable[[], None]]:
+    """doc_id and text of the rows that stand for a class, bucketed by doc_id: the later joins leave the texts in place. And what removes them."""
     spark = docs.sparkSession
     # At least as many as a shuffle has, or the join would deal the texts out a second time.
     buckets = max(partitions(spark), -(-size // (64 << 20)))
@@ -425,7 +425,7 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     spark = docs.sparkSession
     small_batches(spark)
     rows, reps, size = classes(docs)
-    texts = rep_texts(docs, reps, size)
+    texts, remove_texts = rep_texts(docs, reps, size)
     grams = max(1, size // 6)
     bits = int(np.clip(np.ceil(np.log2(grams / 4 + 1)), 10, MAX_BITS))
     counted = written(count_buckets(texts, span, bits), "counts")
@@ -441,6 +441,7 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
         links = written(linked(texts, more, sketches, order, span, least), "links")
         groups = written(narrow(components(links if groups is None else links.unionByName(stars(groups)))), "groups")
         pairs = more if pairs is None else pairs.unionByName(more)
+    remove_texts()
 
     sizes = sketches.select(F.col("doc_id").alias("rep"), "n")
     known = reps.select("digest", "rep").join(sizes, "rep").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, a local one for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/zonalis-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -41,13 +44,22 @@ def keyed(docs: DataFrame, text: Column | None = None) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest": F.sha2(text, 256)})
 
 
-def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """The rows of df whose key is in ids, one for each key, written in hash buckets of the key: later joins on it leave them in place."""
+def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows of df whose key is in ids, one for each key, written in hash buckets of the key: later joins on it leave them in place.
+
+    The second value removes the table and its files, once no later step reads it.
+    """
     spark = df.sparkSession
-    table = f"zonalis_{name}_{uuid.uuid4().hex}"
+    table, path = f"zonalis_{name}_{uuid.uuid4().hex}", scratch(spark, name)
     rows = df.repartition(buckets, key).join(ids, key, "left_semi").dropDuplicates([key])
-    rows.write.bucketBy(buckets, key).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
-    return spark.table(table)
+    rows.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(table)
+
+    def remove() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return spark.table(table), remove
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ NONE = np.int64(1 << 40)
 #: Rows longer than this are merged one by one, many places a round.
 LONG = 128
 #: Pre-tokens remembered by a task, and the characters of one that is remembered at most.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 64
+REMEMBERED, REMEMBERED_BYTES = 200_000, 64
 #: Characters of text that are split together.
 CHUNK = 2_000_000
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from zonalis.llm.shared import bucketed_copy, keyed, narrow, partitions, small_b
 #: Words of an n-gram, and the similarity in hundredths.
 SPAN, LEAST = 5, 75
 #: The count table has 2**MAX_BITS buckets at most, a byte each where it is broadcast: 8 MB.
-MAX_BITS, BLOCK = 23, 1 << 16
+MAX_BITS, BLOCK = 23, 1 << 15
 #: Leading tokens a fragment of the order holds, about; fragments in which a pair's overlap is counted.
 FRAGMENT_TOKENS, PARTS = 1 << 18, 4
 #: A posting is split by a hash of doc_id so that a part has some this many documents; a hub has as many partners in one group.
@@ -161,8 +162,8 @@ def sum_blocks(blocks: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[block] = sums.get(block, 0) + whole_counts(counts, size)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
+        for block, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
 
     return blocks.repartition(partitions(blocks.sparkSession), "block").mapInArrow(run, "block int, counts binary")
 
@@ -193,14 +194,13 @@ def has_partner(tokens: np.ndarray, sizes: np.ndarray, lefts: np.ndarray, least:
     return end - first > (sizes <= high)
 
 
-def postings(texts: DataFrame, order: Order, span: int, least: int) -> DataFrame:
+def postings(texts: DataFrame, shared: Broadcast, span: int, least: int) -> DataFrame:
     """(token, docs, sizes, lefts): the documents among whose leading tokens the token is, two or more, by size.
 
     lefts: how many tokens of the document the order has from this one on. At the first token that two documents share,
     the smaller of theirs bounds the overlap.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(order)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -266,14 +266,13 @@ def postings(texts: DataFrame, order: Order, span: int, least: int) -> DataFrame
     return lead.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(gather, "token long, docs array<long>, sizes array<int>, lefts array<int>")
 
 
-def linked(texts: DataFrame, candidates: DataFrame, sketches: DataFrame, order: Order, span: int, least: int) -> DataFrame:
+def linked(texts: DataFrame, candidates: DataFrame, sketches: DataFrame, shared: Broadcast, span: int, least: int) -> DataFrame:
     """The candidates (a, b) whose similarity is at least least hundredths.
 
     Each pair's documents meet in PARTS groups, one for each part of the order; a hub with many partners is in several
     groups for each, and a partner of many hubs is read once for each PARTNERS of them, about. The groups count the overlap in their part, and the counts are summed per pair.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(order)
     pairs = written(plausible(candidates, sketches, least), "plausible")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("salts"))
     turns = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("turns"))
@@ -431,16 +430,18 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     counted = written(count_buckets(texts, span, bits), "counts")
     sketches = counted.where("block IS NULL").select("doc_id", "n", "sketch", "brief")
     order = learn_order(counted, bits, grams)
-    found = written(postings(texts, order, span, least), "postings")
+    shared = spark.sparkContext.broadcast(order)
+    found = written(postings(texts, shared, span, least), "postings")
 
     groups, pairs = None, None
     for turn in range(TURNS + 1):
         entries = open_entries(found, groups, SHARE if turn < TURNS else 1, turn)
         more = nearest_hubs(entries, sketches, turn, least) if turn < TURNS else open_pairs(entries, sketches, least)
         more = written(narrow(more if pairs is None else more.join(pairs, ["a", "b"], "left_anti")), "pairs")
-        links = written(linked(texts, more, sketches, order, span, least), "links")
+        links = written(linked(texts, more, sketches, shared, span, least), "links")
         groups = written(narrow(components(links if groups is None else links.unionByName(stars(groups)))), "groups")
         pairs = more if pairs is None else pairs.unionByName(more)
+    shared.destroy()
     remove_texts()
 
     sizes = sketches.select(F.col("doc_id").alias("rep"), "n")

@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 seen[y].update(row_terms(text).keys())
                 rows_of[y] += 1
-                if len(seen[0]) + len(seen[1]) > 300_000:
+                if len(seen[0]) + len(seen[1]) > 100_000:
                     yield out()
                     seen[0].clear(), seen[1].clear()
                     rows_of[:] = 0, 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Digital numbers to physical units.
 OPTICAL, THERMAL, KELVIN, REFLECTANCE, COARSE_THERMAL = (0.0000275, -0.2), (0.00341802, 149.0), 273.15, 0.0001, 0.02
 #: Bands of agreement, each up to its bound.
-KAPPA_BANDS = [(0.0, "poor"), (0.20, "slight"), (0.40, "fair"), (0.60, "moderate"), (0.80, "substantial")]
+KAPPA_BANDS = [(0.0, "poor (worse than chance)"), (0.20, "slight"), (0.40, "fair"), (0.60, "moderate"), (0.80, "substantial")]
 
 
 def qa_clear(qa: Column, saturated: Column, bits: range = range(1, 6)) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Ordered ranges that values are dealt into for ranking.
+RANGES = 4096
+
+
 def class_histogram(df: DataFrame, col: str) -> DataFrame:
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))  # one row a class
@@ -38,14 +42,26 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("n", "observed", F.try_divide(F.col("observed") - chance, 1 - chance).alias("kappa"))
 
 
-def average_rank(col: str) -> Column:
-    """Ranks from 1; equal values share the mean of theirs. Over one window: for tables of zones."""
-    return F.rank().over(W.orderBy(col)) + (F.count(F.lit(1)).over(W.partitionBy(col)) - 1) / 2
+def average_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
+    """(col, name): the rank of each value from 1; equal values share the mean of theirs.
+
+    Values are counted, dealt into ordered ranges, and ranked by the ranges' sums and their place in the range.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    ends = F.broadcast(counts.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")))  # one row
+    place = F.coalesce(F.try_divide(F.col(col) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    dealt = counts.crossJoin(ends).select(col, "n", F.floor(place * (RANGES - 1)).alias("range"))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
+    sums = dealt.groupBy("range").agg(F.sum("n").alias("s")).select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy("range").orderBy(col).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("lower", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(sums), "range")
+    return placed.select(col, (F.col("start") + F.col("lower") + (F.col("n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(average_rank(a).alias("ra"), average_rank(b).alias("rb"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("spearman"))
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
+    ranked = pairs.join(average_ranks(pairs, "x", "rx"), "x").join(average_ranks(pairs, "y", "ry"), "y")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("spearman"))
 
 
 def top_n_overlap(a: DataFrame, b: DataFrame, score: str, n: int = 20) -> DataFrame:

@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.functions.expressions import uniform
-from zonalis.operators.zones import minmax, scaled
+from zonalis.operators.zones import scaled
 
 PILLARS = ["exposure", "sensitivity_raw", "greenery_fraction"]
 
 
-def equal_score(exposure: Column, sensitivity: Column, greenery: Column) -> Column:
-    """The mean of the pillars that are there; greenery counts against."""
-    parts = [exposure, sensitivity, 1 - greenery]
+#: The normalised pillars; what lacks in greenery is normalised, so that a constant greenery counts for nothing.
+NORMED = ["exposure_norm", "sensitivity_raw_norm", "deficit_norm"]
+
+
+def normalised(pillars: DataFrame) -> DataFrame:
+    """pillars with NORMED, over the whole table."""
+    return scaled(pillars.withColumn("deficit", 1 - F.col("greenery_fraction")), ["exposure", "sensitivity_raw", "deficit"]).drop("deficit")
+
+
+def equal_score(*parts: Column) -> Column:
+    """The mean of the normalised pillars that are there."""
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
     return F.try_divide(total, sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int")))
 
 
 def build_score(pillars: DataFrame) -> DataFrame:
     """(zone_id, exposure, sensitivity_raw, greenery_fraction) with score: equal weights."""
-    norm = scaled(pillars, PILLARS)
-    return norm.withColumn("score", equal_score(*[F.col(f"{c}_norm") for c in PILLARS])).select(*pillars.columns, "score")
+    return normalised(pillars).withColumn("score", equal_score(*map(F.col, NORMED))).select(*pillars.columns, "score")
 
 
 def pca_weights(pillars: DataFrame, rounds: int = 64) -> DataFrame:
@@ -30,7 +36,7 @@ def pca_weights(pillars: DataFrame, rounds: int = 64) -> DataFrame:
 
     Six covariances in one aggregate, then power iteration within the plan.
     """
-    norm = scaled(pillars, PILLARS).select(F.col("exposure_norm").alias("a"), F.col("sensitivity_raw_norm").alias("b"), (1 - F.col("greenery_fraction_norm")).alias("c"))
+    norm = normalised(pillars).select(*[F.col(c).alias(x) for c, x in zip(NORMED, "abc", strict=True)])
     pairs = [(x, y) for i, x in enumerate("abc") for y in "abc"[i:]]
     cov = norm.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull() | F.col("c").isNull()).alias("missing"), *[F.covar_samp(x, y).alias(x + y) for x, y in pairs])
     cov = cov.withColumn("ok", F.when(F.col("missing") > 0, F.raise_error(F.concat(F.col("missing").cast("string"), F.lit(" rows lack a pillar")))).otherwise(True))
@@ -49,32 +55,48 @@ def pca_weights(pillars: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def build_score_pca(pillars: DataFrame) -> DataFrame:
-    norm = scaled(pillars, PILLARS).crossJoin(F.broadcast(pca_weights(pillars)))  # one row
-    score = F.col("w1") * F.col("exposure_norm") + F.col("w2") * F.col("sensitivity_raw_norm") + F.col("w3") * (1 - F.col("greenery_fraction_norm"))
+    norm = normalised(pillars).crossJoin(F.broadcast(pca_weights(pillars)))  # one row
+    score = sum((F.col(w) * F.col(c) for w, c in zip(("w2", "w3"), NORMED[1:], strict=True)), F.col("w1") * F.col(NORMED[0]))
     return norm.select(*pillars.columns, score.alias("score"))
 
 
-def bootstrap_bands(pillars: DataFrame, exposure_std: float, greenery_std: float, draws: int = 1000, seed: str = "draw") -> DataFrame:
-    """zone_id, p05, p50, p95, band_width of the equal score under Gaussian noise; every draw is normalised anew."""
+def bootstrap_bands(pillars: DataFrame, exposure_std: float | None, greenery_std: float | None, draws: int = 1000, seed: str = "draw") -> DataFrame:
+    """zone_id, point (the score without noise), p05, p50, p95, band_width of the equal score under Gaussian noise.
+
+    Every draw is normalised anew. A deviation that is None, NaN or not above 0 means no noise.
+    """
     wide = pillars.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
 
-    def noise(name: str, std: float) -> Column:
+    def noisy(value: Column, name: str, std: float | None) -> Column:
+        if not (std and std > 0):
+            return value
         key = F.concat_ws("/", F.col("zone_id").cast("string"), F.col("draw").cast("string"))
         u1, u2 = F.greatest(uniform(key, f"{seed}-{name}-1"), F.lit(1e-12)), uniform(key, f"{seed}-{name}-2")
-        return F.lit(std or 0.0) * F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.pi() * u2)
-
-    noisy = wide.withColumns({"exposure": F.col("exposure") + noise("exposure", exposure_std), "greenery_fraction": F.least(F.greatest(F.col("greenery_fraction") + noise("greenery", greenery_std), F.lit(0.0)), F.lit(1.0))})
-    by_draw = W.partitionBy("draw")
-    scored = noisy.withColumn("score", equal_score(*[minmax(c, by_draw) for c in PILLARS]))
-    bands = scored.groupBy("zone_id").agg(F.percentile("score", [0.05, 0.5, 0.95]).alias("p"))
-    return bands.select("zone_id", *[F.col("p")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))], (F.col("p")[2] - F.col("p")[0]).alias("band_width"))
+        return value + F.lit(std) * F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.pi() * u2)
+
+    greenery = noisy(F.col("greenery_fraction"), "greenery", greenery_std)
+    drawn = wide.withColumns({"exposure": noisy(F.col("exposure"), "exposure", exposure_std), "deficit": 1 - F.least(F.greatest(greenery, F.lit(0.0)), F.lit(1.0))})
+    if not (greenery_std and greenery_std > 0):
+        drawn = drawn.withColumn("deficit", 1 - F.col("greenery_fraction"))
+    drawn = drawn.select("zone_id", "draw", "exposure", "sensitivity_raw", "deficit")
+    parts = ["exposure", "sensitivity_raw", "deficit"]
+    bounds = drawn.groupBy("draw").agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("lo", F.min), ("hi", F.max))])
+    scored = drawn.join(F.broadcast(bounds), "draw")  # a row for each draw
+    norm = [F.when(F.col(c).isNotNull(), F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 0.0).otherwise((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")))) for c in parts]
+    bands = scored.withColumn("score", equal_score(*norm)).groupBy("zone_id").agg(F.percentile("score", [0.05, 0.5, 0.95]).alias("p"))
+    point = build_score(pillars).select("zone_id", F.col("score").alias("point"))
+    out = point.join(bands, "zone_id", "left")
+    return out.select("zone_id", "point", *[F.col("p")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))], (F.col("p")[2] - F.col("p")[0]).alias("band_width"))
 
 
 def sensitivity_pillar(population: DataFrame, ids: DataFrame) -> DataFrame:
-    """population (name, total, elderly) of known zones: half the normalised total, half the normalised elderly share, normalised."""
-    known = population.join(ids.select("name"), "name", "left_semi").withColumn("share", F.coalesce(F.try_divide("elderly", "total"), F.lit(0.0)))
-    mixed = scaled(known, ["total", "share"]).withColumn("raw", 0.5 * F.col("total_norm") + 0.5 * F.col("share_norm"))
-    return scaled(mixed.select("name", "total", "elderly", "raw"), ["raw"]).select("name", "total", "elderly", F.col("raw_norm").alias("sensitivity_raw"))
+    """population (name, total, elderly) of known zones, with elderly_proportion (NULL for 0 of 0) and sensitivity_raw.
+
+    sensitivity_raw: half the normalised total and half the normalised proportion, over the known zones only.
+    """
+    known = population.join(ids.select("name").distinct(), "name", "left_semi").withColumn("elderly_proportion", F.try_divide("elderly", "total"))
+    norm = scaled(known.withColumn("share", F.coalesce("elderly_proportion", F.lit(0.0))), ["total", "share"])
+    return norm.select("name", "total", "elderly", "elderly_proportion", (0.5 * F.col("total_norm") + 0.5 * F.col("share_norm")).alias("sensitivity_raw"))
 
 
 def redistribute_vegetation(zones: DataFrame, delta: float) -> DataFrame:

@@ -30,7 +30,7 @@ def norm(c: str, over: str = "") -> str:
     return f"CASE WHEN max({c}) OVER ({over}) = min({c}) OVER ({over}) THEN 0.0 ELSE ({c} - min({c}) OVER ({over})) / (max({c}) OVER ({over}) - min({c}) OVER ({over})) END"
 
 
-SCORED = PILLARS + f""", scored AS (SELECT *, ({norm('exposure')} + {norm('sensitivity_raw')} + (1 - ({norm('greenery_fraction')}))) / 3 AS score FROM pillars)"""
+SCORED = PILLARS + f""", scored AS (SELECT *, ({norm('exposure')} + {norm('sensitivity_raw')} + {norm('(1 - greenery_fraction)')}) / 3 AS score FROM pillars)"""
 
 
 def _all(sql: str) -> str:
@@ -187,7 +187,7 @@ def priority_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.build_score(V.pillars(spark, sf_dir)).select("zone_id", "score"), "score")
 
 
-_PCA = f""", n AS (SELECT zone_id, {norm('exposure')} AS a, {norm('sensitivity_raw')} AS b, 1 - ({norm('greenery_fraction')}) AS c FROM pillars),
+_PCA = f""", n AS (SELECT zone_id, {norm('exposure')} AS a, {norm('sensitivity_raw')} AS b, {norm('(1 - greenery_fraction)')} AS c FROM pillars),
 m AS (SELECT covar_samp(a, a) AS aa, covar_samp(a, b) AS ab, covar_samp(a, c) AS ac, covar_samp(b, b) AS bb, covar_samp(b, c) AS bc, covar_samp(c, c) AS cc FROM n),
 it AS (SELECT 0 AS k, 1.0::DOUBLE AS x, 0.9::DOUBLE AS y, 0.8::DOUBLE AS z UNION ALL SELECT k + 1, (aa * x + ab * y + ac * z) / s, (ab * x + bb * y + bc * z) / s, (ac * x + bc * y + cc * z) / s
   FROM (SELECT *, sqrt(pow(aa * x + ab * y + ac * z, 2) + pow(ab * x + bb * y + bc * z, 2) + pow(ac * x + bc * y + cc * z, 2)) AS s FROM it, m) WHERE k < 64)"""
@@ -206,16 +206,17 @@ def pca_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PILLARS}, d AS (SELECT *, unnest(range(50)) AS draw FROM pillars),
 u AS (SELECT *, zone_id || '/' || draw AS k FROM d), g AS (SELECT *, {", ".join(f"greatest(('0x' || left(md5(k || '|draw-{n}-1'), 8))::BIGINT / 4294967296.0::DOUBLE, 1e-12) AS {n[0]}1, ('0x' || left(md5(k || '|draw-{n}-2'), 8))::BIGINT / 4294967296.0::DOUBLE AS {n[0]}2" for n in ("exposure", "greenery"))} FROM u),
 x AS (SELECT zone_id, draw, exposure + 1.5 * sqrt(-2 * ln(e1)) * cos(2 * pi() * e2) AS exposure, sensitivity_raw, least(greatest(greenery_fraction + 0.05 * sqrt(-2 * ln(g1)) * cos(2 * pi() * g2), 0.0), 1.0) AS greenery_fraction FROM g),
-s AS (SELECT zone_id, ({norm('exposure', 'PARTITION BY draw')} + {norm('sensitivity_raw', 'PARTITION BY draw')} + (1 - ({norm('greenery_fraction', 'PARTITION BY draw')}))) / 3 AS score FROM x)
-SELECT zone_id, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.95) - quantile_cont(score, 0.05), 6) AS band_width FROM s GROUP BY 1""")
+s AS (SELECT zone_id, ({norm('exposure', 'PARTITION BY draw')} + {norm('sensitivity_raw', 'PARTITION BY draw')} + {norm('(1 - greenery_fraction)', 'PARTITION BY draw')}) / 3 AS score FROM x),
+w AS (SELECT zone_id, ({norm('exposure')} + {norm('sensitivity_raw')} + {norm('(1 - greenery_fraction)')}) / 3 AS point FROM pillars)
+SELECT zone_id, round(any_value(point), 6) AS point, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.95) - quantile_cont(score, 0.05), 6) AS band_width FROM s JOIN w USING (zone_id) GROUP BY 1""")
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scores.bootstrap_bands(_some_pillars(spark, sf_dir), 1.5, 0.05, 50), "p05", "p50", "p95", "band_width")
+    return rounded(scores.bootstrap_bands(_some_pillars(spark, sf_dir), 1.5, 0.05, 50), "point", "p05", "p50", "p95", "band_width")
 
 
 @query(_all(ORACLES["bootstrap_bands"]).replace("range(50)", "range(1000)"))
 def bootstrap_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All zones with the production 1,000 draws."""
-    return rounded(scores.bootstrap_bands(V.pillars(spark, sf_dir), 1.5, 0.05), "p05", "p50", "p95", "band_width")
+    return rounded(scores.bootstrap_bands(V.pillars(spark, sf_dir), 1.5, 0.05), "point", "p05", "p50", "p95", "band_width")
 
 
 @query(f"WITH {PILLARS}, h AS (SELECT s_suppkey AS zone_id, (20 + s_suppkey % 9)::DOUBLE AS y FROM supplier WHERE s_suppkey % 8 = 0) SELECT count(*) AS n, round(sqrt(avg(pow(exposure - y, 2))), 6) AS rmse FROM heat JOIN h USING (zone_id)")
@@ -253,11 +254,10 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.classification_report(V.scored_points(spark, sf_dir), "true", "pred"), "precision", "recall", "f1")
 
 
-@query("WITH n AS (SELECT count(*) AS n, avg((quality = toxic)::INT) AS o, sum(quality) AS qa, sum(toxic) AS qb FROM labels) SELECT n, round(o, 6) AS observed, round((o - e) / (1 - e), 6) AS kappa, CASE WHEN (o - e) / (1 - e) < 0 THEN 'poor' WHEN (o - e) / (1 - e) < 0.2 THEN 'slight' ELSE 'other' END AS band FROM (SELECT *, (qa * qb + (n - qa) * (n - qb)) / (n * n) AS e FROM n)")
+@query("WITH n AS (SELECT count(*) AS n, avg((quality = toxic)::INT) AS o, sum(quality) AS qa, sum(toxic) AS qb FROM labels) SELECT n, round(o, 6) AS observed, round((o - e) / (1 - e), 6) AS kappa, CASE WHEN (o - e) / (1 - e) < 0 THEN 'poor (worse than chance)' WHEN (o - e) / (1 - e) < 0.2 THEN 'slight' WHEN (o - e) / (1 - e) < 0.4 THEN 'fair' WHEN (o - e) / (1 - e) < 0.6 THEN 'moderate' WHEN (o - e) / (1 - e) < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS band FROM (SELECT *, (qa * qb + (n - qa) * (n - qb)) / (n * n) AS e FROM n)")
 def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.agreement(V.load(spark, sf_dir, "labels"), "quality", "toxic")
-    band = X.kappa_band(F.col("kappa"))
-    return rounded(out.withColumn("band", F.when(band.isin("poor", "slight"), band).otherwise("other")), "observed", "kappa")
+    return rounded(out.withColumn("band", X.kappa_band(F.col("kappa"))), "observed", "kappa")
 
 
 _LC = "e AS (SELECT l_partkey % 48 AS gx, (l_partkey // 48) % 48 AS gy, 1 + l_linenumber % 4 AS c, l_shipdate FROM lineitem)"
@@ -299,18 +299,18 @@ def zone_reading_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hourly_means(events, stations), "mean_value")
 
 
-_F6 = ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(6))
+_F64 = ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(64))
 
 
-@query(f"WITH r AS (SELECT label % 4 AS cluster, {_F6} FROM embeddings) SELECT cluster, count(*) AS n, {', '.join(f'round(avg(f{i}), 6) AS f{i}' for i in range(6))} FROM r GROUP BY 1")
+@query(f"WITH r AS (SELECT label % 4 AS cluster, {_F64} FROM embeddings) SELECT cluster, count(*) AS n, {', '.join(f'round(avg(f{i}), 6) AS f{i}' for i in range(64))} FROM r GROUP BY 1")
 def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = [f"f{i}" for i in range(6)]
+    f = [f"f{i}" for i in range(64)]
     return rounded(metrics.profile_clusters(V.cluster_rows(spark, sf_dir), "cluster", f), *f)
 
 
-@query(f"WITH r AS (SELECT label % 4 AS cluster, {_F6} FROM embeddings), c AS (SELECT cluster, {', '.join(f'avg(f{i}) AS c{i}' for i in range(6))} FROM r GROUP BY 1), s AS (SELECT cluster, avg(sqrt({' + '.join(f'pow(f{i} - c{i}, 2)' for i in range(6))})) AS s FROM r JOIN c USING (cluster) GROUP BY 1), p AS (SELECT x.cluster, max((sx.s + sy.s) / sqrt({' + '.join(f'pow(x.c{i} - y.c{i}, 2)' for i in range(6))})) AS r FROM c x JOIN c y ON x.cluster <> y.cluster JOIN s sx ON sx.cluster = x.cluster JOIN s sy ON sy.cluster = y.cluster GROUP BY 1) SELECT round(avg(r), 6) AS davies_bouldin FROM p")
+@query(f"WITH r AS (SELECT label % 4 AS cluster, {_F64} FROM embeddings), c AS (SELECT cluster, {', '.join(f'avg(f{i}) AS c{i}' for i in range(64))} FROM r GROUP BY 1), s AS (SELECT cluster, avg(sqrt({' + '.join(f'pow(f{i} - c{i}, 2)' for i in range(64))})) AS s FROM r JOIN c USING (cluster) GROUP BY 1), p AS (SELECT x.cluster, max((sx.s + sy.s) / sqrt({' + '.join(f'pow(x.c{i} - y.c{i}, 2)' for i in range(64))})) AS r FROM c x JOIN c y ON x.cluster <> y.cluster JOIN s sx ON sx.cluster = x.cluster JOIN s sy ON sy.cluster = y.cluster GROUP BY 1) SELECT round(avg(r), 6) AS davies_bouldin FROM p")
 def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.davies_bouldin(V.cluster_rows(spark, sf_dir), "cluster", [f"f{i}" for i in range(6)]), "davies_bouldin")
+    return rounded(metrics.davies_bouldin(V.cluster_rows(spark, sf_dir), "cluster", [f"f{i}" for i in range(64)]), "davies_bouldin")
 
 
 @query("WITH h AS (SELECT l_linenumber AS class, count(*) AS n FROM lineitem GROUP BY 1) SELECT class::INT AS class, n, n / sum(n) OVER () > 0.2 AS large FROM h")
@@ -336,13 +336,13 @@ def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zones.match_report(a, V.load(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("k")), "k")
 
 
-@query("WITH p AS (SELECT upper(trim(n_name)) AS name, sum(greatest(c_acctbal, 0)) AS total, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN greatest(c_acctbal, 0) ELSE 0 END) AS elderly FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), s AS (SELECT *, coalesce(elderly / nullif(total, 0), 0) AS share FROM p), m AS (SELECT name, 0.5 * (total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()) + 0.5 * (share - min(share) OVER ()) / (max(share) OVER () - min(share) OVER ()) AS raw FROM s) SELECT name, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS sensitivity_raw FROM m")
+@query("WITH p AS (SELECT upper(trim(n_name)) AS name, sum(greatest(c_acctbal, 0)) AS total, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN greatest(c_acctbal, 0) ELSE 0 END) AS elderly FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), s AS (SELECT *, coalesce(elderly / nullif(total, 0), 0) AS share FROM p), m AS (SELECT name, elderly / nullif(total, 0) AS elderly_proportion, 0.5 * (total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()) + 0.5 * (share - min(share) OVER ()) / (max(share) OVER () - min(share) OVER ()) AS raw FROM s) SELECT name, round(elderly_proportion, 6) AS elderly_proportion, round(raw, 6) AS sensitivity_raw FROM m")
 def sensitivity_pillar(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = F.greatest("c_acctbal", F.lit(0.0))
     people = V.load(spark, sf_dir, "customer").join(V.load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     by = people.groupBy(X.normalize_name(F.col("n_name")).alias("name")).agg(F.sum(money).alias("total"), F.sum(F.when(F.col("c_mktsegment") == "BUILDING", money).otherwise(0.0)).alias("elderly"))
     ids = V.load(spark, sf_dir, "nation").select(X.normalize_name(F.col("n_name")).alias("name"))
-    return rounded(scores.sensitivity_pillar(by, ids).select("name", "sensitivity_raw"), "sensitivity_raw")
+    return rounded(scores.sensitivity_pillar(by, ids).select("name", "elderly_proportion", "sensitivity_raw"), "elderly_proportion", "sensitivity_raw")
 
 
 def queries() -> dict[str, Query]:

@@ -70,4 +70,4 @@ def scored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings")
-    return e.select("vec_id", (F.col("label") % 4).cast("int").alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(6)])
+    return e.select("vec_id", (F.col("label") % 4).cast("int").alias("cluster"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)])

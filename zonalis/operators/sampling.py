@@ -26,12 +26,19 @@ def allocate(hist: DataFrame, total: int, boost: int, least: int = 8) -> DataFra
 
 
 def stratified_sample(cells: DataFrame, key: str, stratum: str, sizes: DataFrame, seed: str) -> DataFrame:
-    """The first of each stratum in a hashed order. Only rows under a bound that leaves enough are ranked, so none sorts whole strata."""
-    drawn = cells.where(F.col(stratum).isNotNull()).withColumn("draw", uniform(F.col(key), seed))
+    """The first of each stratum in a hashed order, or all of a smaller one.
+
+    Only rows under a bound are ranked, so that no task sorts a whole stratum; a stratum with too few rows under its bound
+    is ranked as a whole.
+    """
+    drawn = cells.where(F.col(stratum).isNotNull()).withColumn("__draw", uniform(F.col(key), seed))
     counts = drawn.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
-    bound = F.broadcast(sizes.join(counts, stratum).withColumn("__bound", 4 * (F.col("take") + 16) / F.col("__n")).select(stratum, "take", "__bound"))
-    ranked = drawn.join(bound, stratum).where("draw <= __bound").withColumn("rank", F.row_number().over(W.partitionBy(stratum).orderBy("draw", key)))
-    return ranked.where("rank <= take").drop("draw", "rank", "take", "__bound")
+    wanted = sizes.select(stratum, F.col("take").alias("__take")).join(counts, stratum).withColumn("__guess", 4 * (F.col("__take") + 16) / F.col("__n"))
+    under = drawn.join(F.broadcast(wanted.select(stratum, "__guess")), stratum).groupBy(stratum).agg(F.count_if(F.col("__draw") <= F.col("__guess")).alias("__under"))
+    enough = F.col("__under") >= F.least("__take", "__n")
+    bound = F.broadcast(wanted.join(under, stratum).select(stratum, "__take", F.when(enough, F.col("__guess")).otherwise(1.0).alias("__bound")))
+    ranked = drawn.join(bound, stratum).where("__draw <= __bound").withColumn("__rank", F.row_number().over(W.partitionBy(stratum).orderBy("__draw", key)))
+    return ranked.where("__rank <= __take").select(*cells.columns)
 
 
 def hash_split(df: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:

@@ -23,7 +23,7 @@ CLEAR = OBS + """, clear AS (SELECT * FROM obs WHERE scene_cloud < 70 AND (qa &
 COMPOSITE = CLEAR + """, comp AS (SELECT gx, gy, median(lst_raw * 0.00341802 + 149.0 - 273.15) AS lst, median(nir) AS nir, median(red) AS red, median(swir) AS swir, median(green) AS green FROM clear GROUP BY 1, 2)"""
 ZONE = "(gy // 12) * 4 + gx // 12"
 PILLARS = """heat AS (SELECT l_suppkey AS zone_id, round(avg(l_quantity), 9) AS exposure FROM lineitem GROUP BY 1),
-pillars AS (SELECT h.zone_id, exposure, s_acctbal AS sensitivity_raw, (s_suppkey * 37) % 100 / 100.0::DOUBLE AS greenery_fraction FROM heat h JOIN supplier ON h.zone_id = s_suppkey WHERE s_suppkey % 17 <> 0)"""
+pillars AS (SELECT h.zone_id, exposure, s_acctbal AS sensitivity_raw, (s_suppkey * 37) % 100 / 100.0::DOUBLE AS greenery_fraction FROM heat h JOIN supplier ON h.zone_id = s_suppkey)"""
 
 
 def norm(c: str, over: str = "") -> str:
@@ -33,11 +33,6 @@ def norm(c: str, over: str = "") -> str:
 SCORED = PILLARS + f""", scored AS (SELECT *, ({norm('exposure')} + {norm('sensitivity_raw')} + {norm('(1 - greenery_fraction)')}) / 3 AS score FROM pillars)"""
 
 
-def _all(sql: str) -> str:
-    """A query's SQL over all zones."""
-    return sql.replace(" WHERE s_suppkey % 17 <> 0", "").replace(" WHERE s_suppkey % 8 = 0", "")
-
-
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -53,11 +48,6 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})
 
 
-def _some_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The zones that PILLARS keeps: 16 of 17. Queries named ..._all take all zones."""
-    return V.pillars(spark, sf_dir).where("zone_id % 17 <> 0")
-
-
 def _clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.observations(spark, sf_dir).where((F.col("scene_cloud") < 70) & X.qa_clear(F.col("qa"), F.col("sat")) & X.cloud_free(F.col("cloud_prob")))
 
@@ -86,10 +76,10 @@ def mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.groupBy("scl").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.scene_class_kept(F.col("scl"))).alias("kept"), F.count_if(X.qa_clear(F.col("qa"), F.col("sat"))).alias("clear"))
 
 
-@query(f"WITH {OBS} SELECT count(*) AS n, count(*) FILTER (acquired_at >= TIMESTAMP '1997-01-01' AND acquired_at < TIMESTAMP '1998-01-01') AS in_period, count(*) FILTER (month(acquired_at) IN (6, 7, 8)) AS in_season, count(*) FILTER (month(acquired_at) IN (6, 7, 8) AND acquired_at >= TIMESTAMP '1997-01-01' AND acquired_at < TIMESTAMP '1998-01-01') AS both_ FROM obs WHERE year(acquired_at) IN (1996, 1997, 1998)")
+@query(f"WITH {OBS} SELECT count(*) AS n, count(*) FILTER (acquired_at >= TIMESTAMP '1997-01-01' AND acquired_at < TIMESTAMP '1998-01-01') AS in_period, count(*) FILTER (month(acquired_at) IN (6, 7, 8) AND year(acquired_at) IN (1996, 1997, 1998)) AS in_season, count(*) FILTER (month(acquired_at) IN (6, 7, 8) AND acquired_at >= TIMESTAMP '1997-01-01' AND acquired_at < TIMESTAMP '1998-01-01') AS both_ FROM obs")
 def season_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("acquired_at")
-    obs = V.observations(spark, sf_dir).where(F.year(at).isin(1996, 1997, 1998))
+    obs = V.observations(spark, sf_dir)
     season, period = X.in_season(at, [1996, 1997, 1998], [6, 7, 8]), X.in_period(at, "1997-01-01", "1998-01-01")
     return obs.agg(F.count(F.lit(1)).alias("n"), F.count_if(period).alias("in_period"), F.count_if(season).alias("in_season"), F.count_if(X.in_period(at, "1997-01-01", "1998-01-01", [6, 7, 8])).alias("both_"))
 
@@ -177,11 +167,12 @@ def exclude_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT zone_id, round(score, 6) AS score FROM scored ORDER BY score DESC, zone_id LIMIT 20")
 def priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scores.build_score(_some_pillars(spark, sf_dir))
+    """The report of the 20 zones that come first, of all zones."""
+    scored = scores.build_score(V.pillars(spark, sf_dir))
     return rounded(scored.orderBy(F.desc("score"), "zone_id").limit(20).select("zone_id", "score"), "score")
 
 
-@query(_all(ORACLES["priority_score"]).replace(" ORDER BY score DESC, zone_id LIMIT 20", ""))
+@query(f"WITH {SCORED} SELECT zone_id, round(score, 6) AS score FROM scored")
 def priority_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every zone."""
     return rounded(scores.build_score(V.pillars(spark, sf_dir)).select("zone_id", "score"), "score")
@@ -195,49 +186,28 @@ it AS (SELECT 0 AS k, 1.0::DOUBLE AS x, 0.9::DOUBLE AS y, 0.8::DOUBLE AS z UNION
 
 @query(f"WITH RECURSIVE {PILLARS} {_PCA} SELECT round(x / (x + y + z), 5) AS w1, round(y / (x + y + z), 5) AS w2, round(z / (x + y + z), 5) AS w3 FROM it WHERE k = 64")
 def pca_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scores.pca_weights(_some_pillars(spark, sf_dir)), "w1", "w2", "w3", digits=5)
-
-
-@query(_all(ORACLES["pca_weights"]))
-def pca_weights_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.pca_weights(V.pillars(spark, sf_dir)), "w1", "w2", "w3", digits=5)
 
 
-@query(f"""WITH {PILLARS}, d AS (SELECT *, unnest(range(50)) AS draw FROM pillars),
+@query(f"""WITH {PILLARS}, d AS (SELECT *, unnest(range(1000)) AS draw FROM pillars),
 u AS (SELECT *, zone_id || '/' || draw AS k FROM d), g AS (SELECT *, {", ".join(f"greatest(('0x' || left(md5(k || '|draw-{n}-1'), 8))::BIGINT / 4294967296.0::DOUBLE, 1e-12) AS {n[0]}1, ('0x' || left(md5(k || '|draw-{n}-2'), 8))::BIGINT / 4294967296.0::DOUBLE AS {n[0]}2" for n in ("exposure", "greenery"))} FROM u),
 x AS (SELECT zone_id, draw, exposure + 1.5 * sqrt(-2 * ln(e1)) * cos(2 * pi() * e2) AS exposure, sensitivity_raw, least(greatest(greenery_fraction + 0.05 * sqrt(-2 * ln(g1)) * cos(2 * pi() * g2), 0.0), 1.0) AS greenery_fraction FROM g),
 s AS (SELECT zone_id, ({norm('exposure', 'PARTITION BY draw')} + {norm('sensitivity_raw', 'PARTITION BY draw')} + {norm('(1 - greenery_fraction)', 'PARTITION BY draw')}) / 3 AS score FROM x),
 w AS (SELECT zone_id, ({norm('exposure')} + {norm('sensitivity_raw')} + {norm('(1 - greenery_fraction)')}) / 3 AS point FROM pillars)
 SELECT zone_id, round(any_value(point), 6) AS point, round(quantile_cont(score, 0.05), 6) AS p05, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.95) - quantile_cont(score, 0.05), 6) AS band_width FROM s JOIN w USING (zone_id) GROUP BY 1""")
 def bootstrap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scores.bootstrap_bands(_some_pillars(spark, sf_dir), 1.5, 0.05, 50), "point", "p05", "p50", "p95", "band_width")
-
-
-@query(_all(ORACLES["bootstrap_bands"]).replace("range(50)", "range(1000)"))
-def bootstrap_bands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All zones with the production 1,000 draws."""
+    """All zones with the operator's 1,000 draws."""
     return rounded(scores.bootstrap_bands(V.pillars(spark, sf_dir), 1.5, 0.05), "point", "p05", "p50", "p95", "band_width")
 
 
-@query(f"WITH {PILLARS}, h AS (SELECT s_suppkey AS zone_id, (20 + s_suppkey % 9)::DOUBLE AS y FROM supplier WHERE s_suppkey % 8 = 0) SELECT count(*) AS n, round(sqrt(avg(pow(exposure - y, 2))), 6) AS rmse FROM heat JOIN h USING (zone_id)")
+@query(f"WITH {PILLARS}, h AS (SELECT s_suppkey AS zone_id, (20 + s_suppkey % 9)::DOUBLE AS y FROM supplier) SELECT count(*) AS n, round(sqrt(avg(pow(exposure - y, 2))), 6) AS rmse FROM heat JOIN h USING (zone_id)")
 def heldout_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heat = V.heat(spark, sf_dir).select("zone_id", F.round("lst_native30", 9).alias("exposure"))
-    return rounded(metrics.rmse(heat, V.heldout(spark, sf_dir).where("zone_id % 8 = 0"), "zone_id", "exposure", "lst_heldout_c"), "rmse")
-
-
-@query(_all(ORACLES["heldout_rmse"]))
-def heldout_rmse_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     heat = V.heat(spark, sf_dir).select("zone_id", F.round("lst_native30", 9).alias("exposure"))
     return rounded(metrics.rmse(heat, V.heldout(spark, sf_dir), "zone_id", "exposure", "lst_heldout_c"), "rmse")
 
 
 @query(f"WITH {PILLARS}, r AS (SELECT rank() OVER (ORDER BY exposure) + (count(*) OVER (PARTITION BY exposure) - 1) / 2 AS ra, rank() OVER (ORDER BY greenery_fraction) + (count(*) OVER (PARTITION BY greenery_fraction) - 1) / 2 AS rb FROM pillars) SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM r")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.spearman(_some_pillars(spark, sf_dir), "exposure", "greenery_fraction"), "spearman")
-
-
-@query(_all(ORACLES["spearman"]))
-def spearman_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.spearman(V.pillars(spark, sf_dir), "exposure", "greenery_fraction"), "spearman")
 
 
@@ -275,14 +245,8 @@ def land_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.flag_unstable(zone.select("zone_id").distinct(), change), "change_fraction")
 
 
-@query("WITH m AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1), s AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM m) SELECT strftime(month, '%Y-%m') AS month, coalesce(n, 0) AS n FROM s LEFT JOIN m USING (month)")
+@query("WITH m AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM m) SELECT strftime(month, '%Y-%m') AS month, coalesce(n, 0) AS n FROM s LEFT JOIN m USING (month)")
 def monthly_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.monthly_counts(V.load(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"), "o_orderdate")
-
-
-@query(ORACLES["monthly_scenes"].replace(" WHERE o_orderkey % 50 = 0", ""))
-def monthly_scenes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """monthly_scenes over all orders; that one keeps one order in 50, as its SQL does."""
     return metrics.monthly_counts(V.load(spark, sf_dir, "orders"), "o_orderdate")
 
 
@@ -345,6 +309,11 @@ def sensitivity_pillar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.sensitivity_pillar(by, ids).select("name", "elderly_proportion", "sensitivity_raw"), "elderly_proportion", "sensitivity_raw")
 
 
+#: Second names of queries over whole tables.
+for _name in ("monthly_scenes", "pca_weights", "spearman", "heldout_rmse", "bootstrap_bands"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -34,6 +34,41 @@ def test_allocation_reaches_total(spark):
     assert sum(r["take"] for r in sampling.allocate(hist, 200, 3).collect()) == 200
 
 
+@pytest.mark.parametrize(("counts", "total"), [([1] * 20, 100), ([90, 5, 3, 1, 1], 12), ([1000, 10, 1], 25), ([5, 5, 5], 2), ([7], 30), ([900, 50, 30, 10, 5, 3, 1, 1], 40), ([500, 300, 20, 5], 200)])
+def test_allocation_by_turns(spark, counts, total):
+    weights = [n * (2 if c == 2 else 1) for c, n in enumerate(counts, 1)]
+    take = {c: max(8, round(w / sum(weights) * total)) for c, w in enumerate(weights, 1)}
+    excess = sum(take.values()) - total
+    turn = sorted(take, key=lambda c: (-take[c] if excess > 0 else take[c], c))
+    while sum(take.values()) != total and (total > sum(take.values()) or max(take.values()) > 1):
+        for c in turn:
+            if sum(take.values()) > total and take[c] > 1:
+                take[c] -= 1
+            elif sum(take.values()) < total:
+                take[c] += 1
+    hist = spark.createDataFrame(list(enumerate(counts, 1)), "class int, n long")
+    assert {r["class"]: r["take"] for r in sampling.allocate(hist, total, 2).collect()} == take
+
+
+def test_stations_and_population(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"data": {"stations": [{"id": "S1", "name": "A", "location": {"latitude": 1.5, "longitude": 103.5}}]}}))
+    assert list(map(tuple, readers.read_stations(spark, str(tmp_path / "s.json")).collect())) == [("S1", "A", 1.5, 103.5)]
+    (tmp_path / "p.json").write_text(json.dumps({"success": True, "result": {"records": [{"name": "X", "total": "-"}]}}))
+    rows = readers.read_population(spark, str(tmp_path / "p.json"), ["name", "total"])
+    assert rows.select(X.parse_suppressed(F.col("total")).alias("t"), "name").head() == (0.0, "X")
+    (tmp_path / "bad.json").write_text(json.dumps({"success": False, "result": {"records": []}}))
+    with pytest.raises(Exception, match="not successful"):
+        readers.read_population(spark, str(tmp_path / "bad.json"), ["name"]).collect()
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.require(rows, ["nope"])
+
+
+def test_points_geojson(spark, tmp_path):
+    readers.write_points_geojson(spark.createDataFrame([(7, 103.5, 1.5, "a")], "point_id long, lon double, lat double, k string"), str(tmp_path / "g"))
+    line = spark.read.text(str(tmp_path / "g")).head().value
+    assert json.loads(line) == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [103.5, 1.5]}, "properties": {"point_id": 7, "k": "a"}}
+
+
 def test_hole_is_outside(spark):
     def ring(pts):
         return [(1, *a, *b) for a, b in zip(pts, pts[1:] + pts[:1], strict=True)]

@@ -12,7 +12,7 @@ from zonalis.functions.expressions import uniform
 def allocate(hist: DataFrame, total: int, boost: int, least: int = 8) -> DataFrame:
     """(class, n) to (class, take): by share, the boosted class counted twice, half-even, then levelled to the total.
 
-    The histogram has a row per class, so one task holds it.
+    No class goes below 1, so a total under the number of classes gives 1 each. The histogram has a row per class, so one task holds it.
     """
     every = W.partitionBy()
     weight = F.col("n") / F.sum("n").over(every) * F.when(F.col("class") == boost, 2.0).otherwise(1.0)
@@ -20,9 +20,16 @@ def allocate(hist: DataFrame, total: int, boost: int, least: int = 8) -> DataFra
     gap = F.lit(total) - F.sum("take").over(every)
     k = F.count(F.lit(1)).over(every)
     up, down = F.row_number().over(W.orderBy("take", "class")), F.row_number().over(W.orderBy(F.desc("take"), "class"))
-    levelled = first.withColumns({"gap": gap, "k": k, "up": up, "down": down})
-    more = F.floor(F.abs("gap") / F.col("k")) + (F.when(F.col("gap") > 0, F.col("up")).otherwise(F.col("down")) <= F.abs("gap") % F.col("k")).cast("int")
-    return levelled.select("class", F.greatest(F.col("take") + F.signum("gap") * more, F.lit(1)).cast("long").alias("take"))
+    levelled = first.withColumns({"gap": gap, "k": k, "up": up, "down": down, "spare": F.col("take") - 1})
+    more = F.floor(F.col("gap") / F.col("k")) + (F.col("up") <= F.col("gap") % F.col("k")).cast("int")
+    # Taking away: whole turns over the classes above 1, then one each from the first of those that are left.
+    below = W.orderBy("spare", "class").rowsBetween(W.unboundedPreceding, -1)
+    turns = F.floor((-F.col("gap") - F.coalesce(F.sum("spare").over(below), F.lit(0))) / (F.col("k") - F.row_number().over(W.orderBy("spare", "class")) + 1))
+    turned = levelled.withColumn("turns", turns).withColumn("turns", F.max("turns").over(every)).withColumn("less", F.least("spare", "turns"))
+    rest = -F.col("gap") - F.sum("less").over(every)
+    left = F.col("spare") > F.col("turns")
+    last = left & (F.row_number().over(W.partitionBy(left).orderBy("down")) <= rest)
+    return turned.select("class", F.when(F.col("gap") >= 0, F.col("take") + more).otherwise(F.col("take") - F.col("less") - last.cast("int")).cast("long").alias("take"))
 
 
 def stratified_sample(cells: DataFrame, key: str, stratum: str, sizes: DataFrame, seed: str) -> DataFrame:

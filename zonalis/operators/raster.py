@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonalis.functions.expressions import uniform
+from zonalis.operators.zones import point_in_zone
+
 CELL = ["gx", "gy"]
 
 
@@ -122,3 +127,58 @@ def soft_vote(models: DataFrame, n_models: int) -> DataFrame:
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where("__rn = 1").drop("__rn")
+
+
+def union_sensors(tables: dict[str, DataFrame]) -> DataFrame:
+    """One table of all sensors' observations with the sensor's name; a band that a sensor lacks is NULL."""
+    named = [df.withColumn("sensor", F.lit(name)) for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def clip_to_boundary(cells: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """cells (key, x, y, ...) whose centre is within any zone."""
+    inside = point_in_zone(cells.select(F.col(key).alias("point_id"), "x", "y"), edges).select(F.col("point_id").alias(key))
+    return cells.join(inside, key, "left_semi")
+
+
+def regression_weights(coarse: DataFrame, target: str, features: list[str], sample: int, seed: str) -> DataFrame:
+    """One row w0, w1, w2, w3, n: least squares of target over three features, on at most sample cells by hashed order.
+
+    One aggregate gives means and covariances; the three equations are solved by determinants within the plan.
+    """
+    rows = coarse.dropna(subset=[target, *features]).orderBy(uniform(F.concat_ws("/", *CELL), seed), *CELL).limit(sample)
+    names = dict(zip("abc", features, strict=True))
+    pairs = [(p, q) for i, p in enumerate("abc") for q in "abc"[i:]]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("my"), *[F.avg(f).alias(f"m{k}") for k, f in names.items()], *[F.covar_pop(names[p], names[q]).alias(p + q) for p, q in pairs], *[F.covar_pop(f, target).alias(f"y{k}") for k, f in names.items()])
+    m = [[F.col(min(p, q) + max(p, q)) for q in "abc"] for p in "abc"]
+    y = [F.col(f"y{k}") for k in "abc"]
+
+    def det(a: list[list[Column]]) -> Column:
+        return a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
+
+    slopes = [F.try_divide(det([[y[r] if c == k else m[r][c] for c in range(3)] for r in range(3)]), det(m)).alias(f"w{k + 1}") for k in range(3)]
+    fitted = sums.select("n", "my", "ma", "mb", "mc", *slopes)
+    return fitted.select((F.col("my") - F.col("w1") * F.col("ma") - F.col("w2") * F.col("mb") - F.col("w3") * F.col("mc")).alias("w0"), "w1", "w2", "w3", "n")
+
+
+def variant_regress(coarse: DataFrame, fine: DataFrame, target: str, features: list[str], factor: int = 3, sample: int = 5000, seed: str = "regress") -> DataFrame:
+    """Fine cells with <target>_regress: the fit of coarse cells on the features' means, and the coarse residuals refined.
+
+    What the fit leaves over is spread bilinearly, so that a coarse cell's heat is kept. NULL where a feature or the
+    residual is missing. regression_weights gives the number of cells it rests on; under 30 it is noise.
+    """
+    table = coarse.select(*CELL, target).join(coarsen_mean(fine, features, factor), CELL)
+    weights = F.broadcast(regression_weights(table, target, features, sample, seed))  # one row
+    guess = F.col("w0") + F.col("w1") * F.col(features[0]) + F.col("w2") * F.col(features[1]) + F.col("w3") * F.col(features[2])
+    rest = table.crossJoin(weights).select(*CELL, (F.col(target) - guess).alias("rest"))
+    return fine.crossJoin(weights).join(refine_bilinear(rest, "rest", factor), CELL, "left").select(*CELL, (guess + F.col("rest")).alias(f"{target}_regress"))
+
+
+def variant_native(coarse: DataFrame, target: str) -> DataFrame:
+    return coarse.select(*CELL, F.col(target).alias(f"{target}_native"))
+
+
+def tile_zonal_stats(cells: DataFrame, zone_cells: DataFrame, heat: str, greenery: str) -> tuple[DataFrame, DataFrame]:
+    """(zone_id, heat over values above 0, greenery) of zones with both, and one row with the number of zones without."""
+    means = zone_cells.join(cells, CELL).groupBy("zone_id").agg(F.avg(F.when(F.col(heat) > 0, F.col(heat))).alias(heat), F.avg(greenery).alias(greenery)).dropna()
+    return means, zone_cells.select("zone_id").distinct().join(means.select("zone_id"), "zone_id", "left_anti").agg(F.count(F.lit(1)).alias("dropped"))

@@ -99,7 +99,7 @@ def sensitivity_pillar(population: DataFrame, ids: DataFrame) -> DataFrame:
     return norm.select("name", "total", "elderly", "elderly_proportion", (0.5 * F.col("total_norm") + 0.5 * F.col("share_norm")).alias("sensitivity_raw"))
 
 
-def redistribute_vegetation(zones: DataFrame, delta: float) -> DataFrame:
+def redistribute_vegetation(zones: DataFrame, delta: float | Column) -> DataFrame:
     """More vegetation, taken from built-up and bare in proportion; water stays."""
     veg = F.least(F.greatest(F.col("fraction_vegetation") + delta, F.lit(0.0)), F.lit(1.0))
     actual = veg - F.col("fraction_vegetation")
@@ -108,6 +108,11 @@ def redistribute_vegetation(zones: DataFrame, delta: float) -> DataFrame:
     return zones.withColumns({"actual_delta": actual, "fraction_built_up": less("fraction_built_up"), "fraction_bare": less("fraction_bare"), "fraction_vegetation": veg})
 
 
+def toy_pillars(ids: DataFrame, seed: str) -> DataFrame:
+    """Uniform placeholder pillars for wiring tests: the same for the same ids and seed."""
+    return ids.select("zone_id", *[uniform(F.col("zone_id"), f"{seed}-{c}").alias(c) for c in PILLARS])
+
+
 def flag_unstable(zones: DataFrame, change: DataFrame, most: float = 0.15, least_pixels: int = 30) -> DataFrame:
     """flagged, stable or insufficient_data for every zone."""
     n = F.coalesce("n_valid", F.lit(0))

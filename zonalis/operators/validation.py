@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions.expressions import rule_landcover, uniform
 from zonalis.operators.metrics import rmse, spearman, top_n_overlap
+from zonalis.operators.raster import coarsen_mean, tile_zonal_stats, zonal_mean
 from zonalis.operators.scores import build_score
+from zonalis.operators.zones import point_in_zone
 
 
 def stacked(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -206,3 +209,55 @@ def reading_depth(readings: DataFrame, at: str, station: str, least_stations: in
 def sample_at_points(cells: DataFrame, points: DataFrame, col: str) -> DataFrame:
     """points (gx, gy, ...) with the value of their cell; NULL outside of the grid."""
     return points.join(cells.select("gx", "gy", col), ["gx", "gy"], "left")
+
+
+def station_heldout(stations: DataFrame, edges: DataFrame, readings: DataFrame, zones: DataFrame) -> DataFrame:
+    """(zone_id, lst_heldout_c, n): the mean of all readings of the stations (station_id, x, y) within each known zone."""
+    placed = point_in_zone(stations.select(F.col("station_id").alias("point_id"), "x", "y"), edges).withColumnRenamed("point_id", "station_id")
+    by_station = readings.where("value IS NOT NULL").groupBy("station_id").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c"))
+    means = by_station.join(placed, "station_id").groupBy("zone_id").agg((F.sum("s") / F.sum("c")).alias("lst_heldout_c"), F.sum("c").alias("n"))
+    return means.join(zones.select("zone_id").distinct(), "zone_id", "left_semi")
+
+
+def coarse_heldout(cells: DataFrame, zone_cells: DataFrame, zones: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """(zone_id, lst_heldout_c) of zones with a valid coarse cell, and one row: these zones, all zones and their share."""
+    means = zonal_mean(cells, zone_cells, zones, col).withColumnRenamed(col, "lst_heldout_c")
+    covered = F.count("lst_heldout_c")
+    return means.dropna(), means.agg(covered.alias("covered"), F.count(F.lit(1)).alias("zones"), F.try_divide(covered, F.count(F.lit(1))).alias("coverage"))
+
+
+def crosscheck(heat: DataFrame, sources: dict[str, DataFrame], variants: list[str]) -> DataFrame:
+    """A row per variant and held-out source (zone_id, lst_heldout_c): n, RMSE and Spearman over zones in both."""
+    def row(v: str, name: str) -> DataFrame:
+        both = heat.select("zone_id", v).join(sources[name], "zone_id")
+        error = both.agg(F.sqrt(F.avg(F.pow(F.col(v) - F.col("lst_heldout_c"), 2))).alias("rmse"))
+        return spearman(both, v, "lst_heldout_c").crossJoin(error).select(F.lit(v).alias("variant"), F.lit(name).alias("source"), "n", "rmse", "spearman")  # one row each
+
+    return reduce(DataFrame.unionByName, [row(v, s) for v in variants for s in sources])
+
+
+def enrich(zones: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """zones with each table's columns by zone_id, and one row: how many zones each table lacks, as missing_<name>."""
+    out = zones
+    for name, t in tables.items():
+        out = out.join(t.withColumn(f"__has_{name}", F.lit(1)), "zone_id", "left")
+    report = out.agg(*[F.count_if(F.col(f"__has_{n}").isNull()).alias(f"missing_{n}") for n in tables])
+    return out.drop(*[f"__has_{n}" for n in tables]), report
+
+
+def zone_map(zones: DataFrame, scored: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every zone with its score and band width, and one row: zones missing from either, and the ends of the colour scale."""
+    table, missing = enrich(zones, {"score": scored.select("zone_id", "score"), "bands": bands.select("zone_id", "band_width")})
+    return table, missing.crossJoin(table.agg(F.min("score").alias("lowest"), F.max("score").alias("highest")))  # one row each
+
+
+def tile_smoke_score(cells: DataFrame, zone_cells: DataFrame, factor: int = 1, seed: str = "tile") -> DataFrame:
+    """(zone_id, score) of a tile with ndvi, ndbi, ndwi and lst: classes, vegetation's share, coarse cells, zones, equal score.
+
+    A tile has no population: its sensitivity is a hashed number from 0.3 to 1.
+    """
+    green = (rule_landcover(F.col("ndwi"), F.col("ndvi"), F.col("ndbi")) == 1).cast("double")
+    coarse = coarsen_mean(cells.withColumn("green", green), ["lst", "green"], factor)
+    stats, _ = tile_zonal_stats(coarse, zone_cells, "lst", "green")
+    pillars = stats.select("zone_id", F.col("lst").alias("exposure"), (0.3 + 0.7 * uniform(F.col("zone_id"), seed)).alias("sensitivity_raw"), F.col("green").alias("greenery_fraction"))
+    return build_score(pillars).select("zone_id", "score")

@@ -65,6 +65,51 @@ def write_points_geojson(points: DataFrame, path: str) -> None:
     points.select(F.to_json(feature).alias("value")).write.text(path)
 
 
+def read_observations(spark: SparkSession, path: str, sensor: str, start: str, end: str, columns: list[str] | None = None) -> DataFrame:
+    """Observations of a sensor from start to end (its first day left out), from a table in partitions of sensor, year and month.
+
+    Years and months are pruned by their folders, so other periods' files aren't read; acquired_at then decides.
+    """
+    first, last = (F.year(F.lit(d).cast("date")) * 12 + F.month(F.lit(d).cast("date")) for d in (start, end))
+    month = F.col("year") * 12 + F.col("month")
+    rows = require(spark.read.parquet(path), ["sensor", "year", "month", "acquired_at", *(columns or [])])
+    rows = rows.where((F.col("sensor") == sensor) & (month >= first) & (month <= last) & (F.col("acquired_at") >= start) & (F.col("acquired_at") < end))
+    return rows.select(*columns) if columns else rows
+
+
+def write_observations(obs: DataFrame, path: str) -> None:
+    """obs (sensor, acquired_at, ...) in partitions of sensor, year and month; rows of one month are brought together first."""
+    dated = obs.withColumns({"year": F.year("acquired_at"), "month": F.month("acquired_at")})
+    dated.repartition("sensor", "year", "month", F.pmod(F.xxhash64("acquired_at"), F.lit(8))).write.partitionBy("sensor", "year", "month").parquet(path)
+
+
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """One row of a patch grid: patches_per_row, total_patches, affine (six numbers), crs. A grid without an affine fails."""
+    schema = "patchesPerRow int, totalPatches int, projection struct<crs: string, affine: struct<doubleMatrix: array<double>>>"
+    row = spark.read.schema(schema).json(path, multiLine=True)
+    affine = F.col("projection.affine.doubleMatrix")
+    checked = F.when(F.coalesce(F.size(affine), F.lit(0)) == 6, affine).otherwise(F.raise_error(F.lit("the grid has no affine of six numbers")))
+    return row.select(F.col("patchesPerRow").alias("patches_per_row"), F.col("totalPatches").alias("total_patches"), checked.alias("affine"), F.col("projection.crs").alias("crs"))
+
+
+def read_zone_table(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame | None:
+    """A CSV with a header, or None if there is no such file; columns must be there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return None
+    named = require(spark.read.csv(path, header=True), columns).columns
+    types = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
+    return spark.read.csv(path, header=True).select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in named])
+
+
+def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] = (), overwrite: bool = False) -> None:
+    """A stage's output as Parquet, or as CSV with a header; an existing one stays unless overwrite is set."""
+    if kind not in ("parquet", "csv"):
+        raise ValueError(f"kind must be parquet or csv, not {kind!r}")
+    writer = df.write.mode("overwrite" if overwrite else "error").partitionBy(*by)
+    writer.parquet(path) if kind == "parquet" else writer.csv(path, header=True)
+
+
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, force: bool = False) -> DataFrame:
     """What is written at path; built and written first if it isn't there, or by force."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -49,12 +49,12 @@ def clip_to_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEXED} SELECT {ZONE} AS zone_id, round(avg(lst) FILTER (lst > 0), 6) AS lst, round(avg(ndvi), 6) AS ndvi FROM ix GROUP BY 1")
 def tile_zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(raster.tile_zonal_stats(_indexed(spark, sf_dir), V.zone_cells(spark), "lst", "ndvi")[0], "lst", "ndvi")
+    return rounded(raster.tile_zonal_stats(_indexed(spark, sf_dir), V.zone_cells(spark, sf_dir), "lst", "ndvi")[0], "lst", "ndvi")
 
 
 @query(f"WITH {INDEXED}, s AS (SELECT {ZONE} AS zone_id, avg(lst) AS lst, avg(({_RULE} = 1)::INT) AS g FROM ix GROUP BY 1), t AS (SELECT *, 0.3 + 0.7 * {_md5('zone_id', 'tile')} AS toy FROM s) SELECT zone_id, round(({norm('lst')} + {norm('toy')} + {norm('(1 - g)')}) / 3, 6) AS score FROM t")
 def tile_smoke_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(validation.tile_smoke_score(_indexed(spark, sf_dir), V.zone_cells(spark)), "score")
+    return rounded(validation.tile_smoke_score(_indexed(spark, sf_dir), V.zone_cells(spark, sf_dir)), "score")
 
 
 @query(f"WITH {_EDGES}, h AS (SELECT point_id, zone_id FROM p JOIN e ON (y1 > p.y) <> (y2 > p.y) AND p.x < x1 + (p.y - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2 HAVING count(*) % 2 = 1) SELECT zone_id, round(avg(o_totalprice), 4) AS lst_heldout_c, count(*) AS n FROM h JOIN orders ON o_custkey = point_id GROUP BY 1")
@@ -67,7 +67,7 @@ def station_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEXED}, c AS (SELECT gx // 3 AS gx, gy // 3 AS gy, avg(lst) AS lst FROM ix GROUP BY 1, 2) SELECT (gy // 4) * 4 + gx // 4 AS zone_id, round(avg(lst), 6) AS lst_heldout_c FROM c GROUP BY 1")
 def coarse_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zone = V.zone_cells(spark).select(F.floor(F.col("gx") / 3).alias("gx"), F.floor(F.col("gy") / 3).alias("gy"), "zone_id").distinct()
+    zone = V.zone_cells(spark, sf_dir).select(F.floor(F.col("gx") / 3).alias("gx"), F.floor(F.col("gy") / 3).alias("gy"), "zone_id").distinct()
     coarse = raster.coarsen_mean(_indexed(spark, sf_dir), ["lst"], 3)
     return rounded(validation.coarse_heldout(coarse, zone, zone, "lst")[0].distinct(), "lst_heldout_c")
 

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-OBS = """obs AS (SELECT l_partkey % 48 AS gx, (l_partkey // 48) % 48 AS gy, l_orderkey AS scene_id, l_shipdate AS acquired_at, o_totalprice % 100 AS scene_cloud, l_discount * 1000 AS cloud_prob,
+OBS = """obs AS (SELECT l_partkey % 48 AS gx, l_partkey // 48 AS gy, l_orderkey AS scene_id, l_shipdate AS acquired_at, o_totalprice % 100 AS scene_cloud, l_discount * 1000 AS cloud_prob,
   CASE l_linenumber WHEN 7 THEN 8 WHEN 6 THEN 16 ELSE l_linenumber % 2 END AS qa, CASE WHEN l_tax > 0 THEN 0 ELSE 1 END AS sat, l_linenumber + 2 AS scl, l_extendedprice AS nir,
   l_quantity * 1000 AS red, l_extendedprice * (1 - l_discount) AS swir, l_quantity * 800 AS green, 40000 + l_quantity * 200 AS lst_raw FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 CLEAR = OBS + """, clear AS (SELECT * FROM obs WHERE scene_cloud < 70 AND (qa & 62) = 0 AND sat = 0 AND cloud_prob < 70)"""
@@ -112,16 +112,16 @@ def refine_bicubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fine.withColumn("lst", F.col("lst") + 1e-8), "lst")
 
 
-@query(f"WITH {COMPOSITE} SELECT z.zone_id, round(avg(lst), 6) AS lst FROM (SELECT DISTINCT {ZONE.replace('gy', 'b').replace('gx', 'a')} AS zone_id, a, b FROM range(48) x(a), range(48) y(b)) z LEFT JOIN comp ON gx = a AND gy = b GROUP BY 1")
+@query(f"WITH {COMPOSITE} SELECT z.zone_id, round(avg(lst), 6) AS lst FROM (SELECT DISTINCT {ZONE.replace('gy', 'b').replace('gx', 'a')} AS zone_id, a, b FROM (SELECT p_partkey % 48 AS a, p_partkey // 48 AS b FROM part)) z LEFT JOIN comp ON gx = a AND gy = b GROUP BY 1")
 def zonal_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zone = V.zone_cells(spark)
+    zone = V.zone_cells(spark, sf_dir)
     return rounded(raster.zonal_mean(_composite(spark, sf_dir), zone, zone.select("zone_id").distinct(), "lst"), "lst")
 
 
-@query(f"WITH {INDEXED}, k AS (SELECT {ZONE} AS zone_id, CASE WHEN ndwi > 0.1 THEN 4 WHEN ndvi > 0.35 THEN 1 WHEN ndbi > 0 THEN 2 ELSE 3 END AS class FROM ix), z AS (SELECT range AS zone_id FROM range(16)), s AS (SELECT zone_id, count(*) AS n, count(*) FILTER (class = 1) AS v, count(*) FILTER (class = 2) AS b, count(*) FILTER (class = 3) AS r, count(*) FILTER (class = 4) AS w FROM k GROUP BY 1) SELECT z.zone_id, coalesce(n, 0) AS n, round(v / n, 6) AS fraction_vegetation, round(b / n, 6) AS fraction_built_up, round(r / n, 6) AS fraction_bare, round(w / n, 6) AS fraction_water FROM z LEFT JOIN s USING (zone_id)")
+@query(f"WITH {INDEXED}, k AS (SELECT {ZONE} AS zone_id, CASE WHEN ndwi > 0.1 THEN 4 WHEN ndvi > 0.35 THEN 1 WHEN ndbi > 0 THEN 2 ELSE 3 END AS class FROM ix), z AS (SELECT DISTINCT ((p_partkey // 48) // 12) * 4 + (p_partkey % 48) // 12 AS zone_id FROM part), s AS (SELECT zone_id, count(*) AS n, count(*) FILTER (class = 1) AS v, count(*) FILTER (class = 2) AS b, count(*) FILTER (class = 3) AS r, count(*) FILTER (class = 4) AS w FROM k GROUP BY 1) SELECT z.zone_id, coalesce(n, 0) AS n, round(v / n, 6) AS fraction_vegetation, round(b / n, 6) AS fraction_built_up, round(r / n, 6) AS fraction_bare, round(w / n, 6) AS fraction_water FROM z LEFT JOIN s USING (zone_id)")
 def zonal_class_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _indexed(spark, sf_dir).withColumn("class", X.rule_landcover(F.col("ndwi"), F.col("ndvi"), F.col("ndbi")))
-    zone = V.zone_cells(spark)
+    zone = V.zone_cells(spark, sf_dir)
     out = raster.zonal_class_fractions(cells, zone, zone.select("zone_id").distinct(), {1: "vegetation", 2: "built_up", 3: "bare", 4: "water"})
     return rounded(out, *[c for c in out.columns if c.startswith("fraction")])
 
@@ -129,7 +129,7 @@ def zonal_class_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CLEAR}, s AS (SELECT {ZONE} AS zone_id, CASE WHEN month(acquired_at) IN (6, 7, 8, 9) THEN 'dry' ELSE 'wet' END AS season, lst_raw * 0.00341802 + 149.0 - 273.15 AS lst, nir FROM clear), m AS (SELECT zone_id, avg(lst) FILTER (season = 'dry') AS ld, avg(lst) FILTER (season = 'wet') AS lw, avg(nir) FILTER (season = 'dry') AS nd, avg(nir) FILTER (season = 'wet') AS nw FROM s GROUP BY 1) SELECT zone_id, round(ld, 6) AS lst_dry, round(lw, 6) AS lst_wet, round(lw - ld, 6) AS lst_delta, round(nd, 4) AS nir_dry, round(nw, 4) AS nir_wet, round(nw - nd, 4) AS nir_delta FROM m")
 def seasonal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     season = F.when(F.month("acquired_at").isin(6, 7, 8, 9), "dry").otherwise("wet")
-    rows = _clear(spark, sf_dir).withColumns({"lst": X.thermal_celsius(F.col("lst_raw")), "season": season}).join(V.zone_cells(spark), ["gx", "gy"])
+    rows = _clear(spark, sf_dir).withColumns({"lst": X.thermal_celsius(F.col("lst_raw")), "season": season}).join(V.zone_cells(spark, sf_dir), ["gx", "gy"])
     return rounded(rounded(raster.seasonal_features(rows, ["lst", "nir"]), "lst_dry", "lst_wet", "lst_delta"), "nir_dry", "nir_wet", "nir_delta", digits=4)
 
 
@@ -230,17 +230,17 @@ def annotator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("band", X.kappa_band(F.col("kappa"))), "observed", "kappa")
 
 
-_LC = "e AS (SELECT l_partkey % 48 AS gx, (l_partkey // 48) % 48 AS gy, 1 + l_linenumber % 4 AS c, l_shipdate FROM lineitem)"
+_LC = "e AS (SELECT l_partkey % 48 AS gx, l_partkey // 48 AS gy, 1 + l_linenumber % 4 AS c, l_shipdate FROM lineitem)"
 _MODE = "(SELECT gx, gy, c, row_number() OVER (PARTITION BY gx, gy ORDER BY count(*) DESC, c) AS k FROM e WHERE {when} GROUP BY 1, 2, 3)"
 
 
-@query(f"WITH {_LC}, a AS {_MODE.format(when='l_shipdate < TIMESTAMP ' + chr(39) + '1998-01-01' + chr(39))}, b AS {_MODE.format(when='l_shipdate >= TIMESTAMP ' + chr(39) + '1998-06-01' + chr(39))}, j AS (SELECT coalesce(x.gx, y.gx) AS gx, coalesce(x.gy, y.gy) AS gy, x.c AS e, y.c AS l FROM (SELECT * FROM a WHERE k = 1) x FULL JOIN (SELECT * FROM b WHERE k = 1) y ON x.gx = y.gx AND x.gy = y.gy), s AS (SELECT {ZONE} AS zone_id, avg((e <> l)::INT) AS f, count(*) FILTER (e IS NOT NULL AND l IS NOT NULL) AS n FROM j GROUP BY 1), z AS (SELECT range AS zone_id FROM range(16)) SELECT zone_id, round(f, 6) AS change_fraction, coalesce(n, 0) AS n_valid, CASE WHEN coalesce(n, 0) < 30 OR f IS NULL THEN 'insufficient_data' WHEN f > 0.15 THEN 'flagged' ELSE 'stable' END AS status FROM z LEFT JOIN s USING (zone_id)")
+@query(f"WITH {_LC}, a AS {_MODE.format(when='l_shipdate < TIMESTAMP ' + chr(39) + '1998-01-01' + chr(39))}, b AS {_MODE.format(when='l_shipdate >= TIMESTAMP ' + chr(39) + '1998-06-01' + chr(39))}, j AS (SELECT coalesce(x.gx, y.gx) AS gx, coalesce(x.gy, y.gy) AS gy, x.c AS e, y.c AS l FROM (SELECT * FROM a WHERE k = 1) x FULL JOIN (SELECT * FROM b WHERE k = 1) y ON x.gx = y.gx AND x.gy = y.gy), s AS (SELECT {ZONE} AS zone_id, avg((e <> l)::INT) AS f, count(*) FILTER (e IS NOT NULL AND l IS NOT NULL) AS n FROM j GROUP BY 1), z AS (SELECT DISTINCT ((p_partkey // 48) // 12) * 4 + (p_partkey % 48) // 12 AS zone_id FROM part) SELECT zone_id, round(f, 6) AS change_fraction, coalesce(n, 0) AS n_valid, CASE WHEN coalesce(n, 0) < 30 OR f IS NULL THEN 'insufficient_data' WHEN f > 0.15 THEN 'flagged' ELSE 'stable' END AS status FROM z LEFT JOIN s USING (zone_id)")
 def land_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = V.load(spark, sf_dir, "lineitem")
-    cells = lines.select((F.col("l_partkey") % 48).alias("gx"), (F.floor(F.col("l_partkey") / 48) % 48).alias("gy"), (1 + F.col("l_linenumber") % 4).alias("class"), "l_shipdate")
+    cells = lines.select((F.col("l_partkey") % 48).alias("gx"), F.floor(F.col("l_partkey") / 48).alias("gy"), (1 + F.col("l_linenumber") % 4).alias("class"), "l_shipdate")
     early = raster.composite_mode(cells.where("l_shipdate < timestamp '1998-01-01'"), "class")
     late = raster.composite_mode(cells.where("l_shipdate >= timestamp '1998-06-01'"), "class")
-    zone = V.zone_cells(spark)
+    zone = V.zone_cells(spark, sf_dir)
     change = metrics.zonal_change(early, late, zone).select("zone_id", "change_fraction", "n_valid")
     return rounded(scores.flag_unstable(zone.select("zone_id").distinct(), change), "change_fraction")
 

@@ -96,10 +96,10 @@ def class_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.class_mean_vectors(cells, "class", ["ndvi", "ndbi", "lst"], [1, 2, 3, 4]), "ndvi", "ndbi", "lst")
 
 
-@query(f"WITH {INDEXED}, z AS (SELECT {ZONE} AS zone_id, avg((ndvi > 0.35)::INT) AS greenery FROM ix GROUP BY 1), s AS (SELECT range AS zone_id FROM range(16)) SELECT zone_id, round(greenery, 6) AS greenery_fraction FROM s LEFT JOIN z USING (zone_id)")
+@query(f"WITH {INDEXED}, z AS (SELECT {ZONE} AS zone_id, avg((ndvi > 0.35)::INT) AS greenery FROM ix GROUP BY 1), s AS (SELECT DISTINCT ((p_partkey // 48) // 12) * 4 + (p_partkey % 48) // 12 AS zone_id FROM part) SELECT zone_id, round(greenery, 6) AS greenery_fraction FROM s LEFT JOIN z USING (zone_id)")
 def adaptive_pillar_ndvi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The zonal mean of a threshold mask."""
-    zone = V.zone_cells(spark)
+    zone = V.zone_cells(spark, sf_dir)
     cells = _indexed(spark, sf_dir).select("gx", "gy", (F.col("ndvi") > 0.35).cast("int").alias("greenery_fraction"))
     return rounded(raster.zonal_mean(cells, zone, zone.select("zone_id").distinct(), "greenery_fraction"), "greenery_fraction")
 
@@ -140,7 +140,7 @@ def sample_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.sample_at_points(_composite(spark, sf_dir), points, "lst").select("point_id", "lst"), "lst")
 
 
-_PERIODS = "e AS (SELECT l_partkey % 48 AS gx, (l_partkey // 48) % 48 AS gy, 1 + l_linenumber % 4 AS c, l_shipdate FROM lineitem)"
+_PERIODS = "e AS (SELECT l_partkey % 48 AS gx, l_partkey // 48 AS gy, 1 + l_linenumber % 4 AS c, l_shipdate FROM lineitem)"
 
 
 def _first(when: str) -> str:
@@ -152,7 +152,7 @@ _BOTH = f"WITH {_PERIODS}, j AS (SELECT coalesce(x.gx, y.gx) AS gx, coalesce(x.g
 
 def _periods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = V.load(spark, sf_dir, "lineitem")
-    cells = lines.select((F.col("l_partkey") % 48).alias("gx"), (F.floor(F.col("l_partkey") / 48) % 48).alias("gy"), (1 + F.col("l_linenumber") % 4).alias("class"), F.year("l_shipdate").alias("y"))
+    cells = lines.select((F.col("l_partkey") % 48).alias("gx"), F.floor(F.col("l_partkey") / 48).alias("gy"), (1 + F.col("l_linenumber") % 4).alias("class"), F.year("l_shipdate").alias("y"))
     return raster.composite_mode(cells.where("y = 1993"), "class"), raster.composite_mode(cells.where("y = 1997"), "class")
 
 
@@ -165,4 +165,4 @@ def overall_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BOTH}, s AS (SELECT {ZONE} AS zone_id, count(*) FILTER (e IS NOT NULL AND l IS NOT NULL) AS n, count(e) AS a, count(l) AS b FROM j GROUP BY 1) SELECT count(*) FILTER (n = 0) AS gaps, count(*) FILTER (n = 0 AND a = 0 AND b > 0) AS lack_early, count(*) FILTER (n = 0 AND a > 0 AND b = 0) AS lack_late, count(*) FILTER (n = 0 AND a = 0 AND b = 0) AS lack_both FROM s")
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.coverage_gap_report(metrics.zonal_change(*_periods(spark, sf_dir), V.zone_cells(spark)))
+    return validation.coverage_gap_report(metrics.zonal_change(*_periods(spark, sf_dir), V.zone_cells(spark, sf_dir)))

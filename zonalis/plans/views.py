@@ -16,16 +16,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.join(scenes, F.col("l_orderkey") == F.col("o_orderkey"))
     qa = F.when(F.col("l_linenumber") == 7, 8).when(F.col("l_linenumber") == 6, 16).otherwise(F.col("l_linenumber") % 2)
     return rows.select(
-        (F.col("l_partkey") % 48).alias("gx"), (F.floor(F.col("l_partkey") / 48) % 48).alias("gy"), F.col("l_orderkey").alias("scene_id"),
+        (F.col("l_partkey") % 48).alias("gx"), F.floor(F.col("l_partkey") / 48).alias("gy"), F.col("l_orderkey").alias("scene_id"),
         F.col("l_shipdate").alias("acquired_at"), (F.col("o_totalprice") % 100).alias("scene_cloud"), (F.col("l_discount") * 1000).alias("cloud_prob"), qa.alias("qa"),
         F.when(F.col("l_tax") > 0, 0).otherwise(1).alias("sat"), (F.col("l_linenumber") + 2).alias("scl"), F.col("l_extendedprice").alias("nir"),
         (F.col("l_quantity") * 1000).alias("red"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("swir"), (F.col("l_quantity") * 800).alias("green"), (40000 + F.col("l_quantity") * 200).alias("lst_raw"),
     )
 
 
-def zone_cells(spark: SparkSession) -> DataFrame:
-    """The 48 x 48 grid in 16 zones of 12 x 12 cells."""
-    grid = spark.range(48 * 48).select((F.col("id") % 48).alias("gx"), F.floor(F.col("id") / 48).alias("gy"))
+def zone_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell for each part, 48 a row, in zones of 12 x 12 cells: the grid grows with the table."""
+    key = F.col("p_partkey")
+    grid = load(spark, sf_dir, "part").select((key % 48).alias("gx"), F.floor(key / 48).alias("gy")).distinct()
     return grid.withColumn("zone_id", F.floor(F.col("gy") / 12) * 4 + F.floor(F.col("gx") / 12))
 
 

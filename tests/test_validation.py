@@ -27,6 +27,14 @@ def test_bands_without_noise(spark, none):
     assert all(r.band_width == 0 and r.p50 == pytest.approx(r.point) for r in scores.bootstrap_bands(pillars, none, none, 20).collect())
 
 
+def test_bands_by_components(spark):
+    pillars = spark.createDataFrame([(k, float(k), float(k * k), (k * 7 % 5) / 10) for k in range(6)], "zone_id long, exposure double, sensitivity_raw double, greenery_fraction double")
+    still = scores.bootstrap_bands(pillars, None, None, 10, weights="pca").collect()
+    want = {r.zone_id: r.score for r in scores.build_score_pca(pillars).collect()}
+    assert all(r.band_width == pytest.approx(0, abs=1e-9) and r.point == pytest.approx(want[r.zone_id]) and r.p50 == pytest.approx(want[r.zone_id]) for r in still)
+    assert any(r.band_width > 0.01 for r in scores.bootstrap_bands(pillars, 1.0, 0.1, 50, weights="pca").collect())
+
+
 def test_average_ranks(spark):
     rows = spark.createDataFrame([(x,) for x in (3.0, 1.0, 3.0, 2.0, 100.0, None)], "x double")
     assert {r.x: r.rank for r in metrics.average_ranks(rows, "x", "rank").collect()} == {1.0: 1.0, 2.0: 2.0, 3.0: 3.5, 100.0: 5.0}

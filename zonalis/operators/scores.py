@@ -31,15 +31,14 @@ def build_score(pillars: DataFrame) -> DataFrame:
     return normalised(pillars).withColumn("score", equal_score(*map(F.col, NORMED))).select(*pillars.columns, "score")
 
 
-def pca_weights(pillars: DataFrame, rounds: int = 64) -> DataFrame:
-    """One row w1, w2, w3: the first principal component of the normalised pillars over its sum, exposure loading positive.
+def first_component(norm: DataFrame, by: list[str], rounds: int = 64) -> DataFrame:
+    """norm (by, a, b, c) to by, missing, w1, w2, w3: the first principal component over its sum, a loading positive.
 
-    Six covariances in one aggregate, then power iteration within the plan.
+    Six covariances in one aggregate, then power iteration within the plan; missing counts rows without all three.
     """
-    norm = normalised(pillars).select(*[F.col(c).alias(x) for c, x in zip(NORMED, "abc", strict=True)])
     pairs = [(x, y) for i, x in enumerate("abc") for y in "abc"[i:]]
-    cov = norm.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull() | F.col("c").isNull()).alias("missing"), *[F.covar_samp(x, y).alias(x + y) for x, y in pairs])
-    cov = cov.withColumn("ok", F.when(F.col("missing") > 0, F.raise_error(F.concat(F.col("missing").cast("string"), F.lit(" rows lack a pillar")))).otherwise(True))
+    lacks = F.col("a").isNull() | F.col("b").isNull() | F.col("c").isNull()
+    cov = norm.groupBy(*by).agg(F.count_if(lacks).alias("missing"), *[F.covar_samp(x, y).alias(x + y) for x, y in pairs])
     m = {x + y: F.col(min(x, y) + max(x, y)) for x in "abc" for y in "abc"}
 
     def step(v: Column, _: Column) -> Column:
@@ -48,10 +47,17 @@ def pca_weights(pillars: DataFrame, rounds: int = 64) -> DataFrame:
         return F.struct(*[F.coalesce(F.try_divide(n, size), F.lit(0.0)).alias(x) for n, x in zip(new, "abc", strict=True)])
 
     start = F.struct(*[F.lit(v).alias(x) for v, x in zip((1.0, 0.9, 0.8), "abc", strict=True)])
-    v = cov.where("ok").select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("v"))
+    v = cov.select(*by, "missing", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("v"))
     sign = F.when(F.col("v.a") < 0, -1.0).otherwise(1.0)
     total = sign * (F.col("v.a") + F.col("v.b") + F.col("v.c"))
-    return v.select(*[F.try_divide(sign * F.col(f"v.{x}"), total).alias(w) for x, w in zip("abc", ("w1", "w2", "w3"), strict=True)])
+    return v.select(*by, "missing", *[F.try_divide(sign * F.col(f"v.{x}"), total).alias(w) for x, w in zip("abc", ("w1", "w2", "w3"), strict=True)])
+
+
+def pca_weights(pillars: DataFrame, rounds: int = 64) -> DataFrame:
+    """One row w1, w2, w3 over the normalised pillars; a zone that lacks a pillar is an error."""
+    found = first_component(normalised(pillars).select(*[F.col(c).alias(x) for c, x in zip(NORMED, "abc", strict=True)]), [], rounds)
+    ok = F.when(F.col("missing") > 0, F.raise_error(F.concat(F.col("missing").cast("string"), F.lit(" rows lack a pillar")))).otherwise(True)
+    return found.withColumn("ok", ok).where("ok").select("w1", "w2", "w3")
 
 
 def build_score_pca(pillars: DataFrame) -> DataFrame:
@@ -60,10 +66,10 @@ def build_score_pca(pillars: DataFrame) -> DataFrame:
     return norm.select(*pillars.columns, score.alias("score"))
 
 
-def bootstrap_bands(pillars: DataFrame, exposure_std: float | None, greenery_std: float | None, draws: int = 1000, seed: str = "draw") -> DataFrame:
-    """zone_id, point (the score without noise), p05, p50, p95, band_width of the equal score under Gaussian noise.
+def bootstrap_bands(pillars: DataFrame, exposure_std: float | None, greenery_std: float | None, draws: int = 1000, seed: str = "draw", weights: str = "equal") -> DataFrame:
+    """zone_id, point (the score without noise), p05, p50, p95, band_width of the score under Gaussian noise.
 
-    Every draw is normalised anew. A deviation that is None, NaN or not above 0 means no noise.
+    weights: "equal" or "pca". Every draw is normalised anew, and its components are fitted anew. A deviation that is None, NaN or not above 0 means no noise.
     """
     wide = pillars.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
 
@@ -83,8 +89,15 @@ def bootstrap_bands(pillars: DataFrame, exposure_std: float | None, greenery_std
     bounds = drawn.groupBy("draw").agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("lo", F.min), ("hi", F.max))])
     scored = drawn.join(F.broadcast(bounds), "draw")  # a row for each draw
     norm = [F.when(F.col(c).isNotNull(), F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 0.0).otherwise((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")))) for c in parts]
-    bands = scored.withColumn("score", equal_score(*norm)).groupBy("zone_id").agg(F.percentile("score", [0.05, 0.5, 0.95]).alias("p"))
-    point = build_score(pillars).select("zone_id", F.col("score").alias("point"))
+    named = scored.select("zone_id", "draw", *[c.alias(x) for c, x in zip(norm, "abc", strict=True)])
+    if weights == "pca":
+        fitted = F.broadcast(first_component(named, ["draw"]))  # a row for each draw
+        value = F.col("w1") * F.col("a") + F.col("w2") * F.col("b") + F.col("w3") * F.col("c")
+        valued, point = named.join(fitted, "draw").withColumn("score", value), build_score_pca(pillars)
+    else:
+        valued, point = named.withColumn("score", equal_score(*map(F.col, "abc"))), build_score(pillars)
+    bands = valued.groupBy("zone_id").agg(F.percentile("score", [0.05, 0.5, 0.95]).alias("p"))
+    point = point.select("zone_id", F.col("score").alias("point"))
     out = point.join(bands, "zone_id", "left")
     return out.select("zone_id", "point", *[F.col("p")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))], (F.col("p")[2] - F.col("p")[0]).alias("band_width"))
 

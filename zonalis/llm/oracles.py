@@ -119,5 +119,34 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM w LEFT JOIN s USING (r)
 """
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(text, '') AS text, doc_id, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls FROM documents),
+u AS (SELECT *, len(ls) AS n, list_transform(ls, lambda s: length(s)) AS ws, ('0x' || h[1:8])::BIGINT % (len(ls) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(ls) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, coalesce(list_sum(ws[1:least(a, b)]), 0)::BIGINT AS x, coalesce(list_sum(ws[1:greatest(a, b)]), 0)::BIGINT AS y FROM u),
+p AS (SELECT *, substring(text, 1, x) AS p, substring(text, x + 1, y - x) AS m, substring(text, y + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+# CRC-32 from its table of 256 remainders, byte by byte. Near words share what is left without one letter, or have one such rest.
+OP13 = r"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b] || [0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2),
+x AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+h AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(1, len(x) // 2 + 1), lambda i: ('0x' || x[2 * i - 1:2 * i])::BIGINT), lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM x, t),
+w AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING sum(n) >= 5 AND length(word) >= 6),
+c AS MATERIALIZED (SELECT word, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+e AS (SELECT a.word AS a, b.word AS b FROM c a JOIN c b ON a.i = b.i AND a.rest = b.rest AND a.word < b.word UNION SELECT c.word, w.word FROM c JOIN w ON c.rest = w.word),
+m AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+b AS (SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS best, max(n) AS best_n FROM m JOIN w ON b = word GROUP BY 1),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM w LEFT JOIN b ON word = a),
+s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, f2.n) AS root, any_value(f.n) AS n, any_value(f.n_near) AS n_near, any_value(f.form_n) AS form_n
+FROM f JOIN s USING (word) JOIN (SELECT word AS root, n FROM f) f2 USING (root) GROUP BY f.word, form
+"""
+
 
-ORACLES = {"op1_ngram_join": OP1, "op3_suffix_dedup": OP3, "op7_mixing": OP7, "op2_exact_dedup": OP2, "op9_url_filters": OP9, "op10_quality_rules": OP10, "op6_pii": _pii_sql()}
+ORACLES = {"op1_ngram_join": OP1, "op3_suffix_dedup": OP3, "op7_mixing": OP7, "op2_exact_dedup": OP2, "op9_url_filters": OP9, "op10_quality_rules": OP10, "op6_pii": _pii_sql(), "op11_fill_in_middle": OP11, "op13_spelling_variants": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import byte_bpe, exact_dedup, mixing, ngram_join, pii, quality, suffix_dedup, token_counts, toxicity, url_filters
+from zonalis.llm import byte_bpe, exact_dedup, infill, mixing, ngram_join, packing, pii, quality, spelling, suffix_dedup, token_counts, toxicity, url_filters
 from zonalis.llm.oracles import ORACLES
 from zonalis.llm.shared import load
 
@@ -61,8 +61,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(load(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_suffix_dedup, op4_byte_bpe, op5_toxicity, op6_pii, op7_mixing, op8_token_counts, op9_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_suffix_dedup, op4_byte_bpe, op5_toxicity, op6_pii, op7_mixing, op8_token_counts, op9_url_filters, op10_quality_rules, op11_fill_in_middle, op12_packing, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:

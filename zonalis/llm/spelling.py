@@ -121,22 +121,33 @@ class Grams:
         return out
 
     def affected(self, word: str, found: list[tuple[int, int]], high: int) -> int:
-        """How many of the word's grams one inserted, deleted or replaced letter can change at most."""
-        most = 0
+        """How many of the word's grams one inserted, deleted or replaced letter can change at most.
+
+        An edit reaches grams that start less than high places from it; three times as much text around it decides on them.
+        """
+        most, first, starts = 0, 0, [start for start, _ in found]
         for at in range(len(word) + 1):
-            edits = [(word[:at] + ANY + word[at:], at, 1)]
+            low = max(0, at - 2 * high)
+            text, place = word[low : at + 3 * high], at - low
+            edits = [(text[:place] + ANY + text[place:], at, 1)]
             if at < len(word):
-                edits += [(word[:at] + word[at + 1 :], at + 1, -1), (word[:at] + ANY + word[at + 1 :], at + 1, 0)]
+                edits += [(text[:place] + text[place + 1 :], at + 1, -1), (text[:place] + ANY + text[place + 1 :], at + 1, 0)]
+            while first < len(starts) and starts[first] < at - high:
+                first += 1
             for other, after, shift in edits:
-                ends, far, stays = self.ends(other, high), [0], 0
+                ends, far, lost = self.ends(other, high), [0], 0
                 for end in ends:
                     far.append(max(far[-1], end))
-                for start, end in found:
+                for k in range(first, len(found)):
+                    start, end = found[k]
+                    if start > at + high:
+                        break
                     if end > at and start < after:  # it holds the edited place
+                        lost += 1
                         continue
-                    move = shift if start >= after else 0
-                    stays += start + move < len(ends) and ends[start + move] == end + move > far[start + move]
-                most = max(most, len(found) - stays)
+                    move = (shift if start >= after else 0) - low
+                    lost += not (start + move < len(ends) and ends[start + move] == end + move > far[start + move])
+                most = max(most, lost)
         return most
 
     def rarest(self, word: str) -> Iterator[tuple[int, list[tuple[str, int]]]]:
@@ -191,10 +202,13 @@ def near_words(words: DataFrame, grams: tuple[int, int] = GRAMS, inner: int = IN
 def _by_deletion(words: DataFrame) -> DataFrame:
     """Near words (a, b) by what is left without one letter: a group holds the words that differ in one place, at most one for each letter."""
     at = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at")
-    cut = words.select("word", at).select("word", "at", F.concat(F.expr("substring(word, 1, at)"), F.expr("substring(word, at + 2)")).alias("rest"))
-    x, y = cut.select("at", "rest", F.col("word").alias("a")), cut.select("at", "rest", F.col("word").alias("b"))
-    replaced = x.join(y, ["at", "rest"]).where("a < b").select("a", "b")
-    return replaced.unionByName(x.join(words.select(F.col("word").alias("rest")), "rest").select("a", F.col("rest").alias("b")).distinct())
+    rest = F.xxhash64(F.concat(F.expr("substring(word, 1, at)"), F.expr("substring(word, at + 2)")))
+    cut = words.select("word", at).select(F.col("word").alias("a"), "at", rest.alias("rest"))
+    whole = words.select(F.xxhash64("word").alias("rest"), F.col("word").alias("b"))
+    replaced = cut.join(cut.withColumnRenamed("a", "b"), ["at", "rest"]).where("a < b")
+    # Words of repeated letters are found at many places: each pair once, before it is verified.
+    found = replaced.select("a", "b").unionByName(cut.join(whole, "rest").select("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("places"))
+    return found.where(F.when(F.col("places") > 0, F.levenshtein("a", "b", 1)) == 1).select("a", "b")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -218,7 +232,8 @@ def variants(docs: DataFrame, shortest: int = SHORTEST, rarest: int = RAREST, fa
     Two words are near at edit distance 1. A word's form is its most frequent near word (of equal ones the first in code
     point order), if that is factor times as frequent; root is the last form reached, or the word itself. Null and empty
     texts have no words; repeated rows count each; null doc_id counts as an empty one. Columns other than doc_id and text are
-    ignored; an empty table gives an empty result. A word may be as long as a text.
+    ignored; an empty table gives an empty result. A word may be as long as a text; a task has
+    one such word, or what is left of it without one letter, in memory at a time.
     """
     words = written(word_counts(docs, shortest, rarest), "words")
     near = near_words(words).join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")), "b")

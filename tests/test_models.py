@@ -2,10 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from zonalis.operators import labelling, models, raster, scores, validation
+from zonalis.operators import clusters, labelling, models, raster, scores, validation
 from zonalis.sources import readers
 
 
@@ -16,11 +17,12 @@ def blobs(spark):
 
 
 def test_cluster_sweeps_and_labels(spark, blobs):
-    sweep = models.sweep_kmeans(blobs, "key", ["a", "b"], range(2, 5), starts=3)
+    rows = clusters.standardized(clusters.vectors(blobs, "key", ["a", "b"]))
+    sweep = clusters.sweep(rows, range(2, 5), starts=3)
     assert {r.k for r in sweep.collect()} == {2, 3, 4} and validation.choose_k(sweep).head()["k"] == 3
     by_k = {r.k: r for r in sweep.collect()}
     assert by_k[2].inertia > by_k[3].inertia >= 0 and by_k[3].silhouette > 0.9 and by_k[3].davies_bouldin < 0.2
-    mixed = models.sweep_gmm(blobs, "key", ["a", "b"], range(2, 4), starts=2)
+    mixed = models.sweep_gmm(rows, range(2, 4), starts=2)
     assert {r.k for r in mixed.collect()} == {2, 3} and all(r.bic > r.aic for r in mixed.collect())
     rows = models.assembled(blobs, ["a", "b"])
     hard = models.label_clusters(rows, models.fit_kmeans(rows, 3, starts=3), "kmeans_cluster")
@@ -31,13 +33,67 @@ def test_cluster_sweeps_and_labels(spark, blobs):
     assert models.select_primary(soft, 0.4, 0.5).where("primary_cluster <> gmm_cluster").count() == 0
 
 
+def test_sweep_of_64_features(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(200, 64)) + 6 * rnd.integers(0, 4, 200)[:, None]
+    x[:, 5], x[7] = 2.5, x[3]  # a constant feature and two equal rows
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "key long, " + ", ".join(f"f{i} double" for i in range(64)))
+    rows = clusters.standardized(clusters.vectors(df, "key", [f"f{i}" for i in range(64)])).persist()
+    z = np.array([r.x for r in rows.orderBy("key").collect()])
+    spread = x.std(axis=0)
+    assert np.allclose(z, (x - x.mean(axis=0)) / np.where(spread > 1e-12, spread, 1))
+    got = {r.k: r for r in clusters.sweep(rows, range(2, 6), starts=4, block=50).collect()}
+    assert max(got, key=lambda k: got[k].silhouette) == 4 and got[4].inertia < got[3].inertia < got[2].inertia
+    assert {r.k for r in models.sweep_gmm(rows, range(2, 3), starts=1).collect()} == {2}
+
+
+def test_lloyds_rounds(spark):
+    """Every round against plain numpy; a cluster without rows keeps its centre, a k above the rows has a centre a row."""
+    rnd = np.random.default_rng(8)
+    x = np.concatenate([rnd.normal(size=(40, 3)), np.ones((5, 3))])
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "key long, x array<double>").repartition(3)
+    first = clusters.first_centres(rows, range(2, 5), 2, "s").collect()
+    models_ = {(k, s): np.array([r.c for r in sorted(first, key=lambda r: r.cluster) if (r.k, r.start) == (k, s)]) for k in range(2, 5) for s in range(2)}
+    for _ in range(20):
+        for at, c in models_.items():
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            models_[at] = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+    cost = {at: ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1).sum() for at, c in models_.items()}
+    for r in clusters.kmeans(rows, range(2, 5), 2, 20, "s").collect():
+        assert r.inertia == pytest.approx(min(cost[r.k, 0], cost[r.k, 1])) and r.c == pytest.approx(models_[r.k, r.start][r.cluster].tolist())
+    few = clusters.kmeans(rows.where("key < 2"), range(2, 5), 1)
+    assert {(r.k, r.cluster) for r in few.collect()} == {(k, c) for k in range(2, 5) for c in range(2)}
+    assert clusters.kmeans(rows.limit(0), range(2, 5), 1).count() == 0
+
+
+@pytest.mark.parametrize("block", [1000, 50, 7])
+def test_silhouettes_in_blocks(spark, block):
+    rnd = np.random.default_rng(1)
+    x = np.round(rnd.normal(size=(130, 4)), 1)
+    x[:20] = x[20:40]  # equal rows
+    labels = {"a": rnd.integers(0, 5, 130), "b": np.where(np.arange(130) == 3, 1, 0), "one": np.zeros(130, int)}
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "key long, x array<double>")
+    table = spark.createDataFrame([(k, name, int(c)) for name, cs in labels.items() for k, c in enumerate(cs)], "key long, labelling string, cluster int")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {}
+    for name, cs in labels.items():
+        s = []
+        for k in range(130):
+            mean = {c: far[k][cs == c].sum() / max(1, (cs == c).sum() - (c == cs[k])) for c in set(cs.tolist())}
+            b = min((m for c, m in mean.items() if c != cs[k]), default=None)
+            s.append(0.0 if b is None or (cs == cs[k]).sum() == 1 else (b - mean[cs[k]]) / max(b, mean[cs[k]]))
+        want[name] = sum(s) / 130
+    got = {r.labelling: (r.n, r.silhouette) for r in clusters.silhouettes(rows, table, block).collect()}
+    assert got == {name: (130, pytest.approx(v)) for name, v in want.items()}
+
+
 def test_silhouette_of_single_members(spark):
-    rows = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0), (3, 1, 10.0)], "key long, k int, x double")
+    rows = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [10.0])], "key long, x array<double>")
+    labels = spark.createDataFrame([(1, "k", 0), (2, "k", 0), (3, "k", 1)], "key long, labelling string, cluster int")
     want = ((10 - 1) / 10 + (9 - 1) / 9 + 0) / 3
-    got = models.silhouette(rows, "key", "k", ["x"]).head()
+    got = clusters.silhouettes(rows, labels).head()
     assert (got.n, got.silhouette) == (3, pytest.approx(want))
-    assert models.silhouette(rows, "key", "k", ["x"], queries=2).head().n == 2
-    assert models.silhouette(rows.limit(0), "key", "k", ["x"]).head().silhouette is None
+    assert clusters.silhouettes(rows.limit(0), labels.limit(0)).count() == 0
 
 
 def test_classifier(spark, blobs):

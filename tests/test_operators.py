@@ -1,6 +1,8 @@
 """Operators on small fixtures."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,46 @@ def test_hole_is_outside(spark):
     assert zones.zone_area(edges).head().area == pytest.approx(72)
 
 
+def test_tiles_of_zones(spark):
+    """1,000 zones (holes, two parts, stars that overlap, edges on tile borders) against a ray cast, for several tile sizes."""
+    rnd, edges = random.Random(4), []
+
+    def ring(z, pts):
+        edges.extend((z, *map(float, a), *map(float, b)) for a, b in zip(pts, pts[1:] + pts[:1], strict=True))
+
+    for z in range(1000):
+        cx, cy = (z % 40) * 10 + 5, (z // 40) * 10 + 5
+        if z % 4 == 0:
+            ring(z, [(cx - 5, cy - 5), (cx + 5, cy - 5), (cx + 5, cy + 5), (cx - 5, cy + 5)])
+            ring(z, [(cx - 2, cy - 2), (cx - 2, cy + 2), (cx + 2, cy + 2), (cx + 2, cy - 2)])
+        elif z % 4 == 1:
+            ring(z, [(cx - 5, cy), (cx, cy - 5), (cx + 5, cy), (cx, cy + 5)])
+        elif z % 4 == 2:
+            n = rnd.randint(5, 40)
+            ring(z, [(cx + (3 + 6 * rnd.random()) * math.cos(2 * math.pi * k / n), cy + (3 + 6 * rnd.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)])
+        else:
+            ring(z, [(cx - 4, cy - 4), (cx - 1, cy - 4), (cx - 3, cy + 4)])
+            ring(z, [(cx + 1, cy - 3), (cx + 4, cy - 3), (cx + 4, cy + 3), (cx + 1, cy + 3)])
+    place = lambda most: rnd.choice([rnd.uniform(-10, most + 10), rnd.randint(-2, most) + 0.5, float(rnd.randint(-2, most))])
+    points = [(k, place(400), place(250)) for k in range(2000)]
+    by = {}
+    for z, *e in edges:
+        by.setdefault(z, []).append(e)
+    crossed = lambda x, y, e: (e[1] > y) != (e[3] > y) and x < e[0] + (y - e[1]) * (e[2] - e[0]) / (e[3] - e[1])
+    want = {(k, z) for k, x, y in points for z, es in by.items() if abs((z % 40) * 10 + 5 - x) < 10 and abs((z // 40) * 10 + 5 - y) < 10 and sum(crossed(x, y, e) for e in es) % 2}
+    outlines = spark.createDataFrame(edges, "zone_id int, x1 double, y1 double, x2 double, y2 double").persist()
+    table = spark.createDataFrame([*points, (9999, None, 1.0)], "point_id int, x double, y double")
+    for size in (None, 2.5, 0.9, 30.0):
+        assert {tuple(r) for r in zones.point_in_zone(table, outlines, size).collect()} == want
+    # No row meets an edge of another tile: a point has a row for each zone of its tile, with that tile's edges only.
+    tiles = zones.zone_tiles(outlines, 1.25).persist()
+    assert tiles.groupBy("tx", "ty", "zone_id").count().where("count > 1").count() == 0
+    assert tiles.agg(F.max(F.size("edges"))).head()[0] < 8 and tiles.where("size(edges) = 0").count() > 10_000
+    report = zones.placement_report(table, zones.point_in_zone(table, outlines, 1.25, tiles), outlines).head()
+    assert (report.points, report.outside, report.zones, report.covered) == (2001, 2001 - len({k for k, _ in want}), 1000, len({z for _, z in want}))
+    assert zones.point_in_zone(table.limit(0), outlines).count() == 0 and zones.point_in_zone(table, outlines.limit(0)).count() == 0
+
+
 def test_geojson(spark, tmp_path):
     feature = {"type": "Feature", "properties": {"a.b": "x", "id": "z1"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}
     (tmp_path / "z.json").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.functions.expressions import uniform
+from zonalis.operators import clusters
 from zonalis.operators.raster import neighbourhood_features
 from zonalis.operators.sampling import hash_split
 from zonalis.operators.scores import redistribute_vegetation
@@ -28,26 +26,6 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=VECTOR).transform(df.dropna(subset=features))
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, features: list[str], queries: int = 20_000) -> DataFrame:
-    """One row: n (rows that were asked) and the mean silhouette by Euclidean distance; single members count 0.
-
-    Exact up to so many rows. Of a larger table the rows of least hash are asked, against all rows: the broadcast side is
-    these rows only, and each task adds up its distances by (row, cluster) before the shuffle.
-    """
-    x = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
-    rows = df.select(F.col(key).alias("key"), F.col(cluster).alias("k"), *x)
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
-    asked = rows.orderBy(uniform(F.col("key"), "silhouette"), "key").limit(queries)
-    asked = asked.select(F.col("key").alias("q"), F.col("k").alias("own"), *[F.col(f"x{i}").alias(f"q{i}") for i in range(len(features))])
-    gaps = [(F.col(f"x{i}") - F.col(f"q{i}")) * (F.col(f"x{i}") - F.col(f"q{i}")) for i in range(len(features))]
-    far = F.sqrt(reduce(lambda a, b: a + b, gaps))
-    sums = rows.crossJoin(F.broadcast(asked)).groupBy("q", "own", "k").agg(F.sum(far).alias("d"))  # asked rows are bounded
-    means = sums.join(F.broadcast(sizes), "k")
-    same = F.col("k") == F.col("own")
-    near = means.groupBy("q").agg(F.max(F.when(same, F.try_divide("d", F.col("size") - 1))).alias("a"), F.min(F.when(~same, F.col("d") / F.col("size"))).alias("b"))
-    return near.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
-
-
 def fit_kmeans(df: DataFrame, k: int, seed: int = 42, starts: int = 10) -> KMeansModel:
     """df has VECTOR. The best of several starts by its cost."""
     models = [KMeans(k=k, seed=seed + s, featuresCol=VECTOR, predictionCol="cluster").fit(df) for s in range(starts)]
@@ -68,45 +46,24 @@ def label_clusters(df: DataFrame, model: KMeansModel | GaussianMixtureModel, nam
     return out.drop("__probability")
 
 
-def _sweep(df: DataFrame, key: str, features: list[str], ks: range, fit, extra: dict[str, str]) -> DataFrame:
-    rows = assembled(df.select(key, *features), features).persist()
-    n, found = rows.count(), []
+def sweep_gmm(rows: DataFrame, ks: range = range(2, 9), seed: int = 42, starts: int = 5) -> DataFrame:
+    """A row for each k: bic, aic, silhouette, davies_bouldin of the best of several starts; rows (key, x), standardised, with unique keys."""
+    rows = rows.withColumn(VECTOR, array_to_vector("x")).persist()
+    n, d = rows.count(), len(rows.first()["x"])
+    found, labelled = [], None
     for k in ks:
-        model = fit(rows, k)
-        labelled = model.transform(rows)
-        near = silhouette(labelled, key, "cluster", features).head()["silhouette"]
-        spread = _davies_bouldin(labelled)
-        own = {"inertia": model.summary.trainingCost} if isinstance(model, KMeansModel) else _information(model.summary.logLikelihood, n, k, len(features))
-        found.append((k, *(own[c] for c in extra), near, spread))
+        model = fit_gmm(rows, k, seed, starts)
+        free = k - 1 + k * d + k * d * (d + 1) // 2
+        likelihood = model.summary.logLikelihood
+        found.append((k, free * math.log(n) - 2 * likelihood, 2 * free - 2 * likelihood))
+        own = model.transform(rows).select("key", "x", F.lit(k).alias("labelling"), "cluster")
+        labelled = own if labelled is None else labelled.unionByName(own)
+    labelled = labelled.persist()
+    near = {r.labelling: r.silhouette for r in clusters.silhouettes(rows.select("key", "x"), labelled.select("key", "labelling", "cluster")).collect()}
+    spread = {r.labelling: r.davies_bouldin for r in clusters.davies_bouldins(labelled).collect()}
+    labelled.unpersist()
     rows.unpersist()
-    schema = ", ".join(["k int", *(f"{c} {t}" for c, t in extra.items()), "silhouette double", "davies_bouldin double"])
-    return df.sparkSession.createDataFrame(found, schema)
-
-
-def _davies_bouldin(rows: DataFrame) -> float | None:
-    """Of rows with VECTOR and cluster; what reaches the driver is a mean vector for each cluster."""
-    centres = rows.groupBy("cluster").agg(Summarizer.mean(F.col(VECTOR)).alias("c"))
-    far = F.sqrt(F.aggregate(F.zip_with(vector_to_array(VECTOR), vector_to_array("c"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v))
-    found = rows.join(F.broadcast(centres), "cluster").groupBy("cluster").agg(F.avg(far).alias("s"), F.first("c").alias("c")).collect()
-    apart = lambda a, b: math.dist(a["c"].toArray(), b["c"].toArray())
-    worst = [max(((a["s"] + b["s"]) / apart(a, b) for b in found if b is not a and apart(a, b)), default=None) for a in found]
-    worst = [w for w in worst if w is not None]
-    return float(sum(worst) / len(worst)) if worst else None
-
-
-def _information(likelihood: float, n: int, k: int, d: int) -> dict[str, float]:
-    free = k - 1 + k * d + k * d * (d + 1) // 2
-    return {"bic": free * math.log(n) - 2 * likelihood, "aic": 2 * free - 2 * likelihood}
-
-
-def sweep_kmeans(df: DataFrame, key: str, features: list[str], ks: range = range(2, 9), seed: int = 42, starts: int = 10) -> DataFrame:
-    """A row for each k: inertia, silhouette, davies_bouldin. Features should be standardised; rows that lack one are left out."""
-    return _sweep(df, key, features, ks, lambda rows, k: fit_kmeans(rows, k, seed, starts), {"inertia": "double"})
-
-
-def sweep_gmm(df: DataFrame, key: str, features: list[str], ks: range = range(2, 9), seed: int = 42, starts: int = 5) -> DataFrame:
-    """A row for each k: bic, aic, silhouette, davies_bouldin."""
-    return _sweep(df, key, features, ks, lambda rows, k: fit_gmm(rows, k, seed, starts), {"bic": "double", "aic": "double"})
+    return rows.sparkSession.createDataFrame([(*row, near.get(row[0]), spread.get(row[0])) for row in found], "k int, bic double, aic double, silhouette double, davies_bouldin double")
 
 
 def select_primary(df: DataFrame, kmeans_silhouette: float, gmm_silhouette: float, kmeans: str = "kmeans_cluster", gmm: str = "gmm_cluster") -> DataFrame:

@@ -152,10 +152,13 @@ def silhouette_squared(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     return placed.agg(F.avg(value).alias("silhouette"))
 
 
-def cluster_quality(sizes: DataFrame, silhouette: DataFrame) -> DataFrame:
-    """One row from (cluster, n) and a silhouette: clusters, sizes, and degenerate where one has under 3 members or the silhouette is under 0.15."""
+def cluster_quality(sizes: DataFrame, silhouette: DataFrame, *others: DataFrame) -> DataFrame:
+    """One row from (cluster, n), the Euclidean silhouette and other one-row tables: clusters, sizes, the other tables' statistics, and degenerate.
+
+    Degenerate is a labelling with a cluster of under 3 members or a silhouette under 0.15.
+    """
     ends = sizes.agg(F.count(F.lit(1)).alias("clusters"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
-    both = ends.crossJoin(silhouette)  # one row each
+    both = reduce(DataFrame.crossJoin, [ends, *[t.drop("labelling", "n") for t in (silhouette, *others)]])  # one row each
     return both.withColumn("degenerate", (F.col("smallest") < 3) | (F.col("silhouette") < 0.15))
 
 

@@ -8,18 +8,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def point_in_zone(points: DataFrame, edges: DataFrame, band: float = 1.0) -> DataFrame:
-    """points (point_id, x, y) strictly within zones: (point_id, zone_id).
+#: What is taken from a tile's border to either side, in tiles: an edge that touches a tile is one of its edges.
+MARGIN = 1e-6
 
-    Edges go to the bands of y that they cross, so that the join is on equal bands; a point is within a zone when a ray to
-    its right crosses an odd number of the zone's edges.
+
+def _crossing(y: Column, e) -> Column:
+    """Whether an edge crosses the height y; its upper end counts, its lower one doesn't."""
+    return (e["y1"] > y) != (e["y2"] > y)
+
+
+def _at(y: Column, e) -> Column:
+    """Where it does."""
+    return e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+
+
+def tile_size(edges: DataFrame, tiles: int = 8) -> float:
+    """So that a zone of mean width and height has some tiles to each side."""
+    wide = edges.groupBy("zone_id").agg((F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("w"), (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"))
+    found = wide.agg(F.avg(F.greatest("w", "h"))).first()[0]
+    return found / tiles if found else 1.0
+
+
+def zone_tiles(edges: DataFrame, size: float) -> DataFrame:
+    """(tx, ty, zone_id, base, edges): the tiles that a zone covers wholly or in part.
+
+    edges holds those that touch the tile, none for a tile wholly inside. base counts, at the tile's lower border, the
+    zone's edges that pass to the right of it. With the tile's own edges that is all within_tile() needs, so a zone's other
+    edges play no part. The table grows with the outlines' length and the zones' area in tiles; write it to use it twice.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    crossed = edges.where("y1 <> y2").withColumn("band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
-    banded = points.withColumn("band", F.floor(F.col("y") / band))
-    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    hits = banded.join(crossed, "band").where(((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < at))
-    return hits.groupBy("point_id", "zone_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("point_id", "zone_id")
+    rows = F.explode(F.sequence(F.floor(low / size - MARGIN), F.floor(high / size + MARGIN)))
+    banded = edges.select("zone_id", "x1", "y1", "x2", "y2", rows.alias("ty"))
+    clip = lambda y: F.greatest(low, F.least(high, y))
+    sloped = lambda y: F.when(F.col("y1") == F.col("y2"), None).otherwise(_at(clip(y), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}))
+    ends = [sloped((F.col("ty") + k) * size) for k in (0, 1)]
+    left, right = F.coalesce(F.least(*ends), F.least("x1", "x2")), F.coalesce(F.greatest(*ends), F.greatest("x1", "x2"))
+    columns = F.explode(F.sequence(F.floor(left / size - MARGIN), F.floor(right / size + MARGIN)))
+    cut = banded.select("*", columns.alias("tx")).groupBy("zone_id", "ty", "tx").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    # Where a zone's edges cross the lower border of each row of tiles.
+    floor = F.col("ty") * size
+    edge = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+    lines = banded.where(_crossing(floor, edge)).groupBy("zone_id", "ty").agg(F.array_sort(F.collect_list(_at(floor, edge))).alias("xs"))
+    passing = lambda tx: F.size(F.filter(F.coalesce("xs", F.array().cast("array<double>")), lambda x: x > (tx + 1) * size))
+    cut = cut.join(lines, ["zone_id", "ty"], "left").select("tx", "ty", "zone_id", passing(F.col("tx")).alias("base"), "edges")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.get("xs", 2 * i).alias("a"), F.get("xs", 2 * i + 1).alias("b"))))
+    spans = lines.where(F.size("xs") > 1).select("zone_id", "ty", pair.alias("p"))
+    covered = spans.select("zone_id", "ty", F.explode(F.sequence(F.floor(F.col("p.a") / size) - 1, F.floor(F.col("p.b") / size))).alias("tx"), "p")
+    covered = covered.where(((F.col("tx") + 1) * size >= F.col("p.a")) & ((F.col("tx") + 1) * size < F.col("p.b"))).select("tx", "ty", "zone_id")
+    whole = covered.distinct().join(cut.select("tx", "ty", "zone_id"), ["tx", "ty", "zone_id"], "left_anti")
+    return cut.unionByName(whole.select("tx", "ty", "zone_id", F.lit(1).alias("base"), F.array().cast(cut.schema["edges"].dataType).alias("edges")))
+
+
+def within_tile(x: Column, y: Column, size: float) -> Column:
+    """Whether a point is within the zone of a row of zone_tiles: what a ray to its right crosses, over all of the zone's edges, is odd.
+
+    In the tile the ray crosses the tile's edges. What it crosses beyond the right border, at the point's height, differs
+    from base by the tile's edges that cross this border: each counts where its end beyond is above one height and not the
+    other, or where it is itself crossed beyond at one of them.
+    """
+    border, floor = (F.col("tx") + 1) * size, F.col("ty") * size
+
+    def beyond(e, at: Column) -> Column:
+        end = F.when(e["x1"] > border, e["y1"]).otherwise(e["y2"])
+        crossed = _crossing(at, e) & F.coalesce(F.when(_crossing(at, e), _at(at, e) > border), F.lit(False))
+        return (end > at).cast("int") + crossed.cast("int")
+
+    def count(total: Column, e) -> Column:
+        own = F.when(_crossing(y, e), (x < _at(y, e)) & (_at(y, e) <= border)).otherwise(False).cast("int")
+        over = F.when((e["x1"] > border) != (e["x2"] > border), beyond(e, y) + beyond(e, floor)).otherwise(0)
+        return total + own + over
+
+    return F.aggregate("edges", F.col("base"), count) % 2 == 1
+
+
+def point_in_zone(points: DataFrame, edges: DataFrame, size: float | None = None, tiles: DataFrame | None = None) -> DataFrame:
+    """points (point_id, x, y) strictly within zones: (point_id, zone_id), a row for each zone that a point is in.
+
+    Points meet the zones of their tile only. tiles: zone_tiles(edges, size), if it is written already. Points or edges
+    with NULL are outside; a point on an outline may be in either of the zones it divides.
+    """
+    size = size or tile_size(edges)
+    tiles = zone_tiles(edges, size) if tiles is None else tiles
+    tiled = points.select("point_id", "x", "y", F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"))
+    return tiled.join(tiles, ["tx", "ty"]).where(within_tile(F.col("x"), F.col("y"), size)).select("point_id", "zone_id")
+
+
+def placement_report(points: DataFrame, placed: DataFrame, zones: DataFrame) -> DataFrame:
+    """One row: points, those outside of all zones, zones, those with a point and their share in per cent."""
+    hit = placed.select("point_id").distinct().withColumn("in", F.lit(1))
+    counted = points.select("point_id").join(hit, "point_id", "left").agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("in").isNull()).alias("outside"))
+    used = zones.select("zone_id").distinct().join(placed.select("zone_id").distinct().withColumn("has", F.lit(1)), "zone_id", "left")
+    covered = used.agg(F.count(F.lit(1)).alias("zones"), F.count("has").alias("covered"))
+    return counted.crossJoin(covered).withColumn("coverage_pct", F.try_divide(100.0 * F.col("covered"), "zones"))  # one row each
+
+
+def zone_cells_of(cells: DataFrame, edges: DataFrame, origin: tuple[float, float] = (0.0, 0.0), pixel: float = 1.0, size: float | None = None) -> DataFrame:
+    """(gx, gy, zone_id): the zones that the centre of each cell lies in; rows go up from the origin, or down with a negative pixel height."""
+    centres = cells.select(F.struct("gx", "gy").alias("point_id"), (origin[0] + (F.col("gx") + 0.5) * pixel).alias("x"), (origin[1] + (F.col("gy") + 0.5) * pixel).alias("y"))
+    return point_in_zone(centres, edges, size).select("point_id.gx", "point_id.gy", "zone_id")
 
 
 def zone_area(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import expressions as X
-from zonalis.operators import labelling, metrics, models, raster, scores, validation
+from zonalis.operators import clusters, labelling, models, raster, scores, validation
 from zonalis.plans import views as V
 from zonalis.plans.queries import _EDGES, INDEXED, ZONE, _indexed, norm, query, rounded
 from zonalis.plans.validation_queries import HEAT, VARIANTS
@@ -156,7 +156,9 @@ m AS (SELECT a.vec_id, a.k AS own, b.k, sum(list_distance(a.x, b.x)) AS d FROM r
 n AS (SELECT vec_id, max(d / (size - 1)) FILTER (k = own AND size > 1) AS a, min(d / size) FILTER (k <> own) AS b FROM m JOIN s USING (k) GROUP BY 1)
 SELECT count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM n""")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(models.silhouette(V.cluster_rows(spark, sf_dir), "vec_id", "cluster", EMBEDDED), "silhouette")
+    rows = V.cluster_rows(spark, sf_dir)
+    labels = rows.select(F.col("vec_id").alias("key"), F.lit("given").alias("labelling"), "cluster")
+    return rounded(clusters.silhouettes(clusters.vectors(rows, "vec_id", EMBEDDED), labels).select("n", "silhouette"), "silhouette")
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,14 +195,36 @@ def _edited(cells: DataFrame) -> DataFrame:
     return models.edit_cells(cells, X.in_disc(F.col("gx"), F.col("gy"), 24, 24, 10.0, 1.0), 1, means, INDICES, [1, 2, 3, 4])
 
 
-@query()
+_ROWS = """r AS (SELECT vec_id AS key, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT key, i, e[i] AS v FROM r, range(1, 65) t(i)), st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM u GROUP BY 1),
+x AS MATERIALIZED (SELECT key, list((v - m) / CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY i) AS x FROM u JOIN st USING (i) GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_ROWS},
+o AS (SELECT start, x, row_number() OVER (PARTITION BY start ORDER BY ('0x' || left(md5(key || '|kmeans-' || start), 8))::BIGINT, key) - 1 AS cluster FROM x, range(0, 10) t(start)),
+it AS (SELECT 0 AS r, k, start, cluster, x AS c FROM o, range(2, 9) t(k) WHERE cluster < k
+  UNION ALL SELECT r + 1, k, start, cluster, coalesce(n.c, it.c) FROM it LEFT JOIN (SELECT k, start, cluster, list(v ORDER BY i) AS c FROM (
+    SELECT k, start, cluster, i, avg(x.x[i]) AS v FROM (SELECT key, k, start, arg_min(cluster, (d2, cluster)) AS cluster FROM (SELECT key, k, start, cluster, pow(list_distance(x, c), 2) AS d2 FROM x, it) GROUP BY 1, 2, 3)
+    JOIN x USING (key), range(1, 65) t(i) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) n USING (k, start, cluster) WHERE r < 20),
+d AS MATERIALIZED (SELECT key, k, start, min((d2, cluster)) AS b FROM (SELECT key, k, start, cluster, pow(list_distance(x, c), 2) AS d2 FROM x, it WHERE r = 20) GROUP BY 1, 2, 3),
+n AS (SELECT k, min((inertia, start)) AS b FROM (SELECT k, start, sum(b[1]) AS inertia FROM d GROUP BY 1, 2) GROUP BY 1),
+l AS MATERIALIZED (SELECT d.k, key, d.b[2] AS cluster FROM d JOIN n ON d.k = n.k AND d.start = n.b[2]),
+z AS (SELECT k, cluster, count(*) AS size FROM l GROUP BY 1, 2), p AS MATERIALIZED (SELECT a.key AS a, b.key AS b, list_distance(a.x, b.x) AS far FROM x a, x b),
+m AS (SELECT y.k, p.a, y.cluster, sum(far) AS d FROM p JOIN l y ON y.key = p.b GROUP BY 1, 2, 3),
+q AS (SELECT m.k, a, max(d / (size - 1)) FILTER (m.cluster = l.cluster AND size > 1) AS own, min(d / size) FILTER (m.cluster <> l.cluster) AS near FROM m JOIN z USING (k, cluster) JOIN l ON l.k = m.k AND l.key = a GROUP BY 1, 2),
+s AS (SELECT k, avg(coalesce((near - own) / nullif(greatest(own, near), 0), 0)) AS silhouette FROM q GROUP BY 1),
+c AS (SELECT k, cluster, list(v ORDER BY i) AS c FROM (SELECT k, cluster, i, avg(x[i]) AS v FROM l JOIN x USING (key), range(1, 65) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+w AS (SELECT k, cluster, any_value(c) AS c, avg(list_distance(x, c)) AS s FROM l JOIN x USING (key) JOIN c USING (k, cluster) GROUP BY 1, 2),
+g AS (SELECT k, avg(r) AS db FROM (SELECT a.k, a.cluster, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM w a JOIN w b ON a.k = b.k AND a.cluster <> b.cluster GROUP BY 1, 2) GROUP BY 1)
+SELECT k::INT AS k, round(n.b[1], 4) AS inertia, round(silhouette, 6) AS silhouette, round(db, 6) AS davies_bouldin FROM n JOIN s USING (k) JOIN g USING (k)""")
 def sweep_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.sweep_kmeans(metrics.standardize(V.cluster_rows(spark, sf_dir).select("vec_id", *EMBEDDED), EMBEDDED), "vec_id", EMBEDDED, range(2, 5), starts=1)
+    rows = clusters.standardized(clusters.vectors(V.cluster_rows(spark, sf_dir), "vec_id", EMBEDDED))
+    return rounded(rounded(clusters.sweep(rows), "silhouette", "davies_bouldin"), "inertia", digits=4)
 
 
 @query()
 def sweep_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.sweep_gmm(metrics.standardize(V.cluster_rows(spark, sf_dir).select("vec_id", *EMBEDDED), EMBEDDED), "vec_id", EMBEDDED, range(2, 5), starts=1)
+    rows = clusters.standardized(clusters.vectors(V.cluster_rows(spark, sf_dir), "vec_id", EMBEDDED))
+    return models.sweep_gmm(rows)
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import expressions as X
-from zonalis.operators import metrics, raster, scores, validation
+from zonalis.operators import clusters, metrics, raster, scores, validation
 from zonalis.plans import views as V
 from zonalis.plans.queries import INDEXED, ORACLES, ZONE, _composite, _indexed, norm, query, rounded
 
@@ -110,11 +110,22 @@ a AS (SELECT k, avg(xx) AS s, count(*) AS c FROM r2 GROUP BY 1), d AS (SELECT r2
 p AS (SELECT x, k, max(d * c / (c - 1)) FILTER (k = o) AS a, min(d) FILTER (k <> o) AS b FROM d GROUP BY x, k)"""
 
 
-@query(f"WITH {_SIL}, n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), q AS (SELECT count(*) AS clusters, min(n) AS smallest, max(n) AS largest FROM n), s AS (SELECT round(sum((b - a) / greatest(a, b) * w) / sum(w), 6) AS silhouette FROM p JOIN (SELECT x, k, count(*) AS w FROM r GROUP BY 1, 2) USING (x, k)) SELECT *, smallest < 3 OR silhouette < 0.15 AS degenerate FROM q, s")
+@query(f"""WITH {_SIL}, n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), q AS (SELECT count(*) AS clusters, min(n) AS smallest, max(n) AS largest FROM n),
+sq AS (SELECT round(sum((b - a) / greatest(a, b) * w) / sum(w), 6) AS silhouette_squared FROM p JOIN (SELECT x, k, count(*) AS w FROM r GROUP BY 1, 2) USING (x, k)),
+y AS (SELECT row_number() OVER () AS i, k, x FROM r), f AS (SELECT g.i, g.k AS own, h.k, sum(list_distance(g.x, h.x)) AS d FROM y g, y h GROUP BY 1, 2, 3),
+v AS (SELECT i, max(d / (n - 1)) FILTER (own = f.k AND n > 1) AS a, min(d / n) FILTER (own <> f.k) AS b FROM f JOIN n USING (k) GROUP BY 1),
+s AS (SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM v),
+w AS (SELECT r.k, any_value(m) AS m, avg(list_distance(x, m)) AS s FROM r JOIN m USING (k) GROUP BY 1),
+db AS (SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT g.k, max((g.s + h.s) / list_distance(g.m, h.m)) AS r FROM w g JOIN w h ON g.k <> h.k GROUP BY 1))
+SELECT clusters, smallest, largest, silhouette, davies_bouldin, silhouette_squared, smallest < 3 OR silhouette < 0.15 AS degenerate FROM q, s, sq, db""")
 def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = V.load(spark, sf_dir, "embeddings").select((F.col("label") % 4).alias("cluster"), "embedding")
+    rows = V.load(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4).cast("int").alias("cluster"), "embedding")
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    return validation.cluster_quality(sizes, rounded(validation.silhouette_squared(rows, "cluster", "embedding"), "silhouette"))
+    placed = rows.select(F.col("vec_id").alias("key"), F.lit("given").alias("labelling"), "cluster", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    near = rounded(clusters.silhouettes(placed.select("key", "x"), placed.select("key", "labelling", "cluster")), "silhouette")
+    spread = rounded(clusters.davies_bouldins(placed), "davies_bouldin")
+    plain = rounded(validation.silhouette_squared(rows, "cluster", "embedding").withColumnRenamed("silhouette", "silhouette_squared"), "silhouette_squared")
+    return validation.cluster_quality(sizes, near, spread, plain)
 
 
 @query("WITH p AS (SELECT label % 4 AS k, avg(embedding[1]::DOUBLE) AS h, avg(embedding[2]::DOUBLE) AS b, avg(embedding[3]::DOUBLE) AS v FROM embeddings GROUP BY 1), t AS (SELECT (SELECT k FROM p ORDER BY h DESC, k LIMIT 1) AS hottest, (SELECT k FROM p ORDER BY b DESC, k LIMIT 1) AS mb, (SELECT k FROM p ORDER BY v, k LIMIT 1) AS lv) SELECT hottest, hottest = mb AS built_agrees, hottest = lv AS vegetation_agrees FROM t")

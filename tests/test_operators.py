@@ -8,13 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalis.functions import expressions as X
+from zonalis.functions import projections as P
 from zonalis.operators import raster, sampling, scores, zones
 from zonalis.sources import readers
 from zonalis.streaming.readings import hourly_means, stream_zone_readings
 
 
 def test_projection(spark):
-    row = spark.range(1).select(*[v.alias(k) for k, v in X.to_utm(F.lit(103.85), F.lit(1.29)).items()]).head()
+    row = spark.range(1).select(*[v.alias(k) for k, v in P.to_utm(F.lit(103.85), F.lit(1.29)).items()]).head()
     assert row.x == pytest.approx(372039.5, abs=30) and row.y == pytest.approx(142615.0, abs=60)
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from zonalis.plans import model_queries, validation_queries  # noqa: F401  register their queries
+from zonalis.plans import model_queries, report_queries, validation_queries  # noqa: F401  register their queries
 from zonalis.plans import queries as spatial
 
 DATA = "/root/testdata/sf0.001"

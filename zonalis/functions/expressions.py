@@ -99,23 +99,3 @@ def uniform(key: Column, seed: str) -> Column:
 def to_cell(x: Column, y: Column, origin: tuple[float, float], pixel: float) -> dict[str, Column]:
     """Column and row, truncated towards zero; rows go down."""
     return {"gx": ((x - origin[0]) / pixel).cast("long"), "gy": ((origin[1] - y) / pixel).cast("long")}
-
-
-def to_utm(lon: Column, lat: Column, zone: int = 48) -> dict[str, Column]:
-    """WGS84 to transverse Mercator metres, northern half: the usual series to the sixth power, good to centimetres."""
-    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
-    e2 = f * (2 - f)
-    ep2 = e2 / (1 - e2)
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    s, c, t = F.sin(phi), F.cos(phi), F.tan(phi) * F.tan(phi)
-    n = a / F.sqrt(1 - e2 * s * s)
-    cc, aa = ep2 * c * c, c * lam
-    m = a * (
-        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi
-        - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi)
-        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi)
-        - (35 * e2**3 / 3072) * F.sin(6 * phi)
-    )
-    east = k0 * n * (aa + (1 - t + cc) * F.pow(aa, 3) / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * ep2) * F.pow(aa, 5) / 120) + 500000.0
-    north = k0 * (m + n * F.tan(phi) * (aa * aa / 2 + (5 - t + 9 * cc + 4 * cc * cc) * F.pow(aa, 4) / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * ep2) * F.pow(aa, 6) / 720))
-    return {"x": east, "y": north}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 #: Ordered ranges that values are dealt into for ranking.
-RANGES = 4096
+RANGES = 1024
 
 
 def class_histogram(df: DataFrame, col: str) -> DataFrame:
@@ -42,15 +42,24 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("n", "observed", F.try_divide(F.col("observed") - chance, 1 - chance).alias("kappa"))
 
 
+def agreement_report(df: DataFrame, key: str, a: str, b: str, least: float = 0.60) -> tuple[DataFrame, DataFrame]:
+    """One row of agreement() with the number of disagreements and whether kappa reaches least; and the rows (key, a, b) that differ. A row that lacks a label is neither."""
+    differ = df.where(F.col(a) != F.col(b)).select(key, a, b)
+    counted = agreement(df, a, b).crossJoin(differ.agg(F.count(F.lit(1)).alias("disagreements")))  # one row each
+    return counted.withColumn("passed", F.coalesce(F.col("kappa") >= least, F.lit(False))), differ
+
+
 def average_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
     """(col, name): the rank of each value from 1; equal values share the mean of theirs.
 
-    Values are counted, dealt into ordered ranges, and ranked by the ranges' sums and their place in the range.
+    Values are counted, dealt into ordered ranges, and ranked by the ranges' sums and their place in the range. The ranges
+    end at approximate quantiles of the different values, so that they are about equally full however the values lie; only
+    their size depends on the approximation, not the ranks.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    ends = F.broadcast(counts.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")))  # one row
-    place = F.coalesce(F.try_divide(F.col(col) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    dealt = counts.crossJoin(ends).select(col, "n", F.floor(place * (RANGES - 1)).alias("range"))
+    cuts = [k / RANGES for k in range(1, RANGES)]
+    bounds = F.broadcast(counts.agg(F.array_sort(F.array_distinct(F.approx_percentile(col, cuts, 20 * RANGES))).alias("bounds")))  # one row
+    dealt = counts.crossJoin(bounds).select(col, "n", _bounds_below(F.col(col), F.col("bounds")).alias("range"))
     before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
     sums = dealt.groupBy("range").agg(F.sum("n").alias("s")).select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
     within = W.partitionBy("range").orderBy(col).rowsBetween(W.unboundedPreceding, -1)
@@ -58,6 +67,18 @@ def average_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
     return placed.select(col, (F.col("start") + F.col("lower") + (F.col("n") + 1) / 2).alias(name))
 
 
+def _bounds_below(value: Column, bounds: Column) -> Column:
+    """How many of the sorted bounds lie below a value, by halving."""
+    both = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def halve(s: Column, _: Column) -> Column:
+        below = (s["lo"] < s["hi"]) & (F.get(bounds, middle(s)) < value)
+        return F.struct(F.when(below, middle(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(below, s["hi"]).otherwise(middle(s)).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RANGES.bit_length())), both, halve, lambda s: s["lo"])
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
     ranked = pairs.join(average_ranks(pairs, "x", "rx"), "x").join(average_ranks(pairs, "y", "ry"), "y")

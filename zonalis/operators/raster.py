@@ -85,11 +85,35 @@ def zonal_class_fractions(cells: DataFrame, zone_cells: DataFrame, zones: DataFr
     return out.select("zone_id", F.coalesce("n", F.lit(0)).alias("n"), *[F.try_divide(f"n_{name}", "n").alias(f"fraction_{name}") for name in classes.values()])
 
 
-def seasonal_features(obs: DataFrame, bands: list[str]) -> DataFrame:
-    """(zone_id, season, bands) to one row per zone: <band>_dry, <band>_wet and their difference."""
-    wide = obs.groupBy("zone_id").pivot("season", ["dry", "wet"]).agg(*[F.avg(b).alias(b) for b in bands])
-    named = wide.select("zone_id", *[F.col(f"{s}_{b}" if len(bands) > 1 else s).alias(f"{b}_{s}") for b in bands for s in ("dry", "wet")])
-    return named.withColumns({f"{b}_delta": F.col(f"{b}_wet") - F.col(f"{b}_dry") for b in bands})
+def seasonal_composites(obs: DataFrame, season: Column, bands: list[str]) -> DataFrame:
+    """(gx, gy, season, bands): the median of each band over a cell's scenes in each season; scenes without a season are left out."""
+    return obs.withColumn("season", season).where("season IS NOT NULL").groupBy(*CELL, "season").agg(*[F.median(b).alias(b) for b in bands])
+
+
+def seasonal_features(composites: DataFrame, zone_cells: DataFrame, features: list[str], seasons: tuple[str, str] = ("dry", "wet")) -> DataFrame:
+    """One row per zone: <feature>_<season> and <feature>_delta, the second season less the first.
+
+    Features of a zone are means over its cells. A season in which a zone lacks one of them is missing as a whole; zones with
+    either season stay, and those with both are complete.
+    """
+    means = composites.join(zone_cells, CELL).groupBy("zone_id", "season").agg(*[F.avg(f).alias(f) for f in features]).dropna(subset=features)
+    pick = lambda f, s: F.max(F.when(F.col("season") == s, F.col(f))).alias(f"{f}_{s}")  # noqa: E731  one row a season
+    wide = means.where(F.col("season").isin(*seasons)).groupBy("zone_id").agg(*[pick(f, s) for f in features for s in seasons])
+    return wide.withColumns({f"{f}_delta": F.col(f"{f}_{seasons[1]}") - F.col(f"{f}_{seasons[0]}") for f in features})
+
+
+def completeness(features: DataFrame, zones: DataFrame) -> DataFrame:
+    """One row: zones, those with any feature, those with all."""
+    cols = [c for c in features.columns if c != "zone_id"]
+    gaps = sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0))
+    rows = zones.select("zone_id").distinct().join(features.withColumn("__gaps", gaps), "zone_id", "left")
+    return rows.agg(F.count(F.lit(1)).alias("zones"), F.count("__gaps").alias("with_features"), F.count_if(F.col("__gaps") == 0).alias("complete"))
+
+
+def period_report(obs: DataFrame, scene: str, least: int = 20) -> DataFrame:
+    """One row: a period's scenes and whether they are fewer than they should be; a period without scenes is an error."""
+    n = F.count_distinct(scene)
+    return obs.agg(F.when(n == 0, F.raise_error(F.lit("the period has no scenes"))).otherwise(n).alias("scenes"), (n < least).alias("few"))
 
 
 def assign_patch(cells: DataFrame, size: int, per_row: int) -> DataFrame:

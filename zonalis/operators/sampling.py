@@ -48,5 +48,12 @@ def stratified_sample(cells: DataFrame, key: str, stratum: str, sizes: DataFrame
     return ranked.where("__rank <= __take").select(*cells.columns)
 
 
+def shortfall(sample: DataFrame, stratum: str, sizes: DataFrame) -> DataFrame:
+    """(stratum, wanted, taken, short) for each stratum of sizes that has fewer rows in the sample than were asked for."""
+    taken = sample.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
+    rows = sizes.select(stratum, F.col("take").cast("long").alias("wanted")).join(taken, stratum, "left").select(stratum, "wanted", F.coalesce("n", F.lit(0)).alias("taken"))
+    return rows.where("taken < wanted").withColumn("short", F.col("wanted") - F.col("taken"))
+
+
 def hash_split(df: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
     return df.withColumn("is_train", uniform(F.col(key), seed) >= fraction)

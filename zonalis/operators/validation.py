@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions.distributions import student_p
 from zonalis.functions.expressions import rule_landcover, uniform
 from zonalis.operators.metrics import rmse, spearman, top_n_overlap
 from zonalis.operators.raster import coarsen_mean, tile_zonal_stats, zonal_mean
@@ -33,10 +34,16 @@ def pairwise_differences(df: DataFrame, reference: str, others: list[str]) -> Da
 
 
 def linear_gap_fit(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, Pearson's r, slope, intercept, r2 and the t statistic of y over x, on rows with both."""
+    """One row: n, Pearson's r, slope, intercept, r2, t and its two-sided p of y over x, on rows with both, and a warning.
+
+    The warning stands where r is above 0.4 with p below 0.05. A perfect fit has no t and p 0; under three rows there is no p.
+    """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     fit = both.agg(F.count(F.lit(1)).alias("n"), F.corr(y, x).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
-    return fit.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
+    fit = fit.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
+    perfect = (F.col("n") > 2) & (F.abs("r") >= 1)
+    fit = fit.withColumn("p", F.when(perfect, 0.0).otherwise(student_p(F.col("t"), F.col("n") - 2)))
+    return fit.withColumn("warning", F.coalesce((F.col("r") > 0.4) & (F.col("p") < 0.05), F.lit(False)))
 
 
 def rank_impact(pillars: DataFrame, heldout: DataFrame, variants: list[str], reference: str, n: int = 20) -> DataFrame:
@@ -201,6 +208,22 @@ def adaptive_source(ndvi: DataFrame, landcover: DataFrame, prefer: str = "landco
     return both.select("zone_id", chosen.alias("greenery_fraction"), fell.alias("fell_back"))
 
 
+def adaptive_report(ndvi: DataFrame, landcover: DataFrame, prefer: str = "landcover") -> tuple[DataFrame, DataFrame]:
+    """adaptive_source()'s rows, and one row: zones, those that fell back, and Spearman's correlation of the two sources where both have a value (NULL under two such zones)."""
+    rows = adaptive_source(ndvi, landcover, prefer)
+    both = ndvi.select("zone_id", F.col("greenery_fraction").alias("n")).join(landcover.select("zone_id", F.col("greenery_fraction").alias("l")), "zone_id")
+    counted = rows.agg(F.count(F.lit(1)).alias("zones"), F.count_if("fell_back").alias("fell_back"))
+    ranked = spearman(both, "n", "l").select(F.col("n").alias("compared"), F.when(F.col("n") >= 2, F.col("spearman")).alias("spearman"))
+    return rows, counted.crossJoin(ranked)  # one row each
+
+
+def depth_gate(days: DataFrame, window: int = 7, least_days: int = 5) -> DataFrame:
+    """One row from reading_depth()'s days: of the last days of the window, those that are readable, and whether they are enough."""
+    last = days.agg(F.max("day").alias("last"))
+    recent = days.crossJoin(F.broadcast(last)).where(F.date_diff("last", "day") < window)  # one row
+    return recent.agg(F.count(F.lit(1)).alias("days"), F.count_if("readable").alias("readable"), (F.count_if("readable") >= least_days).alias("passed"))
+
+
 def reading_depth(readings: DataFrame, at: str, station: str, least_stations: int = 10) -> DataFrame:
     """A row per day from the first to the last, days without readings too: readings, stations, and whether there are enough."""
     day = F.to_date(at)

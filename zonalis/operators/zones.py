@@ -126,10 +126,36 @@ def exclude_near(cells: DataFrame, points: DataFrame, reach: float) -> DataFrame
     return c.join(p, (F.col("c.bx") == F.col("p.bx")) & (F.col("c.by") == F.col("p.by")) & close, "left_anti").drop("bx", "by")
 
 
-def match_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """One row: keys in both tables, in the first only, in the second only."""
+def exclusion_report(cells: DataFrame, kept: DataFrame, pixel: float = 1.0, least_area: float = 1000.0) -> DataFrame:
+    """One row: cells, those that exclude_near() left out, their area, and whether that is less than it should be."""
+    counted = cells.agg(F.count(F.lit(1)).alias("cells")).crossJoin(kept.agg(F.count(F.lit(1)).alias("__kept")))  # one row each
+    out = F.col("cells") - F.col("__kept")
+    return counted.select("cells", out.alias("excluded"), (out * pixel * pixel).alias("excluded_area"), (out * pixel * pixel < least_area).alias("small"))
+
+
+def join_counted(base: DataFrame, others: dict[str, DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
+    """base's rows with the columns of all others, which have unique keys; and one row: rows, missing_<name> of each, dropped, joined.
+
+    Value and counts come from the same left joins: rows that lack a partner are marked and counted, then left out.
+    """
+    wide = base
+    for name, other in others.items():
+        wide = wide.join(other.withColumn(f"__{name}", F.lit(1)), key, "left")
+    has = [F.col(f"__{n}").isNotNull() for n in others]
+    every = reduce(lambda a, b: a & b, has)
+    report = wide.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(~h).alias(f"missing_{n}") for n, h in zip(others, has, strict=True)], F.count_if(~every).alias("dropped"), F.count_if(every).alias("joined"))
+    return wide.where(every).drop(*[f"__{n}" for n in others]), report
+
+
+def match_report(a: DataFrame, b: DataFrame, key: str, names: int = 0) -> DataFrame:
+    """One row: keys in both tables, in the first only, in the second only; with so many names of each kind of the unmatched, if asked."""
     both = a.select(key).distinct().withColumn("a", F.lit(1)).join(b.select(key).distinct().withColumn("b", F.lit(1)), key, "full")
-    return both.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"))
+    out = both.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"), F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"))
+    if names:
+        for name, lacks in (("left_names", "b"), ("right_names", "a")):
+            first = both.where(F.col(lacks).isNull()).orderBy(key).limit(names)
+            out = out.crossJoin(first.agg(F.array_sort(F.collect_list(key)).alias(name)))  # names rows at most
+    return out
 
 
 def outer_join_all(tables: list[DataFrame], key: str) -> DataFrame:

@@ -126,13 +126,6 @@ def zonal_class_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *[c for c in out.columns if c.startswith("fraction")])
 
 
-@query(f"WITH {CLEAR}, s AS (SELECT {ZONE} AS zone_id, CASE WHEN month(acquired_at) IN (6, 7, 8, 9) THEN 'dry' ELSE 'wet' END AS season, lst_raw * 0.00341802 + 149.0 - 273.15 AS lst, nir FROM clear), m AS (SELECT zone_id, avg(lst) FILTER (season = 'dry') AS ld, avg(lst) FILTER (season = 'wet') AS lw, avg(nir) FILTER (season = 'dry') AS nd, avg(nir) FILTER (season = 'wet') AS nw FROM s GROUP BY 1) SELECT zone_id, round(ld, 6) AS lst_dry, round(lw, 6) AS lst_wet, round(lw - ld, 6) AS lst_delta, round(nd, 4) AS nir_dry, round(nw, 4) AS nir_wet, round(nw - nd, 4) AS nir_delta FROM m")
-def seasonal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    season = F.when(F.month("acquired_at").isin(6, 7, 8, 9), "dry").otherwise("wet")
-    rows = _clear(spark, sf_dir).withColumns({"lst": X.thermal_celsius(F.col("lst_raw")), "season": season}).join(V.zone_cells(spark, sf_dir), ["gx", "gy"])
-    return rounded(rounded(raster.seasonal_features(rows, ["lst", "nir"]), "lst_dry", "lst_wet", "lst_delta"), "nir_dry", "nir_wet", "nir_delta", digits=4)
-
-
 @query(f"WITH {COMPOSITE} SELECT (gy // 8) * 6 + gx // 8 AS patch_idx, count(*) AS n, max(gy % 8) AS last_row, max(gx % 8) AS last_col FROM comp GROUP BY 1")
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = raster.assign_patch(_composite(spark, sf_dir), 8, 6)

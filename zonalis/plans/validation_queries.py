@@ -21,11 +21,18 @@ def describe_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, *out.columns[2:])
 
 
-@query(f"WITH {HEAT}, g AS (SELECT lst_native30 AS x, lst_native30 - lst_bicubic10 AS y FROM heat), f AS (SELECT count(*) AS n, corr(y, x) AS r, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM g) SELECT n, round(r, 6) AS r, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM f")
+def student_sql(t: str, df: str) -> str:
+    """The two-sided tail by Simpson's rule over the middle of the density, with t as a tangent: smooth, and bounded at both ends."""
+    step = f"(atan(abs({t}) / sqrt({df})) / 2000)"
+    scale = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi())"
+    return f"1 - 2 * {scale} * {step} / 3 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(i * {step}), {df} - 1)))"
+
+
+@query(f"WITH {HEAT}, g AS (SELECT lst_native30 AS x, lst_native30 - lst_bicubic10 AS y FROM heat), f AS (SELECT count(*) AS n, corr(y, x) AS r, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM g), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM f), p AS (SELECT *, {student_sql('t', '(n - 2)')} AS p FROM t) SELECT n, round(r, 6) AS r, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(t, 4) AS t, round(p, 8) + 0.0 AS p, r > 0.4 AND p < 0.05 AS warning FROM p")
 def linear_gap_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = validation.pairwise_differences(V.heat(spark, sf_dir), "lst_native30", VARIANTS[1:])
     fit = validation.linear_gap_fit(gaps, "lst_native30", "lst_native30_minus_lst_bicubic10")
-    return rounded(rounded(fit, "r", "slope", "intercept", "r2"), "t", digits=4)
+    return rounded(rounded(rounded(fit, "r", "slope", "intercept", "r2"), "t", digits=4), "p", digits=8)
 
 
 def _rank_sql() -> str:

@@ -15,9 +15,11 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    """data.stations[] to station_id, name, lat, lon."""
+    """data.stations[] to station_id, name, lat, lon; fails without any."""
     schema = "data struct<stations: array<struct<id: string, name: string, location: struct<latitude: double, longitude: double>>>>"
     rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("data.stations").alias("s"))
+    if rows.isEmpty():
+        raise ValueError(f"no stations in {path}")
     return rows.select(F.col("s.id").alias("station_id"), "s.name", F.col("s.location.latitude").alias("lat"), F.col("s.location.longitude").alias("lon"))
 
 
@@ -34,6 +36,22 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return flatten_readings(spark.read.schema(READINGS).json(path, multiLine=True))
 
 
+def read_reading_days(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_readings()'s rows with the file they are from, and one row: days (files) that could be read, and days skipped.
+
+    A file that is no JSON, or has no data, is skipped; without any file that has readings this fails.
+    """
+    raw = spark.read.schema(f"{READINGS}, __corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").json(path, multiLine=True)
+    files = raw.select("*", F.col("_metadata.file_path").alias("file"))
+    ok = F.col("__corrupt").isNull() & F.col("data.readings").isNotNull()
+    days = files.groupBy("file").agg(F.bool_and(ok).alias("ok")).agg(F.count_if("ok").alias("days_ok"), F.count_if(~F.col("ok")).alias("days_skipped"))
+    good = files.where(ok).select("file", F.explode("data.readings").alias("r")).select("file", F.col("r.timestamp").alias("ts"), F.explode("r.data").alias("d"))
+    rows = good.select(F.col("d.stationId").alias("station_id"), "ts", F.col("d.value").alias("value"), "file")
+    if rows.isEmpty():
+        raise ValueError(f"no readable readings in {path}")
+    return rows, days
+
+
 def read_population(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """Pages of result.records, all strings; a page with success false fails."""
     schema = f"success boolean, result struct<records: array<struct<{', '.join(f'{f}: string' for f in fields)}>>>"
@@ -42,6 +60,15 @@ def read_population(spark: SparkSession, path: str, fields: list[str]) -> DataFr
     return checked.where("ok").select(F.explode("result.records").alias("r")).select("r.*")
 
 
+def suppression_report(raw: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, suppressed, not_numeric) of text columns: how many values are the mark "-", and how many others are no number; NULL is neither."""
+    parts = ", ".join(f"'{f}', CAST(`{f}` AS STRING)" for f in fields)
+    long = raw.select(F.expr(f"stack({len(fields)}, {parts}) AS (field, value)"))
+    value = F.col("value")
+    other = value.isNotNull() & (value != "-") & value.try_cast("double").isNull()
+    return long.groupBy("field").agg(F.count_if(value == "-").alias("suppressed"), F.count_if(other).alias("not_numeric"))
+
+
 def read_zones(spark: SparkSession, path: str, id_property: str) -> tuple[DataFrame, DataFrame]:
     """A GeoJSON collection to zones (zone_id, props) and edges (zone_id, part, ring, x1, y1, x2, y2)."""
     schema = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
@@ -110,11 +137,26 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by: list[str] =
     writer.parquet(path) if kind == "parquet" else writer.csv(path, header=True)
 
 
-def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, force: bool = False) -> DataFrame:
-    """What is written at path; built and written first if it isn't there, or by force."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if force or not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        build().write.mode("overwrite").parquet(path)
+def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str, force: bool = False, inputs: list[DataFrame] | None = None) -> DataFrame:
+    """What is written at path; built and written first if it isn't there, if the inputs' fingerprint isn't the one stored beside it, or by force.
+
+    A new table is written to a folder beside path first and takes its place once it is whole, with its fingerprint last: after
+    an interrupted write the old table stays, or the next call builds again. Without inputs only the path is looked at.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, fresh, mark = (hadoop.Path(p) for p in (path, f"{path}.new", f"{path}.fingerprint"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    now = None if inputs is None else ";".join(",".join(map(str, table_fingerprint(t).first())) for t in inputs)
+    known = spark.read.text(mark.toString()).first() if fs.exists(mark) else None
+    stale = now is not None and (known is None or known[0] != now)
+    if force or stale or not fs.exists(hadoop.Path(target, "_SUCCESS")):
+        build().write.mode("overwrite").parquet(fresh.toString())
+        fs.delete(mark, True)
+        fs.delete(target, True)
+        if not fs.rename(fresh, target):
+            raise OSError(f"{fresh} can't be moved to {path}")
+        if now is not None:
+            spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(mark.toString())
     return spark.read.parquet(path)
 
 

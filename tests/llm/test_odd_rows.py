@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from zonalis.llm import exact_dedup, mixing, ngram_join, toxicity
+from zonalis.llm import exact_dedup, mixing, ngram_join, shared, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -83,3 +84,80 @@ def test_toxic_rows_without_doc_id(spark):
     both = documents.unionByName(documents.withColumn("doc_id", F.lit(None).cast("long")))
     want = Counter(t for r in documents.collect() if r.doc_id not in toxic for t in [r.text, r.text])
     assert toxic and Counter(r.text for r in toxicity.without_toxic(both, labels).collect()) == want
+
+
+CLASHING = "doc_id long, text string, source string, rep long, number long, digest string, root long, rows long, __digest string"
+
+
+def clash(spark, found):
+    return spark.createDataFrame([(d, t, "s", 7, 7, "x", 7, 7, "y") for d, t in found], CLASHING).repartition(3)
+
+
+def grouped(found):
+    """doc_id, shingles and least doc_id of the component of each row."""
+    sets = [shingles(t) for _, t in found]
+    group = list(range(len(found)))
+    for i, (a, _) in enumerate(found):
+        for j in range(i):
+            if a is not None and found[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    least = {g: min(found[k][0] for k in range(len(found)) if group[k] == g and found[k][0] is not None) for k0, g in enumerate(group) if found[k0][0] is not None}
+    return Counter((None, None, None) if d is None else (d, len(s), least[g] if s else d) for (d, _), s, g in zip(found, sets, group, strict=True))
+
+
+def cut_down(found):
+    """doc_id, bytes, bytes removed, runs and what is left of each row."""
+    first = {}
+    for d, t in found:
+        b = (t or "").encode()
+        for p in range(len(b) - 49) if d is not None else ():
+            first[b[p : p + 50]] = min(first.get(b[p : p + 50], d), d)
+    want = Counter()
+    for d, t in found:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49) if d is not None else ():
+            if first[b[p : p + 50]] < d:
+                gone[p : p + 50] = b"\1" * 50
+        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        want[d, len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(left).hexdigest()] += 1
+    return want
+
+
+def several_texts():
+    rnd = random.Random(6)
+    line = lambda n: " ".join(f"w{rnd.randrange(900)}" for _ in range(n))
+    a, b, c = line(20), line(60), line(80)
+    small = [(5, a), (5, b), (7, b), (9, a)]
+    near = [(5, a), (5, b), (7, b + " end"), (9, a + " end")]
+    passage = line(15)
+    many = [*near, (None, c), (None, c), (None, None), (3, c), (3, c + " more"), (3, passage), (3, f"{passage} {line(9)}"), (4, f"{line(5)} {passage}"), (4, passage), (4, passage), (8, ""), (8, None), (8, "one two"), (2, c.upper()), (11, a), (11, b), (11, a), (6, "é" * 60), (6, "é" * 61), (6, "x"), (12, b + " " + a)]
+    return [small, near, many, [(k % 3, f"{line(4)} {passage} {line(rnd.randint(1, 6))}") for k in range(20)]]
+
+
+@pytest.mark.parametrize("which", range(4))
+def test_several_texts_of_one_id(spark, which):
+    found = several_texts()[which]
+    docs = clash(spark, found)
+    assert Counter(map(tuple, ngram_join.near_groups(docs).collect())) == grouped(found)
+    for hot in (4096, 1) if which > 1 else (4096,):
+        assert Counter(map(tuple, suffix_dedup.remove_repeats(docs, hot).collect())) == cut_down(found)
+    if which == 0:
+        assert sorted(r.n_shingles for r in ngram_join.near_groups(docs).collect()) == [16, 16, 56, 56]
+
+
+def test_hot_groups_are_joined_apart(spark, monkeypatch):
+    """Large groups of copies go by a broadcast of their few keys: the same rows."""
+    rnd = random.Random(2)
+    line = " ".join(f"w{rnd.randrange(90)}" for _ in range(30))
+    found = [(k, line) for k in range(300)] + [(1000 + k, f"{line} {k % 7}") for k in range(50)] + [(None, line)] * 40
+    docs = clash(spark, found)
+    first = Counter(map(tuple, ngram_join.near_groups(docs).collect())), Counter(map(tuple, suffix_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(shared, "COOL_ROWS", 20)
+    assert (Counter(map(tuple, ngram_join.near_groups(docs).collect())), Counter(map(tuple, suffix_dedup.remove_repeats(docs).collect()))) == first
+    assert first[1] == cut_down(found)
+    groups = spark.createDataFrame([("a", 300, 1), ("b", 5, 2)], "k string, size long, v int")
+    rows = spark.createDataFrame([("a", k) for k in range(300)] + [("b", k) for k in range(5)] + [("c", 1)], "k string, x int")
+    joined = shared.join_groups(rows, groups, "k", "size")
+    assert Counter((r.k, r.v) for r in joined.collect()) == {("a", 1): 300, ("b", 2): 5}

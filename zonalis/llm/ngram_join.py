@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
 from zonalis.llm.grams import gram_sets, packed, unpacked
-from zonalis.llm.shared import bucketed_copy, keyed, narrow, partitions, small_batches, written
+from zonalis.llm.shared import bucketed_copy, join_groups, keyed, narrow, partitions, small_batches, written
 
 #: Words of an n-gram, and the similarity in hundredths.
 SPAN, LEAST = 5, 75
@@ -73,21 +73,33 @@ class Order:
         return np.maximum(1, self.most[(tokens >> np.uint64(58)).astype(np.int64)] // POSTING)
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(doc_id, digest), (digest, rep, bytes) and the bytes of all different texts. Rows without doc_id have no class."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, bool]:
+    """(doc_id, digest), (digest, rep, number, bytes, rows), the bytes of all different texts, and whether a doc_id has several texts.
+
+    A class of equal texts stands under a number, which is rep, its smallest doc_id, unless some doc_id has several texts: then
+    rep tells neither texts nor classes apart, and classes are numbered. Rows without doc_id have no class.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = written(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("bytes")), "digests")
-    reps = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes")), "classes")
-    return rows, reps, reps.agg(F.sum("bytes")).head()[0] or 0
+    twins = not rows.groupBy("doc_id").agg((F.min("digest") < F.max("digest")).alias("several")).where("several").isEmpty()
+    reps = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    reps = written(reps.withColumn("number", F.monotonically_increasing_id() if twins else F.col("rep")), "classes")
+    return rows, reps, reps.agg(F.sum("bytes")).head()[0] or 0, twins
 
 
-def rep_texts(docs: DataFrame, reps: DataFrame, size: int) -> tuple[DataFrame, Callable[[], None]]:
-    """doc_id and text of the rows that stand for a class, bucketed by doc_id: the later joins leave the texts in place. And what removes them."""
+def rep_texts(docs: DataFrame, reps: DataFrame, size: int, twins: bool) -> tuple[DataFrame, Callable[[], None]]:
+    """doc_id (the class's number), rep and text of a row for each class, bucketed by doc_id: the later joins leave the texts in place. And what removes them."""
     spark = docs.sparkSession
     # At least as many as a shuffle has, or the join would deal the texts out a second time.
     buckets = max(partitions(spark), -(-size // (64 << 20)))
-    ids = reps.select(F.col("rep").alias("doc_id"))
-    return bucketed_copy(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "texts", "doc_id", buckets)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if twins:
+        named = rows.where("doc_id IS NOT NULL").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+        first = named.join(reps.select("digest", F.col("rep").alias("doc_id"), "number"), ["digest", "doc_id"])
+        rows = first.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("rep"), "text")
+    else:
+        rows = rows.select("doc_id", F.col("doc_id").alias("rep"), "text")
+    return bucketed_copy(rows, reps.select(F.col("number").alias("doc_id")), "texts", "doc_id", buckets)
 
 
 def count_buckets(texts: DataFrame, span: int, bits: int) -> DataFrame:
@@ -418,13 +430,15 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     A document's set: distinct n-grams of span words (lower-cased A-Z); with fewer words, the whole sequence. Two documents
     are linked when 100 * intersection >= least * union. component_id is the smallest doc_id reached by links. Documents
     without words, null text included, have an empty set and are linked with nothing. Rows without doc_id are in no group and
-    have component_id null; repeated rows get the same answer. Columns other than doc_id and text are ignored. An empty
+    have component_id null; repeated rows get the same answer, and different texts of one doc_id are different documents,
+    each with its own set and links. Columns other than doc_id and text are ignored. An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows, reps, size = classes(docs)
-    texts, remove_texts = rep_texts(docs, reps, size)
+    rows, reps, size, twins = classes(docs)
+    texts, remove_texts = rep_texts(docs, reps, size, twins)
+    texts = texts.drop("rep")
     grams = max(1, size // 6)
     bits = int(np.clip(np.ceil(np.log2(grams / 4 + 1)), 10, MAX_BITS))
     counted = written(count_buckets(texts, span, bits), "counts")
@@ -444,9 +458,12 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     shared.destroy()
     remove_texts()
 
-    sizes = sketches.select(F.col("doc_id").alias("rep"), "n")
-    known = reps.select("digest", "rep").join(sizes, "rep").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", "n", F.coalesce("root", "rep").alias("root"))
-    out = rows.join(known, "digest").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+    sizes = sketches.select(F.col("doc_id").alias("number"), "n")
+    known = reps.select("digest", "rep", "number", "rows").join(sizes, "number").join(groups.select(F.col("node").alias("number"), "root"), "number", "left").select("digest", "rep", "rows", "n", F.coalesce("root", "number").alias("root"))
+    if twins:  # numbers aren't in the order of doc_ids
+        least = known.groupBy("root").agg(F.min("rep").alias("least"))
+        known = known.join(least, "root").withColumn("root", F.col("least"))
+    out = join_groups(rows, known.select("digest", "n", "root", "rows"), "digest", "rows").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
     nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless)
 

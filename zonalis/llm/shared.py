@@ -62,6 +62,27 @@ def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: i
     return spark.table(table), remove
 
 
+#: A key of more than one in so many rows is a hot one. So there are at most so many, and they can be broadcast.
+HOT_KEYS = 10_000
+#: Keys of no more rows than this aren't hot.
+COOL_ROWS = 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of groups, which has a row for each key and how many rows have it in size.
+
+    The groups of hot keys, at most HOT_KEYS of them, are broadcast, so that no task gets all rows of such a key; the other keys
+    are joined by a shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(COOL_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(groups.where(F.col(size) > limit))
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    cool = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) <= limit), key)
+    return rows.join(hot, key).unionByName(cool)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

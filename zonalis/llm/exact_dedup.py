@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import ascii_lower, keyed, scratch, written
+from zonalis.llm.shared import ascii_lower, join_groups, keyed, scratch, written
 
 #: So many rows of one group are compared with one copy of the kept text by one task.
 ROWS_A_SALT = 512
@@ -74,10 +74,10 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     index = DigestIndex(spark, scratch(spark, "digests"), keep)
     index.flush(docs)
     merged = index.compact()
-    hits = index.entries().join(merged.where("group_size > 1"), "digest")
+    hits = join_groups(index.entries(), merged.where("group_size > 1"), "digest", "group_size")
     if bad := verified(docs, hits):
         raise RuntimeError(f"{bad} texts have the digest of another text")
-    rows = index.entries().join(merged, "digest")
+    rows = join_groups(index.entries(), merged, "digest", "group_size")
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 

@@ -176,3 +176,38 @@ def test_counts_beside_results(spark):
     ndvi = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3)], "zone_id int, greenery_fraction double")
     fallen = validation.adaptive_report(ndvi, ndvi.where("zone_id > 1"))[1].head()
     assert (fallen.zones, fallen.fell_back, fallen.compared, fallen.spearman) == (3, 1, 2, 1.0)
+
+
+def test_rank_impact_of_both_weightings(spark):
+    zones_ = [(k, float(k), float(-k), (k * 37 % 100) / 10.0, (k * 53 % 90) / 100.0) for k in range(60)]
+    pillars = spark.createDataFrame(zones_, "zone_id int, same double, turned double, sensitivity_raw double, greenery_fraction double")
+    pillars = pillars.withColumn("scaled", 3 * F.col("same") + 1)
+    held = pillars.select("zone_id", (F.col("same") + 2).alias("lst_heldout_c"))
+    got = {(r.variant, r.weighting): r for r in validation.rank_impact(pillars, held, ["same", "scaled", "turned"], "same").collect()}
+    assert len(got) == 6
+    for weighting in ("equal", "pca"):
+        assert got["same", weighting].spearman == pytest.approx(1) and got["same", weighting].overlap == 1.0 and got["same", weighting].rmse == pytest.approx(2)
+        assert got["scaled", weighting].spearman == pytest.approx(1)  # normalised alike
+        assert got["turned", weighting].spearman < 0.9
+    with pytest.raises(Exception, match="lack a pillar"):
+        validation.rank_impact(pillars.withColumn("greenery_fraction", F.when(F.col("zone_id") > 3, F.col("greenery_fraction"))), held, ["same"], "same").collect()
+
+
+def test_patches_and_features(spark):
+    cells = spark.createDataFrame([(x, y, 1 if (x, y) == (3, 2) else None, None if x == 5 else 1.0) for x in range(8) for y in range(4)], "gx int, gy int, label int, red double")
+    patches = raster.assign_patch(cells, 4, 2)
+    back = raster.from_patch(patches.drop("gx", "gy"), 4, 2)
+    assert {(r.gx, r.gy, r.label) for r in back.collect()} == {(r.gx, r.gy, r.label) for r in cells.collect()}
+    assert {r.patch_idx for r in raster.labelled_patches(patches, "label").collect()} == {0}
+    table = raster.feature_table(cells.drop("label"), cells.where("label IS NOT NULL").select("gx", "gy", "label"))
+    assert sorted((r.gx, r.label, r.valid) for r in table.where("gy = 2 AND gx IN (3, 5)").collect()) == [(3, 1, True), (5, 0, False)]
+    assert raster.feature_table(cells.drop("label")).where("label <> 0").count() == 0
+    fractions = raster.coverage_fraction(cells, cells.select("gx", "gy"), ["red"])
+    assert not raster.coverage_gate(fractions).head().passed and raster.coverage_gate(fractions, 0.8).head().passed
+
+
+def test_depth_gate(spark):
+    days = [(d, s) for d in range(1, 11) if d != 9 for s in range(12 if d > 4 else 3)]
+    readings = spark.createDataFrame([(f"2026-03-{d:02d} 10:00:00", f"s{s}") for d, s in days], "ts string, station string").withColumn("ts", F.to_timestamp("ts"))
+    report = validation.depth_gate(validation.reading_depth(readings, "ts", "station")).head()
+    assert tuple(report) == (7, 5, True)  # of days 4 to 10, day 4 has too few stations and day 9 has none

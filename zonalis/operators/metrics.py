@@ -49,22 +49,23 @@ def agreement_report(df: DataFrame, key: str, a: str, b: str, least: float = 0.6
     return counted.withColumn("passed", F.coalesce(F.col("kappa") >= least, F.lit(False))), differ
 
 
-def average_ranks(df: DataFrame, col: str, name: str) -> DataFrame:
-    """(col, name): the rank of each value from 1; equal values share the mean of theirs.
+def average_ranks(df: DataFrame, col: str, name: str, by: list[str] = ()) -> DataFrame:
+    """(by, col, name): the rank of each value from 1, within each group of by; equal values share the mean of theirs.
 
     Values are counted, dealt into ordered ranges, and ranked by the ranges' sums and their place in the range. The ranges
     end at approximate quantiles of the different values, so that they are about equally full however the values lie; only
-    their size depends on the approximation, not the ranks.
+    their size depends on the approximation, not the ranks. Groups of by are few; RANGES rows of each are broadcast.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    by = list(by)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"))
     cuts = [k / RANGES for k in range(1, RANGES)]
-    bounds = F.broadcast(counts.agg(F.array_sort(F.array_distinct(F.approx_percentile(col, cuts, 20 * RANGES))).alias("bounds")))  # one row
-    dealt = counts.crossJoin(bounds).select(col, "n", _bounds_below(F.col(col), F.col("bounds")).alias("range"))
-    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
-    sums = dealt.groupBy("range").agg(F.sum("n").alias("s")).select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
-    within = W.partitionBy("range").orderBy(col).rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.withColumn("lower", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(sums), "range")
-    return placed.select(col, (F.col("start") + F.col("lower") + (F.col("n") + 1) / 2).alias(name))
+    bounds = F.broadcast(counts.groupBy(*by).agg(F.array_sort(F.array_distinct(F.approx_percentile(col, cuts, 20 * RANGES))).alias("bounds")))  # a row for each group
+    dealt = (counts.join(bounds, by) if by else counts.crossJoin(bounds)).select(*by, col, "n", _bounds_below(F.col(col), F.col("bounds")).alias("range"))
+    before = W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
+    sums = dealt.groupBy(*by, "range").agg(F.sum("n").alias("s")).select(*by, "range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    within = W.partitionBy(*by, "range").orderBy(col).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("lower", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(sums), [*by, "range"])
+    return placed.select(*by, col, (F.col("start") + F.col("lower") + (F.col("n") + 1) / 2).alias(name))
 
 
 def _bounds_below(value: Column, bounds: Column) -> Column:

@@ -138,11 +138,20 @@ def vegetation_edits(zones: DataFrame, deltas: list[float], ndvi: list[str] = ("
     return edited.withColumns({c: F.col(c) + F.col("actual_delta") * F.col("__slope") for c in ndvi if c in zones.columns}).drop("__slope")
 
 
+def _scored_twice(model: PipelineModel, edited: DataFrame, before: str) -> DataFrame:
+    """edited, whose column before holds the features as they were, with original and changed: both predictions, in one pass and without a join."""
+    names = [f for f in edited.schema[before].dataType.names if f in edited.columns]
+    changed = model.transform(edited).select(*edited.columns, F.col("predicted").alias("changed"))
+    plain = changed.withColumns({f: F.col(f"{before}.{f}") for f in names})
+    out = model.transform(plain).select("changed", F.col("predicted").alias("original"), *[c for c in edited.columns if c not in (*names, before)], before)
+    return out
+
+
 def counterfactual_zones(model: PipelineModel, zones: DataFrame, deltas: list[float]) -> DataFrame:
     """zone_id, requested_delta, actual_delta, original_lst, counterfactual_lst, delta_lst: all zones and changes in one job."""
-    before = model.transform(zones).select("zone_id", F.col("predicted").alias("original_lst"))
-    after = model.transform(vegetation_edits(zones, deltas)).select("zone_id", "requested_delta", "actual_delta", F.col("predicted").alias("counterfactual_lst"))
-    return after.join(before, "zone_id").select("zone_id", "requested_delta", "actual_delta", "original_lst", "counterfactual_lst", (F.col("counterfactual_lst") - F.col("original_lst")).alias("delta_lst"))
+    rows = zones.withColumn("__before", F.struct(*[c for c in zones.columns if c != "zone_id"]))
+    both = _scored_twice(model, vegetation_edits(rows, deltas), "__before")
+    return both.select("zone_id", "requested_delta", "actual_delta", F.col("original").alias("original_lst"), F.col("changed").alias("counterfactual_lst"), (F.col("changed") - F.col("original")).alias("delta_lst"))
 
 
 def edit_cells(cells: DataFrame, mask: Column, to: int, means: DataFrame, features: list[str], classes: list[int], prefix: str = "class") -> DataFrame:

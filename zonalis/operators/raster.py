@@ -85,6 +85,12 @@ def zonal_class_fractions(cells: DataFrame, zone_cells: DataFrame, zones: DataFr
     return out.select("zone_id", F.coalesce("n", F.lit(0)).alias("n"), *[F.try_divide(f"n_{name}", "n").alias(f"fraction_{name}") for name in classes.values()])
 
 
+def adaptive_pillar_landcover(cells: DataFrame, zone_cells: DataFrame, zones: DataFrame) -> DataFrame:
+    """(zone_id, greenery_fraction) of the known zones: vegetation's share of their classified cells, NULL without any."""
+    shares = zonal_class_fractions(cells, zone_cells, zones.select("zone_id").distinct(), {1: "vegetation"})
+    return shares.select("zone_id", F.col("fraction_vegetation").alias("greenery_fraction"))
+
+
 def seasonal_composites(obs: DataFrame, season: Column, bands: list[str]) -> DataFrame:
     """(gx, gy, season, bands): the median of each band over a cell's scenes in each season; scenes without a season are left out."""
     return obs.withColumn("season", season).where("season IS NOT NULL").groupBy(*CELL, "season").agg(*[F.median(b).alias(b) for b in bands])
@@ -122,6 +128,30 @@ def assign_patch(cells: DataFrame, size: int, per_row: int) -> DataFrame:
     return cells.withColumns({"patch_idx": patch, "row": F.pmod("gy", F.lit(size)), "col": F.pmod("gx", F.lit(size))})
 
 
+def from_patch(patches: DataFrame, size: int, per_row: int) -> DataFrame:
+    """assign_patch()'s rows with gx and gy rebuilt from patch_idx, row and col."""
+    gx, gy = F.pmod("patch_idx", F.lit(per_row)) * size + F.col("col"), F.floor(F.col("patch_idx") / per_row) * size + F.col("row")
+    return patches.withColumns({"gx": gx, "gy": gy})
+
+
+def labelled_patches(patches: DataFrame, label: str) -> DataFrame:
+    """Cells of the patches that have a labelled cell: 0 and NULL are no labels."""
+    some = patches.groupBy("patch_idx").agg(F.max(F.coalesce(label, F.lit(0))).alias("most")).where("most > 0")
+    return patches.join(some.select("patch_idx"), "patch_idx", "left_semi")
+
+
+def feature_table(composite: DataFrame, labels: DataFrame | None = None, valid: str = "red") -> DataFrame:
+    """A composite's cells with label (0 without one) and valid: whether the band named valid has a value. Labels (gx, gy, label) of no cell are left out."""
+    rows = composite.withColumn("label", F.lit(0)) if labels is None else composite.join(labels.select(*CELL, "label"), CELL, "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    return rows.withColumn("valid", F.col(valid).isNotNull())
+
+
+def coverage_gate(fractions: DataFrame, least: float = 0.90) -> DataFrame:
+    """coverage_fraction()'s row with passed: every column covers at least so much of the region."""
+    ok = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) >= least, F.lit(False)) for c in fractions.columns])
+    return fractions.withColumn("passed", ok)
+
+
 def neighbourhood_features(cells: DataFrame, col: str, radius: int = 1) -> DataFrame:
     """Mean and deviation over the square around each cell, from sums along rows and then along columns."""
     steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))

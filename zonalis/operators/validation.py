@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.functions.distributions import student_p
 from zonalis.functions.expressions import rule_landcover, uniform
-from zonalis.operators.metrics import rmse, spearman, top_n_overlap
+from zonalis.operators.metrics import average_ranks, spearman
 from zonalis.operators.raster import coarsen_mean, tile_zonal_stats, zonal_mean
-from zonalis.operators.scores import build_score
+from zonalis.operators.scores import build_score, equal_score, first_component
 from zonalis.operators.zones import point_in_zone
 
 
@@ -47,26 +48,36 @@ def linear_gap_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def rank_impact(pillars: DataFrame, heldout: DataFrame, variants: list[str], reference: str, n: int = 20) -> DataFrame:
-    """A row per variant: RMSE against held-out heat, and Spearman and top-n overlap of its score with the reference's."""
-    def scored(v: str) -> DataFrame:
-        return build_score(pillars.select("zone_id", F.col(v).alias("exposure"), "sensitivity_raw", "greenery_fraction")).select("zone_id", "score")
+    """A row per variant and weighting (equal, pca): RMSE against held-out heat, and Spearman and top-n overlap of its score with the reference's.
 
-    first = scored(reference)
-
-    def row(v: str) -> DataFrame:
-        own = scored(v)
-        both = own.join(first.withColumnRenamed("score", "reference"), "zone_id")
-        error = rmse(pillars.select("zone_id", v), heldout, "zone_id", v, "lst_heldout_c").select("rmse")
-        rank = spearman(both, "score", "reference").select("spearman")
-        return error.crossJoin(rank).crossJoin(top_n_overlap(own, first, "score", n)).withColumn("variant", F.lit(v))  # one row each
-
-    return reduce(DataFrame.unionByName, map(row, variants))
+    All variants stand in one table, one below another: each step, from normalising to ranking, goes over all of them at
+    once. A zone that lacks a pillar is an error with pca weights.
+    """
+    long = pillars.select("zone_id", "sensitivity_raw", (1 - F.col("greenery_fraction")).alias("deficit"), F.expr(f"stack({len(variants)}, {', '.join(f"'{v}', CAST({v} AS DOUBLE)" for v in variants)}) AS (variant, exposure)"))
+    parts = ["exposure", "sensitivity_raw", "deficit"]
+    bounds = F.broadcast(long.groupBy("variant").agg(*[f(c).alias(f"{k}_{c}") for c in parts for k, f in (("lo", F.min), ("hi", F.max))]))  # a row for each variant
+    norm = [F.when(F.col(c).isNotNull(), F.when(F.col(f"hi_{c}") == F.col(f"lo_{c}"), 0.0).otherwise((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")))) for c in parts]
+    named = long.join(bounds, "variant").select("variant", "zone_id", *[c.alias(x) for c, x in zip(norm, "abc", strict=True)])
+    fitted = first_component(named, ["variant"])
+    whole = F.when(F.col("missing") > 0, F.raise_error(F.concat(F.col("missing").cast("string"), F.lit(" rows lack a pillar")))).otherwise(F.col("w1"))
+    fitted = F.broadcast(fitted.withColumn("w1", whole))  # a row for each variant
+    weighed = F.col("w1") * F.col("a") + F.col("w2") * F.col("b") + F.col("w3") * F.col("c")
+    both = F.explode(F.array(F.struct(F.lit("equal").alias("weighting"), equal_score(*map(F.col, "abc")).alias("score")), F.struct(F.lit("pca").alias("weighting"), weighed.alias("score"))))
+    # Scores are rounded before they are ranked: sums in another order must not part equal ones.
+    scored = named.join(fitted, "variant").select("variant", "zone_id", both.alias("s")).select("variant", "s.weighting", "zone_id", F.round("s.score", 12).alias("score"))
+    key = ["variant", "weighting"]
+    ranked = scored.join(average_ranks(scored, "score", "rank", key), [*key, "score"])
+    first = ranked.where(F.col("variant") == reference).select("weighting", "zone_id", F.col("rank").alias("reference"))
+    rank = ranked.join(first, ["weighting", "zone_id"]).groupBy(*key).agg(F.corr("rank", "reference").alias("spearman"))
+    top = scored.withColumn("at", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "zone_id"))).where(F.col("at") <= n)
+    leading = F.broadcast(top.where(F.col("variant") == reference).select("weighting", "zone_id", F.lit(1).alias("leads")))  # n rows a weighting
+    overlap = top.join(leading, ["weighting", "zone_id"], "left").groupBy(*key).agg((F.count("leads") / n).alias("overlap"))
+    error = long.join(heldout, "zone_id").groupBy("variant").agg(F.sqrt(F.avg(F.pow(F.col("exposure") - F.col("lst_heldout_c"), 2))).alias("rmse"))
+    return rank.join(overlap, key).join(error, "variant", "left").select(*key, "rmse", "spearman", "overlap")
 
 
 def adjacent_band_overlap(bands: DataFrame, n: int = 20) -> DataFrame:
     """Of the n zones with the highest point score: how many neighbours in rank have bands that overlap."""
-    from pyspark.sql import Window as W
-
     top = bands.orderBy(F.desc("point"), "zone_id").limit(n)
     following = F.lead("p95").over(W.orderBy(F.desc("point"), "zone_id"))  # n rows
     return top.select((F.col("p05") <= following).alias("overlap")).agg(F.count_if("overlap").alias("overlaps"), F.count("overlap").alias("pairs"))
@@ -253,13 +264,12 @@ def coarse_heldout(cells: DataFrame, zone_cells: DataFrame, zones: DataFrame, co
 
 
 def crosscheck(heat: DataFrame, sources: dict[str, DataFrame], variants: list[str]) -> DataFrame:
-    """A row per variant and held-out source (zone_id, lst_heldout_c): n, RMSE and Spearman over zones in both."""
-    def row(v: str, name: str) -> DataFrame:
-        both = heat.select("zone_id", v).join(sources[name], "zone_id")
-        error = both.agg(F.sqrt(F.avg(F.pow(F.col(v) - F.col("lst_heldout_c"), 2))).alias("rmse"))
-        return spearman(both, v, "lst_heldout_c").crossJoin(error).select(F.lit(v).alias("variant"), F.lit(name).alias("source"), "n", "rmse", "spearman")  # one row each
-
-    return reduce(DataFrame.unionByName, [row(v, s) for v in variants for s in sources])
+    """A row per variant and held-out source (zone_id, lst_heldout_c): n, RMSE and Spearman over zones with both; all pairs in one table."""
+    named = reduce(DataFrame.unionByName, [t.select("zone_id", F.lit(name).alias("source"), F.col("lst_heldout_c").cast("double").alias("b")) for name, t in sources.items()])
+    both = stacked(heat, "zone_id", variants).withColumnRenamed("value", "a").join(named, "zone_id").where("a IS NOT NULL AND b IS NOT NULL")
+    key = ["variant", "source"]
+    ranked = both.join(average_ranks(both, "a", "ra", key), [*key, "a"]).join(average_ranks(both, "b", "rb", key), [*key, "b"])
+    return ranked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.pow(F.col("a") - F.col("b"), 2))).alias("rmse"), F.corr("ra", "rb").alias("spearman"))
 
 
 def enrich(zones: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -243,3 +243,37 @@ def cells_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred places to label, all of one region."""
     inside = V.load(spark, sf_dir, "customer").where("c_nationkey BETWEEN 5 AND 9").select("c_custkey", "c_mktsegment")
     return labelling.random_cells(inside, "c_custkey", 100, "region")
+
+
+@query(f"WITH {COMPOSITE} SELECT gx, gy, (gy // 8) * 6 + gx // 8 AS patch_idx, CASE WHEN (gx + gy) % 5 = 0 AND gx >= 16 THEN 1 ELSE 0 END AS label FROM comp WHERE (gy // 8) * 6 + gx // 8 IN (SELECT (gy // 8) * 6 + gx // 8 FROM comp WHERE (gx + gy) % 5 = 0 AND gx >= 16)")
+def labelled_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of patches with a label, and back from the patches to the cells' places."""
+    label = F.when(((F.col("gx") + F.col("gy")) % 5 == 0) & (F.col("gx") >= 16), 1).otherwise(0)
+    patches = raster.assign_patch(_composite(spark, sf_dir).select("gx", "gy", label.alias("label")), 8, 6)
+    return raster.from_patch(raster.labelled_patches(patches, "label").drop("gx", "gy"), 8, 6).select("gx", "gy", "patch_idx", "label")
+
+
+@query(f"WITH {INDEXED}, l AS (SELECT DISTINCT p_partkey % 48 AS gx, p_partkey // 48 AS gy, p_partkey % 4 + 1 AS label FROM part WHERE p_partkey % 3 = 0) SELECT gx, gy, round(ndvi, 6) AS ndvi, round(ndbi, 6) AS ndbi, round(ndwi, 6) AS ndwi, coalesce(label, 0)::INT AS label, red IS NOT NULL AS valid FROM ix LEFT JOIN l USING (gx, gy)")
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    labels = V.load(spark, sf_dir, "part").where(k % 3 == 0).select((k % 48).alias("gx"), F.floor(k / 48).alias("gy"), (k % 4 + 1).cast("int").alias("label")).distinct()
+    return rounded(raster.feature_table(_indexed(spark, sf_dir), labels).select("gx", "gy", "ndvi", "ndbi", "ndwi", "label", "valid"), "ndvi", "ndbi", "ndwi")
+
+
+@query(f"WITH {COMPOSITE}, g AS (SELECT DISTINCT p_partkey % 48 AS gx, p_partkey // 48 AS gy FROM part), f AS (SELECT count(lst) / count(*) AS lst, count(*) FILTER (nir > 40000) / count(*) AS nir FROM g LEFT JOIN (SELECT gx, gy, lst, nir FROM comp) USING (gx, gy)) SELECT round(lst, 6) AS lst, round(nir, 6) AS nir, lst >= 0.9 AND nir >= 0.9 AS passed FROM f")
+def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _composite(spark, sf_dir).select("gx", "gy", "lst", F.when(F.col("nir") > 40000, F.col("nir")).alias("nir"))
+    return rounded(raster.coverage_gate(raster.coverage_fraction(cells, V.zone_cells(spark, sf_dir), ["lst", "nir"])), "lst", "nir")
+
+
+@query(f"WITH {INDEXED}, k AS (SELECT {ZONE} AS zone_id, (NOT ndwi > 0.1 AND ndvi > 0.35)::INT AS v FROM ix), z AS (SELECT DISTINCT ((p_partkey // 48) // 12) * 4 + (p_partkey % 48) // 12 AS zone_id FROM part) SELECT zone_id, round(avg(v), 6) AS greenery_fraction FROM z LEFT JOIN k USING (zone_id) GROUP BY 1")
+def adaptive_pillar_landcover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _indexed(spark, sf_dir).withColumn("class", X.rule_landcover(F.col("ndwi"), F.col("ndvi"), F.col("ndbi")))
+    zone = V.zone_cells(spark, sf_dir)
+    return rounded(raster.adaptive_pillar_landcover(cells, zone, zone), "greenery_fraction")
+
+
+@query(f"WITH {COMPOSITE}, p AS (SELECT a.gx, a.gy, avg(b.lst) AS m, stddev_pop(b.lst) AS s FROM comp a JOIN comp b ON abs(a.gx - b.gx) <= 2 AND abs(a.gy - b.gy) <= 2 GROUP BY 1, 2) SELECT gx, gy, round(m, 4) AS lst_mean, round(s, 4) AS lst_std FROM p")
+def neighbourhood_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = raster.neighbourhood_features(_composite(spark, sf_dir).select("gx", "gy", "lst"), "lst", 2)
+    return rounded(out.select("gx", "gy", "lst_mean", "lst_std"), "lst_mean", "lst_std", digits=4)

@@ -36,11 +36,19 @@ def linear_gap_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rank_sql() -> str:
-    rounded_heat = ", ".join(f"round({v}, 9) AS {v}" for v in VARIANTS)
-    scored = ", ".join(f"({norm(v)} + {norm('s_acctbal')} + {norm('(1 - g)')}) / 3 AS s{i}" for i, v in enumerate(VARIANTS))
-    ranks = ", ".join(f"rank() OVER (ORDER BY s{i}) + (count(*) OVER (PARTITION BY s{i}) - 1) / 2 AS r{i}, row_number() OVER (ORDER BY s{i} DESC, zone_id) AS o{i}" for i in range(3))
-    rows = " UNION ALL ".join(f"SELECT '{v}' AS variant, round(sqrt(avg(pow({v} - lst_heldout_c, 2))), 6) AS rmse, round(corr(r{i}, r0), 6) AS spearman, round(count(*) FILTER (o{i} <= 20 AND o0 <= 20) / 20, 6) AS overlap FROM r JOIN held USING (zone_id)" for i, v in enumerate(VARIANTS))
-    return f"WITH {HEAT}, p AS (SELECT zone_id, {rounded_heat}, s_acctbal, (s_suppkey * 37) % 100 / 100.0::DOUBLE AS g FROM heat JOIN supplier ON zone_id = s_suppkey), s AS (SELECT *, {scored} FROM p), q AS (SELECT zone_id, {', '.join(VARIANTS)}, round(s0, 9) AS s0, round(s1, 9) AS s1, round(s2, 9) AS s2 FROM s), r AS (SELECT *, {ranks} FROM q) {rows}"
+    cov = ", ".join(f"covar_samp({x}, {y}) AS {x}{y}" for x, y in ("aa", "ab", "ac", "bb", "bc", "cc"))
+    turned = ["aa * x + ab * y + ac * z", "ab * x + bb * y + bc * z", "ac * x + bc * y + cc * z"]
+    return f"""WITH RECURSIVE {HEAT}, v AS (SELECT zone_id, variant, exposure, s_acctbal AS sens, (s_suppkey * 37) % 100 / 100.0::DOUBLE AS green
+  FROM (SELECT zone_id, unnest({VARIANTS}) AS variant, unnest([{', '.join(f'round({v}, 9)' for v in VARIANTS)}]) AS exposure FROM heat) JOIN supplier ON s_suppkey = zone_id),
+n AS (SELECT variant, zone_id, {norm('exposure', 'PARTITION BY variant')} AS a, {norm('sens', 'PARTITION BY variant')} AS b, {norm('(1 - green)', 'PARTITION BY variant')} AS c FROM v),
+m AS (SELECT variant, {cov} FROM n GROUP BY 1),
+it AS (SELECT 0 AS k, variant, 1.0::DOUBLE AS x, 0.9::DOUBLE AS y, 0.8::DOUBLE AS z FROM m UNION ALL SELECT k + 1, variant, p / s, q / s, r / s
+  FROM (SELECT *, sqrt(p * p + q * q + r * r) AS s FROM (SELECT k, variant, {turned[0]} AS p, {turned[1]} AS q, {turned[2]} AS r FROM it JOIN m USING (variant))) WHERE k < 64),
+s AS (SELECT variant, 'equal' AS weighting, zone_id, round((a + b + c) / 3, 12) AS score FROM n UNION ALL SELECT variant, 'pca', zone_id, round((x * a + y * b + z * c) / (x + y + z), 12) FROM n JOIN it USING (variant) WHERE k = 64),
+r AS (SELECT *, rank() OVER (PARTITION BY variant, weighting ORDER BY score) + (count(*) OVER (PARTITION BY variant, weighting, score) - 1) / 2 AS rank, row_number() OVER (PARTITION BY variant, weighting ORDER BY score DESC, zone_id) AS at FROM s),
+e AS (SELECT variant, sqrt(avg(pow(exposure - lst_heldout_c, 2))) AS rmse FROM v JOIN held USING (zone_id) GROUP BY 1)
+SELECT r.variant, r.weighting, round(any_value(rmse), 6) AS rmse, round(corr(r.rank, f.rank), 6) AS spearman, round(count(*) FILTER (r.at <= 20 AND f.at <= 20) / 20, 6) AS overlap
+FROM r JOIN r f ON f.variant = '{VARIANTS[0]}' AND f.weighting = r.weighting AND f.zone_id = r.zone_id JOIN e ON e.variant = r.variant GROUP BY 1, 2"""
 
 
 @query(_rank_sql())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import narrow, small_batches, written
+from zonalis.llm.shared import narrow, partitions, small_batches, written
 
 #: Runs of letters, a multiplication and a division sign among them; only runs that can give words are taken.
 LETTERS = r"A-Za-zÀ-ÿ"
@@ -37,6 +37,8 @@ COUNTED = 200_000
 GRAMS, INNER = (2, 4), 16_384
 #: Words of a longer list are compared by what is left without one letter.
 HOT = 128
+#: Words that a task decomposes at most: little to read, but much to do.
+TASK_WORDS = 20_000
 #: Stands for any letter; no word holds it.
 ANY = "\0"
 
@@ -184,7 +186,8 @@ def near_words(words: DataFrame, grams: tuple[int, int] = GRAMS, inner: int = IN
                         rows += [(f"{high} {gram} {len(word) + 1} {start + k}", 1, word) for k in (0, 1)]
             yield pd.DataFrame(rows, columns=["list", "side", "word"])
 
-    listed = words.select("word").mapInPandas(run, "list string, side int, word string")
+    tasks = max(partitions(spark), -(-words.count() // TASK_WORDS))
+    listed = words.select("word").repartition(tasks, "word").mapInPandas(run, "list string, side int, word string")
     lists = written(listed.select(F.xxhash64("list").alias("list"), "side", "word"), "gram-lists")
     sizes = written(lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "hot-lists")
     short, near = lists, None

@@ -155,22 +155,37 @@ def counterfactual_zones(model: PipelineModel, zones: DataFrame, deltas: list[fl
 
 
 def edit_cells(cells: DataFrame, mask: Column, to: int, means: DataFrame, features: list[str], classes: list[int], prefix: str = "class") -> DataFrame:
-    """cells with edited: those under the mask take the class's mean features and its one-hot columns, the others stay.
+    """cells with edited and before: those under the mask take the class's mean features and its one-hot columns, the others stay.
 
-    means has a row per class (class, features). A NULL mask is no edit.
+    means has a row per class (class, features). A NULL mask is no edit. before holds all columns as they were.
     """
     vector = means.where(F.col("class") == to).select(*[F.col(f).alias(f"__m_{f}") for f in features])
-    rows = cells.withColumn("edited", F.coalesce(mask, F.lit(False))).crossJoin(F.broadcast(vector))  # one row
+    rows = cells.withColumns({"edited": F.coalesce(mask, F.lit(False)), "before": F.struct(*cells.columns)}).crossJoin(F.broadcast(vector))  # one row
     new = {f: F.when(F.col("edited"), F.col(f"__m_{f}")).otherwise(F.col(f)) for f in features}
     new |= {f"{prefix}_{k}": F.when(F.col("edited"), float(k == to)).otherwise(F.col(f"{prefix}_{k}")) for k in classes}
-    return rows.withColumns(new).select(*cells.columns, "edited")
+    return rows.withColumns(new).select(*cells.columns, "edited", "before")
 
 
-def counterfactual_cells(model: PipelineModel, cells: DataFrame, edited: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gx, gy, edited, delta_lst) of all cells, and one row: the mean delta of the edited ones, 0 without any, and their number."""
-    before = model.transform(cells).select("gx", "gy", F.col("predicted").alias("before"))
-    delta = model.transform(edited).select("gx", "gy", "edited", F.col("predicted").alias("after")).join(before, ["gx", "gy"])
-    delta = delta.select("gx", "gy", "edited", (F.col("after") - F.col("before")).alias("delta_lst"))
+def pixel_heat_table(cells: DataFrame, target: str, classes: list[int], bands: list[str], around: list[str], radius: int = 1) -> tuple[DataFrame, list[str]]:
+    """Cells with class and target, and the features of their heat model: bands, one-hot class, and mean and deviation of some bands around them.
+
+    A cell without class or target is left out, but counts in its neighbours' surroundings.
+    """
+    table, names = with_context(cells, around, radius)
+    rows = table.where(F.col("class").isNotNull() & F.col(target).isNotNull())
+    return rows, [*bands, *[f"class_{k}" for k in classes], *[n for n in names if n not in around]]
+
+
+def counterfactual_cells(model: PipelineModel, edited: DataFrame, around: list[str] = (), radius: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(gx, gy, edited, delta_lst) of edit_cells()'s rows, and one row: the mean delta of the edited ones, 0 without any, and their number.
+
+    The surroundings of the bands named around are taken anew after the edit. Both predictions are made in one pass.
+    """
+    if around:
+        rows = edited.drop(*[f"{f}_{k}" for f in around for k in ("mean", "std")])
+        edited, _ = with_context(rows, around, radius)
+    both = _scored_twice(model, edited, "before")
+    delta = both.select("before.gx", "before.gy", "edited", (F.col("changed") - F.col("original")).alias("delta_lst"))
     return delta, delta.agg(F.coalesce(F.avg(F.when(F.col("edited"), F.col("delta_lst"))), F.lit(0.0)).alias("mean_delta"), F.count_if("edited").alias("n_edited"))
 
 

@@ -229,7 +229,7 @@ def sweep_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def classified_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _classed(spark, sf_dir).withColumnRenamed("class", "label").persist()
+    cells = _classed(spark, sf_dir).withColumnRenamed("class", "label")
     table, names = models.with_context(cells.select("gx", "gy", "label", *INDICES), INDICES)
     votes = None
     for voter, rows, features in (("cells", cells, INDICES), ("context", table, names)):
@@ -248,9 +248,14 @@ def counterfactual_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def counterfactual_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _classed(spark, sf_dir).withColumn("key", F.concat_ws("/", "gx", "gy")).persist()
-    model, _, _ = models.train_heat_model(cells, "key", "lst", [*INDICES, "class_1", "class_2", "class_3", "class_4"], rounds=30)
-    return models.counterfactual_cells(model, cells, _edited(cells))[0]
+    """Heat of cells by bands, indices, class and surroundings, before and after a disc of them turns green."""
+    bands, around, classes = ["nir", "red", "swir", "green", *INDICES], ["ndvi", "ndbi"], [1, 2, 3, 4]
+    cells, features = models.pixel_heat_table(_classed(spark, sf_dir), "lst", classes, bands, around)
+    cells = cells.withColumn("key", F.concat_ws("/", "gx", "gy"))
+    model, _, _ = models.train_heat_model(cells, "key", "lst", features, rounds=30)
+    means = validation.class_mean_vectors(cells, "class", bands, classes)
+    edited = models.edit_cells(cells, X.in_disc(F.col("gx"), F.col("gy"), 24, 24, 10.0, 1.0), 1, means, bands, classes)
+    return models.counterfactual_cells(model, edited, around)[0]
 
 
 @query()

@@ -161,3 +161,47 @@ def test_hot_groups_are_joined_apart(spark, monkeypatch):
     rows = spark.createDataFrame([("a", k) for k in range(300)] + [("b", k) for k in range(5)] + [("c", 1)], "k string, x int")
     joined = shared.join_groups(rows, groups, "k", "size")
     assert Counter((r.k, r.v) for r in joined.collect()) == {("a", 1): 300, ("b", 2): 5}
+
+
+OWN = "doc_id long, text string, source string, __id string, __DIGEST string, __number long, __copies int, __aside_0 string"
+
+
+def test_columns_of_any_name_are_kept(spark):
+    found = [(k if k % 4 else None, f"{'word ' * 8}{k} {k % 3}", "s", f"id{k}", f"digest{k}", 100 + k, 7, f"aside{k}") for k in range(12)] + [(1, f"{'word ' * 8}1 1", "s", "id1", "digest1", 101, 7, "aside1")]
+    docs = spark.createDataFrame(found, OWN)
+    for function in (exact_dedup.keep_one, ngram_join.one_of_each, mixing.mixed):
+        got = function(docs)
+        assert got.columns == docs.columns
+        rows_ = got.collect()
+        assert rows_ and {tuple(r) for r in rows_} <= set(found)
+        assert function(docs.limit(0)).count() == 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_labels_and_sources(spark, tmp_path):
+    """Toxic documents go, near and exact copies go, and what is left is mixed as mix() counts."""
+    rnd = random.Random(12)
+    line = lambda ws, n: " ".join(rnd.choice(ws) for _ in range(n))
+    clean, vile = [f"calm{k}" for k in range(200)], [f"vile{k}" for k in range(40)]
+    found = [(k, line(vile, 60) if k % 3 == 0 else line(clean, 30 + k % 50), ["a", "b", None][k % 4 % 3]) for k in range(150)]
+    found += [(200 + k, found[k][1].upper(), "a") for k in (1, 2, 4)] + [(300 + k, found[k][1] + " end", "b") for k in (5, 7)]
+    docs = spark.createDataFrame(found, SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(150)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    toxic = {r.doc_id for r in toxicity.predictions(docs, labels).where("predicted = 1").collect()}
+    assert {k for k in range(0, 150, 3)} == {d for d in toxic if d < 150}
+    want = brute_force([r for r in found if r[0] not in toxic])
+    source = {(d, t.lower()): s for d, t, s in found}
+    left = spark.createDataFrame([(d, t, source[d, t]) for d, t in want], SCHEMA)
+    copies = Counter()
+    for r in mixing.mix(left).collect():
+        copies[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert set(got) <= {d for d, _ in want} and len({source[d, t] for d, t in want}) == 3
+    assert got == +copies

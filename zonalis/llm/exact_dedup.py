@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import ascii_lower, join_groups, keyed, scratch, written
+from zonalis.llm.shared import ascii_lower, join_groups, keeps_columns, keyed, scratch, written
 
 #: So many rows of one group are compared with one copy of the kept text by one task.
 ROWS_A_SALT = 512
@@ -81,10 +81,12 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+@keeps_columns
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each different text: the one that exact_dedup keeps.
 
-    Rows without doc_id stay if no row with one has their text, and different texts of one doc_id all stay.
+    Rows without doc_id stay if no row with one has their text, and different texts of one doc_id all stay. Of repeated rows one
+    stays; null text counts as empty; an empty table gives an empty result. Columns of any name are kept. A text is in memory whole.
     """
     stay = exact_dedup(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
     return keyed(docs, normal()).dropDuplicates(["__id", "__digest"]).join(stay, ["__id", "__digest"], "left_semi").select(*docs.columns)

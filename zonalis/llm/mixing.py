@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import SEPARATOR, keyed, written
+from zonalis.llm.shared import SEPARATOR, keeps_columns, keyed, written
 
 #: A source's size class has 256 cells, by the first byte of doc_id's md5: what one task sorts is a part of a class.
 
@@ -96,11 +96,13 @@ def _placed(docs: DataFrame, seed: str, limit: float, *more: str) -> DataFrame:
     return placed.withColumns({"rate": rate, "i": i}).withColumn("copies", copies)
 
 
+@keeps_columns
 def mixed(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     """The rows of docs, each as often as mix() says, with or without doc_id.
 
     Repeated rows of one doc_id, text and source are emitted from one of them. Rows that share only a doc_id are each
-    emitted as often as their own number says.
+    emitted as often as their own number says. Null text has no words, a null source is a source; an empty table gives an empty
+    result. Columns of any name are kept. A text is counted whole, and moved once.
     """
     key = ["__id", "__digest", "__source"]
     named = keyed(docs).withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from zonalis.llm.components import components
 from zonalis.llm.grams import gram_sets, packed, unpacked
-from zonalis.llm.shared import bucketed_copy, join_groups, keyed, narrow, partitions, small_batches, written
+from zonalis.llm.shared import bucketed_copy, join_groups, keeps_columns, keyed, narrow, partitions, small_batches, written
 
 #: Words of an n-gram, and the similarity in hundredths.
 SPAN, LEAST = 5, 75
@@ -468,11 +468,13 @@ def near_groups(docs: DataFrame, span: int = SPAN, least: int = LEAST) -> DataFr
     return out.unionByName(nameless)
 
 
+@keeps_columns
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id, or with the smallest digest of those that share it.
 
     Rows without doc_id take part and stay only if their group has no other; without words they stay. Different texts of
     one doc_id are different documents; repeated rows of one doc_id and text are one document, of which all rows stay.
+    Columns of any name are kept; an empty table gives an empty result. A text is in memory whole.
     """
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("doc_id IS NULL OR rows > 1").isEmpty():
         stay = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -44,6 +45,25 @@ def keyed(docs: DataFrame, text: Column | None = None) -> DataFrame:
     return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest": F.sha2(text, 256)})
 
 
+#: Columns that functions returning whole rows add for a while.
+OWN_NAMES = ("__id", "__digest", "__source", "__copies", "__copy", "__number")
+
+
+def keeps_columns(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that return rows of docs: columns of docs that have one of OWN_NAMES stand under another name meanwhile."""
+
+    @functools.wraps(function)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        taken = [c for c in docs.columns if c.lower() in OWN_NAMES]
+        if not taken:
+            return function(docs, *args, **named)
+        free = [f"__aside_{k}" for k in range(len(docs.columns) + len(taken)) if f"__aside_{k}" not in docs.columns]
+        aside = dict(zip(taken, free, strict=False))
+        return function(docs.withColumnsRenamed(aside), *args, **named).withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run
+
+
 def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
     """The rows of df whose key is in ids, one for each key, written in hash buckets of the key: later joins on it leave them in place.
 

@@ -9,22 +9,27 @@ from zonalis.llm.shared import load, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the toxic ones: whole rows, with null or repeated doc_id too; null text is scored as empty; an empty table stays empty."""
     return toxicity.without_toxic(docs, load(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text that differs after lower-casing A-Z, that of the largest doc_id; null text counts as empty."""
     return exact_dedup.keep_one(docs)
 
 
 def thin_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id; documents without words stay."""
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's target says, 0 to 3 times and rounded; a null source is a source."""
     return mixing.mixed(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row of docs: doc_id, n_tokens and digests of its ids and of what they decode to; null text has no ids."""
     import public_tokenizers
 
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -211,3 +211,12 @@ def test_depth_gate(spark):
     readings = spark.createDataFrame([(f"2026-03-{d:02d} 10:00:00", f"s{s}") for d, s in days], "ts string, station string").withColumn("ts", F.to_timestamp("ts"))
     report = validation.depth_gate(validation.reading_depth(readings, "ts", "station")).head()
     assert tuple(report) == (7, 5, True)  # of days 4 to 10, day 4 has too few stations and day 9 has none
+
+
+def test_votes_of_invalid_cells(spark):
+    nan = float("nan")
+    rows = [(0, 0, "a", [0.9, 0.1], True), (0, 0, "b", [0.3, 0.7], True), (1, 0, "a", [0.0, 1.0], True), (1, 0, "b", [1.0, 0.0], None), (2, 0, "a", [nan, nan], False), (2, 0, "b", [0.5, 0.5], True), (3, 0, "a", [0.0, 1.0], True), (3, 0, "b", [0.0, 1.0], True)]
+    votes = spark.createDataFrame(rows, "gx int, gy int, model string, probs array<double>, valid boolean")
+    assert {r.gx: r["class"] for r in raster.soft_vote(votes, 2).collect()} == {0: 1, 1: None, 2: None, 3: 2}
+    report = raster.vote_report(votes, 2).head()
+    assert (report.cells, report.valid, report.mean_sum) == (4, 2, pytest.approx(1.0))

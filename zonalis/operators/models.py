@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -19,6 +20,8 @@ from zonalis.operators.sampling import hash_split
 from zonalis.operators.scores import redistribute_vegetation
 
 VECTOR = "__features"
+#: Mixtures that are fitted at a time.
+FITS = 4
 
 
 def assembled(df: DataFrame, features: list[str]) -> DataFrame:
@@ -51,8 +54,9 @@ def sweep_gmm(rows: DataFrame, ks: range = range(2, 9), seed: int = 42, starts:
     rows = rows.withColumn(VECTOR, array_to_vector("x")).persist()
     n, d = rows.count(), len(rows.first()["x"])
     found, labelled = [], None
-    for k in ks:
-        model = fit_gmm(rows, k, seed, starts)
+    with ThreadPoolExecutor(FITS) as pool:  # jobs are small beside their start: several fits at a time
+        models = list(pool.map(lambda k: fit_gmm(rows, k, seed, starts), ks))
+    for k, model in zip(ks, models, strict=True):
         free = k - 1 + k * d + k * d * (d + 1) // 2
         likelihood = model.summary.logLikelihood
         found.append((k, free * math.log(n) - 2 * likelihood, 2 * free - 2 * likelihood))

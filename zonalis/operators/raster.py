@@ -179,6 +179,14 @@ def soft_vote(models: DataFrame, n_models: int) -> DataFrame:
     return models.select(*CELL).distinct().join(best, CELL, "left")
 
 
+def vote_report(models: DataFrame, n_models: int) -> DataFrame:
+    """One row: cells, those valid in all models, and the mean sum of these cells' mean probabilities, which should be 1. NULL validity is not valid."""
+    whole = F.aggregate("probs", F.lit(0.0), lambda t, p: t + p)
+    by = models.groupBy(*CELL).agg(F.count_if(F.coalesce("valid", F.lit(False))).alias("v"), F.avg(F.when(F.col("valid"), whole)).alias("p"))
+    valid = F.col("v") == n_models
+    return by.agg(F.count(F.lit(1)).alias("cells"), F.count_if(valid).alias("valid"), F.avg(F.when(valid, F.col("p"))).alias("mean_sum"))
+
+
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where("__rn = 1").drop("__rn")
 

@@ -170,12 +170,22 @@ _VOTERS = "v AS (SELECT DISTINCT p_partkey % 48 AS gx, p_partkey // 48 AS gy FRO
 
 @query(f"WITH {_VOTERS}, m AS (SELECT gx, gy, list_transform(range(1, 5), lambda i: round((a[i] + b[i]) / 2, 9)) AS p FROM n) SELECT gx, gy, CASE WHEN gx % 7 > 0 AND gy % 11 > 0 THEN list_position(p, list_max(p)) END::INT AS class, CASE WHEN gx % 7 > 0 AND gy % 11 > 0 THEN round(list_max(p), 6) END AS p FROM m")
 def soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two voters' probabilities from the cells' places; a cell counts where both are valid."""
+    """The class of cells where both voters are valid."""
+    return rounded(raster.soft_vote(_votes(spark, sf_dir), 2), "p")
+
+
+@query(f"WITH {_VOTERS} SELECT count(*) AS cells, count(*) FILTER (gx % 7 > 0 AND gy % 11 > 0) AS valid, round(avg((list_sum(a) + list_sum(b)) / 2) FILTER (gx % 7 > 0 AND gy % 11 > 0), 6) AS mean_sum FROM n")
+def vote_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(raster.vote_report(_votes(spark, sf_dir), 2), "mean_sum")
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two voters' probabilities, from the cells' places."""
     x, y = F.col("gx"), F.col("gy")
     weights = {"a": [1 + (x * 7 + y * 3) % 11, 1 + (x + y) % 7, 1 + x % 5, 1 + y % 3], "b": [1 + (x * 5 + y) % 9, 1 + (x * y) % 6, 1 + y % 7, F.lit(2)]}
     cells = V.zone_cells(spark, sf_dir).select("gx", "gy")
     votes = [cells.select("gx", "gy", F.lit(n).alias("model"), F.array(*[(v.cast("double") / sum(ws, F.lit(0))).alias("p") for v in ws]).alias("probs"), ok.alias("valid")) for (n, ws), ok in zip(weights.items(), (x % 7 > 0, y % 11 > 0), strict=True)]
-    return rounded(raster.soft_vote(votes[0].unionByName(votes[1]), 2), "p")
+    return votes[0].unionByName(votes[1])
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) JOIN customer ON o_custkey = c_custkey WHERE k = 1 AND c_acctbal > 0")

@@ -4,7 +4,8 @@ Terms are lower-cased runs of letters and their starts of four to six letters. T
 labelled rows (SAMPLE) over the terms that set toxic rows apart (at most TERMS), found by counting each term in that
 sample with Spark. Examples are numbered in blocks; for each term the index keeps, beside its postings, the greatest
 weight in each block. A text's blocks are visited in order of their bound until no other block can hold a nearer
-example than the K found, so the neighbours are exact.
+example than the K found, so the neighbours are exact. The share of toxic votes becomes a probability by isotonic
+regression over the learning rows, each scored without its own example.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import small_batches
+from zonalis.llm.shared import small_batches, written
 
 #: Labelled rows that are indexed at most (those with the least md5 of doc_id), and terms.
 SAMPLE, TERMS = 12_000, 4096
@@ -57,6 +58,8 @@ class BlockMaxIndex:
     ids: np.ndarray
     prior: float
     heads: set[str]
+    #: Shares and the toxic rates that they stand for, both increasing.
+    curve: tuple[np.ndarray, np.ndarray] | None = None
 
     @staticmethod
     def build(examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], prior: float, block: int = BLOCK) -> BlockMaxIndex:
@@ -71,8 +74,8 @@ class BlockMaxIndex:
             maxima[t] = (blocks, np.maximum.reduceat(w, first))
         return BlockMaxIndex(idf, postings, maxima, np.array([y for _, y, _ in examples], np.int64), np.array([d for d, _, _ in examples], np.int64), prior, {t[:4] for t in idf})
 
-    def nearest(self, query: dict[str, float], k: int = K, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine over 0, ties by lower number: numbers and cosines."""
+    def nearest(self, query: dict[str, float], k: int = K, block: int = BLOCK, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine over 0, ties by lower number: numbers and cosines. without: an id to leave out."""
         found = [(q, *self.postings[t], *self.maxima[t]) for t, q in query.items() if t in self.postings]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
@@ -90,21 +93,51 @@ class BlockMaxIndex:
             here = taken[blocks]
             sums = np.bincount(numbers[here], parts[here])
             who = np.flatnonzero(sums)
+            if without is not None:
+                who = who[self.ids[who] != without]
             best_at, best = np.concatenate([best_at, who]), np.concatenate([best, sums[who]])
             top = np.lexsort((best_at, -np.round(best, 9)))[:k]
             best_at, best = best_at[top], best[top]
             at, step = at + step, step * 2
         return best_at, best
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
+    def share(self, counts: dict[str, int], without: int | None = None) -> tuple[float, list[tuple[int, float]]]:
         """The share of toxic votes, a vote being the cosine squared, and the voters' ids and cosines.
 
         A text near no example gets the share of toxic rows among the examples without any term.
         """
-        at, cos = self.nearest(unit(row_terms(text, self.heads), self.idf))
+        at, cos = self.nearest(unit(counts, self.idf), without=without)
         votes = cos * cos
-        score = (float(votes @ self.labels[at]) + PRIOR_VOTES * self.prior) / (float(votes.sum()) + PRIOR_VOTES)
-        return min(1.0, max(0.0, score)), list(zip(self.ids[at].tolist(), np.round(cos, 6).tolist(), strict=True))
+        share = (float(votes @ self.labels[at]) + PRIOR_VOTES * self.prior) / (float(votes.sum()) + PRIOR_VOTES)
+        return min(1.0, max(0.0, share)), list(zip(self.ids[at].tolist(), np.round(cos, 6).tolist(), strict=True))
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
+        """The rate of toxic rows that the share of votes stands for, and the voters' ids and cosines."""
+        share, voters = self.share(row_terms(text, self.heads))
+        return (share if self.curve is None else float(np.interp(share, *self.curve))), voters
+
+
+def isotonic(shares: list[float], labels: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Increasing rates that fit the labels best, by pooling neighbours that fall: mean share and rate of each pool.
+
+    A pool counts one row more, of the mean label, so that a small pool doesn't stand for certainty. The ends are 0 and 1.
+    None without rows of both labels.
+    """
+    if len(set(labels)) < 2:
+        return None
+    mean = sum(labels) / len(labels)
+    ties: dict[float, list[float]] = {}
+    for share, label in zip(shares, labels, strict=True):
+        pool = ties.setdefault(round(share, 9), [0.0, 0.0, 0.0])
+        pool[0], pool[1], pool[2] = pool[0] + share, pool[1] + label, pool[2] + 1
+    pools: list[list[float]] = []
+    for share in sorted(ties):
+        pools.append(ties[share])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+    at = np.array([0.0, *(s / n for s, _, n in pools), 1.0])
+    return at, np.maximum.accumulate(np.array([0.0, *((y + mean) / (n + 1) for _, y, n in pools), 1.0]))
 
 
 def unit(counts: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
@@ -124,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(sample)
     picked = F.broadcast(chosen.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id"), "labelled-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -166,7 +199,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     examples = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["n"], strict=True))) for r in vectored.collect()]
     bare = [y for _, y, c in examples if not c]
     prior = (sum(bare) + 0.5) / (len(bare) + 1.0)
-    return BlockMaxIndex.build(sorted((e for e in examples if e[2]), key=lambda e: e[0]), idf, prior)
+    index = BlockMaxIndex.build(sorted((e for e in examples if e[2]), key=lambda e: e[0]), idf, prior)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            shares = [own.share(row_terms(text, own.heads), doc_id)[0] for doc_id, text in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shares, pa.float64()), batch.column("toxic")], ["share", "toxic"])
+
+    pairs = rows.select("doc_id", "text", "toxic").mapInArrow(left_out, "share double, toxic int").collect()
+    index.curve = isotonic([r["share"] for r in pairs], [r["toxic"] for r in pairs])
+    return index
 
 
 def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:

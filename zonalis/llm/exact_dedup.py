@@ -1,19 +1,28 @@
 """Exact deduplication with a log-structured digest index, in DataFrame operations only.
 
-Each task's share of a batch is a memtable: it is flushed as one run file of (digest, doc_id), sorted by digest and
-with a Parquet Bloom filter on it. Compaction merges all runs to one entry per digest, which keeps one identifier.
-Documents whose digest occurs more than once are hits; their bytes are compared with the kept row's bytes.
+Documents come in batches. A batch is a memtable: it is merged to one entry per digest and flushed as a run, sorted by
+digest within hash buckets and with a Parquet Bloom filter. The flushed run is probed against the earlier runs; since all
+runs have the same buckets, neither this nor compaction shuffles the index. Compaction merges the runs to one entry per
+digest, which keeps one identifier. Hits, which the probes report, are compared byte by byte with the kept row.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.shared import ascii_lower, join_groups, keeps_columns, keyed, scratch, written
+from zonalis.llm.shared import ascii_lower, join_groups, keeps_columns, keyed, partitions, remove_folder, scratch, written
 
 #: So many rows of one group are compared with one copy of the kept text by one task.
 ROWS_A_SALT = 512
+#: exact_dedup deals its tasks' shares of the documents into so many batches.
+BATCHES = 4
+#: A run of at most so many digests is looked up by Bloom filters and statistics instead of a join.
+FEW = 256
+RUN = "digest string, keep_id long, group_size long, run int"
 
 
 def normal(text: str = "text") -> Column:
@@ -22,34 +31,61 @@ def normal(text: str = "text") -> Column:
 
 
 class DigestIndex:
-    """Sorted runs of SHA-256 digests below one folder. keep: "largest" or "smallest" identifier of equal texts."""
+    """Runs of (digest, keep_id, group_size) in one table, bucketed by digest. keep: "largest" or "smallest" identifier of equal texts."""
 
-    def __init__(self, spark: SparkSession, path: str, keep: str = "largest"):
+    def __init__(self, spark: SparkSession, keep: str = "largest"):
         if keep not in ("largest", "smallest"):
             raise ValueError(f"keep must be largest or smallest, not {keep!r}")
-        self.spark, self.path, self.keep, self.runs = spark, path, keep, 0
+        self.spark, self.runs, self.table, self.path = spark, 0, "", ""
+        self.best = F.max if keep == "largest" else F.min
+        self._renew()
+
+    def _renew(self) -> None:
+        self.table, self.path = f"zonalis_digests_{uuid.uuid4().hex}", scratch(self.spark, "digests")
 
-    def flush(self, docs: DataFrame) -> None:
-        """Adds a batch of (doc_id, text): a sorted run file from each task. Null text counts as empty."""
-        rows = docs.select("doc_id", F.sha2(normal(), 256).alias("digest"))
-        writer = rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000")
-        writer.parquet(f"{self.path}/level0/batch={self.runs}")
+    def _flush(self, entries: DataFrame) -> None:
+        writer = entries.withColumn("run", F.lit(self.runs)).write.mode("append").format("parquet").option("path", self.path)
+        writer = writer.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000")
+        writer.bucketBy(partitions(self.spark), "digest").sortBy("digest").saveAsTable(self.table)
         self.runs += 1
 
-    def entries(self) -> DataFrame:
-        return self.spark.read.schema("doc_id long, digest string").parquet(*[f"{self.path}/level0/batch={k}" for k in range(self.runs)])
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Flushes a batch of (doc_id, digest) as a run. Returns its hits: digests that it has twice or that an earlier run has.
+
+        An empty batch is an empty run. Partial counts keep a hot digest small before the shuffle.
+        """
+        own = self.runs
+        self._flush(batch.groupBy("digest").agg(self.best("doc_id").cast("long").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+        run = self.spark.table(self.table).where(F.col("run") == own)
+        hits = run.where("group_size > 1").select("digest")
+        if own:
+            hits = hits.union(self.probe(run, own)).distinct()
+        return written(hits, "hits")
+
+    def probe(self, digests: DataFrame, before: int | None = None) -> DataFrame:
+        """Those of the column digest, each once, that an earlier run has: before this run, or all runs."""
+        earlier = self.spark.table(self.table).where(F.col("run") < (self.runs if before is None else before)).select("digest")
+        few = [r[0] for r in digests.select("digest").limit(FEW + 1).collect()]
+        if len(few) <= FEW:
+            return earlier.where(F.col("digest").isin(few)).distinct()
+        return digests.select("digest").join(earlier, "digest", "left_semi").distinct()
 
     def compact(self) -> DataFrame:
-        """Merges the runs: (digest, keep_id, group_size), sorted by digest. Partial sums keep a hot digest small."""
-        best = F.max("doc_id") if self.keep == "largest" else F.min("doc_id")
-        merged = self.entries().groupBy("digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        target = f"{self.path}/level1/upto={self.runs}"
-        merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(target)
-        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(target)
-
-    def probe(self, digests: list[str]) -> DataFrame:
-        """Entries of a short list of digests; the sorted runs' statistics and Bloom filters skip the other row groups."""
-        return self.entries().where(F.col("digest").isin(digests))
+        """Merges all runs to one, which takes their place: (digest, keep_id, group_size). Without any run: none."""
+        if not self.runs:
+            return self.spark.createDataFrame([], RUN).drop("run")
+        old_table, old_path = self.table, self.path
+        merged = self.spark.table(old_table).groupBy("digest").agg(self.best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        self._renew()
+        self.runs = 0
+        self._flush(merged)
+        self.spark.sql(f"DROP TABLE {old_table}")
+        remove_folder(self.spark, old_path)
+        return self.spark.read.schema(RUN).parquet(self.path).drop("run")
+
+    def close(self) -> None:
+        """Takes the table out of the catalogue; its files stay for results that read them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def verified(docs: DataFrame, hits: DataFrame) -> int:
@@ -71,14 +107,16 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     other than doc_id and text are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, scratch(spark, "digests"), keep)
-    index.flush(docs)
+    rows = written(docs.select("doc_id", F.sha2(normal(), 256).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(BATCHES)).alias("batch")), "entries")
+    index = DigestIndex(spark, keep)
+    found = [index.add(rows.where(F.col("batch") == k)) for k in range(BATCHES)]
     merged = index.compact()
-    hits = join_groups(index.entries(), merged.where("group_size > 1"), "digest", "group_size")
+    index.close()
+    rows = rows.drop("batch")
+    hits = join_groups(rows, merged.join(functools.reduce(DataFrame.union, found).distinct(), "digest", "left_semi"), "digest", "group_size")
     if bad := verified(docs, hits):
         raise RuntimeError(f"{bad} texts have the digest of another text")
-    rows = join_groups(index.entries(), merged, "digest", "group_size")
-    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return join_groups(rows, merged, "digest", "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 @keeps_columns

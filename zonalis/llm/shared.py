@@ -64,6 +64,11 @@ def keeps_columns(function: Callable[..., DataFrame]) -> Callable[..., DataFrame
     return run
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, Callable[[], None]]:
     """The rows of df whose key is in ids, one for each key, written in hash buckets of the key: later joins on it leave them in place.
 
@@ -76,8 +81,7 @@ def bucketed_copy(df: DataFrame, ids: DataFrame, name: str, key: str, buckets: i
 
     def remove() -> None:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(spark, path)
 
     return spark.table(table), remove
 

@@ -172,9 +172,12 @@ def align_rasters(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def soft_vote(models: DataFrame, n_models: int) -> DataFrame:
-    """(gx, gy, model, probs, valid) to the mean probabilities and their class; only where all models are valid, else NULL."""
+    """(gx, gy, model, probs, valid) to the mean probabilities and their class; only where all models are valid, else NULL.
+
+    Means are taken to nine digits, and of classes with equal ones the lowest is chosen: the last bits of a sum of doubles decide nothing.
+    """
     long = models.where("valid").select(*CELL, "model", F.posexplode("probs").alias("k", "p"))
-    mean = long.groupBy(*CELL, "k").agg(F.avg("p").alias("p"), F.count_distinct("model").alias("m")).where(F.col("m") == n_models)
+    mean = long.groupBy(*CELL, "k").agg(F.round(F.avg("p"), 9).alias("p"), F.count_distinct("model").alias("m")).where(F.col("m") == n_models)
     best = mean.groupBy(*CELL).agg((F.max_by("k", F.struct("p", -F.col("k"))) + 1).alias("class"), F.max("p").alias("p"))
     return models.select(*CELL).distinct().join(best, CELL, "left")
 

@@ -157,8 +157,8 @@ n AS (SELECT vec_id, max(d / (size - 1)) FILTER (k = own AND size > 1) AS a, min
 SELECT count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM n""")
 def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.cluster_rows(spark, sf_dir)
-    labels = rows.select(F.col("vec_id").alias("key"), F.lit("given").alias("labelling"), "cluster")
-    return rounded(clusters.silhouettes(clusters.vectors(rows, "vec_id", EMBEDDED), labels).select("n", "silhouette"), "silhouette")
+    named = clusters.vectors(rows.withColumn("key", F.struct("vec_id", "cluster")), "key", EMBEDDED).select(F.col("key.vec_id").alias("key"), "x", F.create_map(F.lit("given"), F.col("key.cluster")).alias("own"))
+    return rounded(clusters.labelled_silhouettes(named).select("n", "silhouette"), "silhouette")
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:

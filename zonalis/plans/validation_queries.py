@@ -137,7 +137,7 @@ def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.load(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4).cast("int").alias("cluster"), "embedding")
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     placed = rows.select(F.col("vec_id").alias("key"), F.lit("given").alias("labelling"), "cluster", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    near = rounded(clusters.silhouettes(placed.select("key", "x"), placed.select("key", "labelling", "cluster")), "silhouette")
+    near = rounded(clusters.labelled_silhouettes(placed.select("key", "x", F.create_map("labelling", "cluster").alias("own"))), "silhouette")
     spread = rounded(clusters.davies_bouldins(placed), "davies_bouldin")
     plain = rounded(validation.silhouette_squared(rows, "cluster", "embedding").withColumnRenamed("silhouette", "silhouette_squared"), "silhouette_squared")
     return validation.cluster_quality(sizes, near, spread, plain)

@@ -51,22 +51,23 @@ def label_clusters(df: DataFrame, model: KMeansModel | GaussianMixtureModel, nam
 
 def sweep_gmm(rows: DataFrame, ks: range = range(2, 9), seed: int = 42, starts: int = 5) -> DataFrame:
     """A row for each k: bic, aic, silhouette, davies_bouldin of the best of several starts; rows (key, x), standardised, with unique keys."""
-    rows = rows.withColumn(VECTOR, array_to_vector("x")).persist()
-    n, d = rows.count(), len(rows.first()["x"])
-    found, labelled = [], None
+    rows = rows.select("key", array_to_vector("x").alias(VECTOR)).persist()
+    n, d = rows.count(), len(rows.first()[VECTOR])
     with ThreadPoolExecutor(FITS) as pool:  # jobs are small beside their start: several fits at a time
         models = list(pool.map(lambda k: fit_gmm(rows, k, seed, starts), ks))
+    found, labelled = [], rows
     for k, model in zip(ks, models, strict=True):
         free = k - 1 + k * d + k * d * (d + 1) // 2
         likelihood = model.summary.logLikelihood
         found.append((k, free * math.log(n) - 2 * likelihood, 2 * free - 2 * likelihood))
-        own = model.transform(rows).select("key", "x", F.lit(k).alias("labelling"), "cluster")
-        labelled = own if labelled is None else labelled.unionByName(own)
-    labelled = labelled.persist()
-    near = {r.labelling: r.silhouette for r in clusters.silhouettes(rows.select("key", "x"), labelled.select("key", "labelling", "cluster")).collect()}
-    spread = {r.labelling: r.davies_bouldin for r in clusters.davies_bouldins(labelled).collect()}
-    labelled.unpersist()
+        labelled = model.copy().setPredictionCol(f"__{k}").setProbabilityCol(f"__probability_{k}").transform(labelled)
+    own = F.create_map(*[c for k in ks for c in (F.lit(k), F.col(f"__{k}"))])
+    labelled = labelled.select("key", vector_to_array(VECTOR).alias("x"), own.alias("own")).persist()
+    labelled.count()
     rows.unpersist()
+    near = {r.labelling: r.silhouette for r in clusters.labelled_silhouettes(labelled).collect()}
+    spread = {r.labelling: r.davies_bouldin for r in clusters.davies_bouldins(clusters.spread_out(labelled)).collect()}
+    labelled.unpersist()
     return rows.sparkSession.createDataFrame([(*row, near.get(row[0]), spread.get(row[0])) for row in found], "k int, bic double, aic double, silhouette double, davies_bouldin double")
 
 

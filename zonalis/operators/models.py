@@ -94,11 +94,7 @@ def classify(cells: DataFrame, model: PipelineModel, features: list[str]) -> Dat
 
 def with_context(cells: DataFrame, features: list[str], radius: int = 1) -> tuple[DataFrame, list[str]]:
     """cells with mean and deviation of each feature around them, and the names of all features: the second voter's table."""
-    names = list(features)
-    for f in features:
-        cells = neighbourhood_features(cells, f, radius)
-        names += [f"{f}_mean", f"{f}_std"]
-    return cells, names
+    return neighbourhood_features(cells, list(features), radius), [*features, *[f"{f}_{k}" for f in features for k in ("mean", "std")]]
 
 
 def zone_heat_table(heat: DataFrame, clusters: DataFrame, sensitivity: DataFrame, target: str, features: list[str]) -> tuple[DataFrame, DataFrame]:

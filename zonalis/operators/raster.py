@@ -152,16 +152,23 @@ def coverage_gate(fractions: DataFrame, least: float = 0.90) -> DataFrame:
     return fractions.withColumn("passed", ok)
 
 
-def neighbourhood_features(cells: DataFrame, col: str, radius: int = 1) -> DataFrame:
-    """Mean and deviation over the square around each cell, from sums along rows and then along columns."""
+def neighbourhood_features(cells: DataFrame, col: str | list[str], radius: int = 1) -> DataFrame:
+    """Mean and deviation of each column over the square around each cell, from sums along rows and then along columns; all columns in one go."""
+    cols = [col] if isinstance(col, str) else list(col)
     steps = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    valid = cells.where(F.col(col).isNotNull()).select(*CELL, F.lit(1).alias("n"), F.col(col).alias("s"), (F.col(col) * F.col(col)).alias("q"))
-    sums = [F.sum(c).alias(c) for c in ("n", "s", "q")]
+    # Sums leave NULLs out, and are NULL where a square has no value.
+    parts = {c: (F.when(F.col(c).isNotNull(), 1), F.col(c), F.col(c) * F.col(c)) for c in cols}
+    named = [v.alias(f"__{k}{i}") for i, vs in enumerate(parts.values()) for k, v in zip("nsq", vs, strict=True)]
+    valid = cells.where(reduce(lambda x, y: x | y, [F.col(c).isNotNull() for c in cols])).select(*CELL, *named)
+    sums = [F.sum(c).alias(c) for c in valid.columns if c not in CELL]
     for axis in CELL:
         valid = valid.withColumn("o", steps).withColumn(axis, F.col(axis) + F.col("o")).groupBy(*CELL).agg(*sums)
-    mean = F.col("s") / F.col("n")
-    around = valid.select(*CELL, mean.alias(f"{col}_mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias(f"{col}_std"))
-    return cells.join(around, CELL, "left")
+    found = []
+    for i, c in enumerate(cols):
+        mean = F.col(f"__s{i}") / F.col(f"__n{i}")
+        spread = F.sqrt(F.greatest(F.col(f"__q{i}") / F.col(f"__n{i}") - mean * mean, F.lit(0.0)))
+        found += [mean.alias(f"{c}_mean"), F.when(mean.isNotNull(), spread).alias(f"{c}_std")]
+    return cells.join(valid.select(*CELL, *found), CELL, "left")
 
 
 def align_rasters(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -176,10 +183,21 @@ def soft_vote(models: DataFrame, n_models: int) -> DataFrame:
 
     Means are taken to nine digits, and of classes with equal ones the lowest is chosen: the last bits of a sum of doubles decide nothing.
     """
-    long = models.where("valid").select(*CELL, "model", F.posexplode("probs").alias("k", "p"))
-    mean = long.groupBy(*CELL, "k").agg(F.round(F.avg("p"), 9).alias("p"), F.count_distinct("model").alias("m")).where(F.col("m") == n_models)
-    best = mean.groupBy(*CELL).agg((F.max_by("k", F.struct("p", -F.col("k"))) + 1).alias("class"), F.max("p").alias("p"))
-    return models.select(*CELL).distinct().join(best, CELL, "left")
+    vote = F.when(F.col("valid") & F.col("probs").isNotNull(), F.struct("model", "probs"))
+    cells = models.groupBy(*CELL).agg(F.collect_list(vote).alias("votes"))
+
+    def of(k: Column) -> Column:
+        """The mean of class k over those that have it, where these are all models."""
+        own = F.filter("votes", lambda v: F.size(v["probs"]) > k)
+        named = F.filter(F.array_distinct(F.transform(own, lambda v: v["model"])), lambda m: m.isNotNull())
+        known = F.filter(F.transform(own, lambda v: F.get(v["probs"], k)), lambda p: p.isNotNull())
+        mean = F.try_divide(F.aggregate(known, F.lit(0.0), lambda t, p: t + p), F.size(known))
+        return F.when(F.size(named) == n_models, F.struct(F.round(mean, 9).alias("p"), (-k).alias("k")))
+
+    most = F.coalesce(F.array_max(F.transform("votes", lambda v: F.size(v["probs"]))), F.lit(0))
+    ks = F.when(most > 0, F.sequence(F.lit(0), most - 1)).otherwise(F.array().cast("array<int>"))
+    best = F.when(F.col(CELL[0]).isNotNull() & F.col(CELL[1]).isNotNull(), F.array_max(F.transform(ks, of)))
+    return cells.select(*CELL, best.alias("b")).select(*CELL, (1 - F.col("b.k")).alias("class"), "b.p")
 
 
 def vote_report(models: DataFrame, n_models: int) -> DataFrame:

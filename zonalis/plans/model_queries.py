@@ -10,6 +10,7 @@ from zonalis.operators import clusters, labelling, models, raster, scores, valid
 from zonalis.plans import views as V
 from zonalis.plans.queries import _EDGES, INDEXED, ZONE, _indexed, norm, query, rounded
 from zonalis.plans.validation_queries import HEAT, VARIANTS
+from zonalis.sources import readers
 
 INDICES = ["ndvi", "ndbi", "ndwi"]
 EMBEDDED = [f"f{i}" for i in range(64)]
@@ -229,14 +230,19 @@ def sweep_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def classified_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _classed(spark, sf_dir).withColumnRenamed("class", "label")
-    table, names = models.with_context(cells.select("gx", "gy", "label", *INDICES), INDICES)
+    """The class of each cell by two forests. What they learn from is written once: each reads it several times."""
+    cells, remove_cells = readers.step(_classed(spark, sf_dir).select("gx", "gy", F.col("class").alias("label"), *INDICES), "cells")
+    around, names = models.with_context(cells, INDICES)
+    table, remove_table = readers.step(around, "surroundings")
+    remove_cells()
     votes = None
-    for voter, rows, features in (("cells", cells, INDICES), ("context", table, names)):
-        own = models.classify(rows.select("gx", "gy", "label", *features), models.train_pixel_classifier(rows, "label", features, trees=40), features)
+    for voter, features in (("cells", INDICES), ("context", names)):
+        own = models.classify(table.select("gx", "gy", "label", *features), models.train_pixel_classifier(table, "label", features, trees=40), features)
         own = own.select("gx", "gy", F.lit(voter).alias("model"), "probs", "valid")
         votes = own if votes is None else votes.unionByName(own)
-    return raster.soft_vote(votes, 2).select("gx", "gy", "class")
+    out, _ = readers.step(raster.soft_vote(votes, 2).select("gx", "gy", "class"), "classes")
+    remove_table()
+    return out
 
 
 @query()

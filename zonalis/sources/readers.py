@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,6 +161,25 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], path: str,
     return spark.read.parquet(path)
 
 
+def step(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows, written once under spark.checkpoint.dir, which driver and executors share; and what removes them once no later step reads them.
+
+    Where that is unset, a local master takes a local folder.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(base or '/tmp/zonalis-checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return spark.read.schema(df.schema).parquet(path), remove
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """One row that changes with the table's rows, whatever their order."""
     h = F.xxhash64(*df.columns)
